@@ -16,6 +16,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 #: Every ASCII byte but letters and digits.
 NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: ASCII letters.
+LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,8 +61,8 @@ def _segments(data: bytes, apart: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words(data: bytes, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of ``data``, in order."""
+def words(data: bytes, apart: np.ndarray = SPACE, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of ``data``, in order. A word's last run of ``tail`` bytes, if it follows an ASCII letter, is a word of its own."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     view = np.frombuffer(data, np.uint8)
     for at, end in _segments(data, apart):
@@ -71,6 +73,10 @@ def words(data: bytes, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarra
         starts, ends = edges[0::2], edges[1::2]
         if not len(starts):
             continue
+        if tail is not None:
+            last = np.maximum.accumulate(np.where(tail[part], -1, np.arange(len(part))))[ends - 1]
+            cut = np.flatnonzero((last >= starts) & (last < ends - 1) & LETTER[part[np.maximum(last, 0)]])
+            starts, ends = np.insert(starts, cut + 1, last[cut] + 1), np.insert(ends, cut, last[cut] + 1)
         power, inverse = _power_table(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         with np.errstate(over="ignore"):
@@ -95,10 +101,10 @@ def groups(texts: Sequence[bytes | None], size: int = 2 << 20) -> Iterator[tuple
         yield at, len(texts)
 
 
-def joined_words(texts: Sequence[bytes | None], apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def joined_words(texts: Sequence[bytes | None], apart: np.ndarray = SPACE, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts, A-Z lower-cased: hash, text's number, length in bytes, and the texts' word offsets (one more than texts)."""
     data = b"\n".join(t or b"" for t in texts).lower()
-    h, starts, ends = words(data, apart)
+    h, starts, ends = words(data, apart, tail)
     begin = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t or b"") + 1 for t in texts], out=begin[1:])
     offsets = np.searchsorted(starts, begin)

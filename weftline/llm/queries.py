@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import media, quality, toxicity, urlfilter
+from weftline.llm import media, mixing, packing, quality, sharding, topk, toxicity, urlfilter
 from weftline.llm._spark import materialize, read
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read(spark, sf_dir, "documents", "doc_id", "source"))
+    return mixed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("block_slot"), F.col("mix_position").alias("position"))
+
+
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -22,6 +36,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence", "cosines", "evidence_labels")
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality")
     held_out = quality.id_remainder("doc_id", 3) == 1
@@ -35,13 +53,28 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_shard": op2_shard,
+    "op3_top_k": op3_top_k,
     "op4_url_filter": op4_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_pack": op8_pack,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q, len(embedding) AS width FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.width = b.width
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+        QUALIFY rank <= 5
+    """,
     "op4_url_filter": r"""
         WITH p AS (
             SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
