@@ -20,30 +20,32 @@ from weftline.llm._spark import materialize, number_rows, spread
 SHARDS = 16
 #: Rounds at most; they end when none of a round's moves is admitted.
 ROUNDS = 6
+#: A group's rows in one shard move in so many parts, so that a large group can fill a shard.
+PARTS = 8
 #: Hash buckets of groups by which moves are admitted where a quota cuts through equally strong groups.
 CUTS = 1024
 
 
 def _propagate(linked: DataFrame, room: Column | int, shards: int, rounds: int) -> DataFrame:
-    """linked: g (group key columns g1, g2), shard, n: rows of a group now in a shard. Gives the shard each of these parts moves to, by round.
+    """linked: group key g1, g2, first (a part of a shard) and n, the group's rows there. Gives the shard each of these moves to.
 
-    The parts (group, first shard) are the rows here: their number is bounded by groups x shards and they move whole.
+    These parts are the rows here: their number is bounded by groups x shards x PARTS, and they move whole.
     """
-    parts = linked.select("g1", "g2", F.col("shard").alias("first"), "shard", "n")
+    parts = linked.select("g1", "g2", "first", F.floor(F.col("first") / PARTS).cast("int").alias("shard"), "n")
     for k in range(rounds):
         load = F.broadcast(parts.groupBy("shard").agg(F.sum("n").alias("load")))  # a row for each shard
-        held = parts.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("held")).join(load, "shard")
-        open_ = F.when(F.col("load") < room, F.struct("held", F.xxhash64("g1", "shard").alias("tie"), "shard"))
+        held = parts.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("held"), F.avg("n").alias("part")).join(load, "shard")
+        open_ = F.when(F.col("load") + F.col("part") <= room, F.struct("held", F.xxhash64("g1", "shard").alias("tie"), "shard"))
         want = held.groupBy("g1", "g2").agg(F.max(open_).alias("w"))
-        moves = parts.join(want, ["g1", "g2"]).join(held.drop("load"), ["g1", "g2", "shard"]).withColumns({
+        moves = parts.join(want, ["g1", "g2"]).join(held.drop("load", "part"), ["g1", "g2", "shard"]).withColumns({
             "want": F.when(F.col("w.held") >= F.col("held"), F.col("w.shard")).otherwise(F.col("shard")),
             "strength": F.floor(F.log2(F.col("w.held").cast("double"))).cast("int"), "cut": F.pmod(F.xxhash64("g2", "g1"), F.lit(CUTS)).cast("int"),
         })
-        cells = moves.where("want != shard").groupBy("want", "strength", "cut", "shard").agg(F.sum("n").alias("m"))
-        order = Window.partitionBy("want").orderBy(F.desc("strength"), "cut", "shard").rowsBetween(Window.unboundedPreceding, 0)
+        cells = moves.where("want != shard").groupBy("want", "strength", "cut", "first").agg(F.sum("n").alias("m"))
+        order = Window.partitionBy("want").orderBy(F.desc("strength"), "cut", "first").rowsBetween(Window.unboundedPreceding, 0)
         cells = cells.withColumn("upto", F.sum("m").over(order)).join(load.withColumnRenamed("shard", "want"), "want", "left")
-        admitted = cells.where(F.col("upto") + F.coalesce("load", F.lit(0)) <= room).select("want", "strength", "cut", "shard", F.lit(True).alias("ok"))
-        parts = moves.join(admitted, ["want", "strength", "cut", "shard"], "left").select("g1", "g2", "first", F.when(F.col("ok"), F.col("want")).otherwise(F.col("shard")).alias("shard"), "n", F.col("ok").alias("moved"))
+        admitted = cells.where(F.col("upto") + F.coalesce("load", F.lit(0)) <= room).select("want", "strength", "cut", "first", F.lit(True).alias("ok"))
+        parts = moves.join(admitted, ["want", "strength", "cut", "first"], "left").select("g1", "g2", "first", F.when(F.col("ok"), F.col("want")).otherwise(F.col("shard")).alias("shard"), "n", F.col("ok").alias("moved"))
         parts = materialize(parts, f"shard-round-{k}")
         if not parts.where("moved").limit(1).count():
             break
@@ -56,17 +58,17 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, rounds: int = RO
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"),
-    ).withColumns({"g2": F.col("text_crc32") * (1 << 30) + F.col("size"), "first": F.pmod(F.xxhash64("doc_id", "size", F.lit("shard")), F.lit(shards)).cast("int")})
+    ).withColumns({"g2": F.col("text_crc32") * (1 << 30) + F.col("size"), "first": F.pmod(F.xxhash64("doc_id", "size", F.lit("shard")), F.lit(shards * PARTS)).cast("int")})
     rows = materialize(rows, "shard-rows")
     total = rows.count()
     groups = rows.groupBy("g1", "g2", "first").agg(F.count(F.lit(1)).alias("n"))
     several = groups.groupBy("g1", "g2").agg(F.sum("n").alias("all")).where("all > 1").select("g1", "g2")
-    linked = materialize(groups.join(several, ["g1", "g2"]).withColumnRenamed("first", "shard"), "shard-links")
+    linked = materialize(groups.join(several, ["g1", "g2"]), "shard-links")
     labels = _propagate(linked, -(-total // shards), shards, rounds)
 
     # Only rows of groups have a label; the others stay where their hash put them until the end.
     rows = rows.join(labels, ["g1", "g2", "first"], "left").withColumns({
-        "label": F.coalesce("label", "first"), "alone": F.col("label").isNull().cast("int"), "__bucket": spread("doc_id", "g1"),
+        "label": F.coalesce("label", F.floor(F.col("first") / PARTS).cast("int")), "alone": F.col("label").isNull().cast("int"), "__bucket": spread("doc_id", "g1"),
     }).withColumn("alone_bucket", F.col("alone") * 4096 + F.col("__bucket"))
     rows = number_rows(rows.drop("__bucket", "first"), ["label"], "alone_bucket", ["g1", "doc_id"], "rank")
 
