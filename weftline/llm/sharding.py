@@ -22,6 +22,8 @@ SHARDS = 16
 ROUNDS = 6
 #: A group's rows in one shard move in so many parts, so that a large group can fill a shard.
 PARTS = 8
+#: Share of a shard's room that, when no more is left, closes it to further moves in rounds.
+CLOSED = 1 / 16
 #: Hash buckets of groups by which moves are admitted where a quota cuts through equally strong groups.
 CUTS = 1024
 
@@ -34,10 +36,10 @@ def _propagate(linked: DataFrame, room: Column | int, shards: int, rounds: int)
     parts = linked.select("g1", "g2", "first", F.floor(F.col("first") / PARTS).cast("int").alias("shard"), "n")
     for k in range(rounds):
         load = F.broadcast(parts.groupBy("shard").agg(F.sum("n").alias("load")))  # a row for each shard
-        held = parts.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("held"), F.avg("n").alias("part")).join(load, "shard")
-        open_ = F.when(F.col("load") + F.col("part") <= room, F.struct("held", F.xxhash64("g1", "shard").alias("tie"), "shard"))
+        held = parts.groupBy("g1", "g2", "shard").agg(F.sum("n").alias("held")).join(load, "shard")
+        open_ = F.when(F.col("load") < room * (1 - CLOSED), F.struct("held", F.xxhash64("g1", "shard").alias("tie"), "shard"))
         want = held.groupBy("g1", "g2").agg(F.max(open_).alias("w"))
-        moves = parts.join(want, ["g1", "g2"]).join(held.drop("load", "part"), ["g1", "g2", "shard"]).withColumns({
+        moves = parts.join(want, ["g1", "g2"]).join(held.drop("load"), ["g1", "g2", "shard"]).withColumns({
             "want": F.when(F.col("w.held") >= F.col("held"), F.col("w.shard")).otherwise(F.col("shard")),
             "strength": F.floor(F.log2(F.col("w.held").cast("double"))).cast("int"), "cut": F.pmod(F.xxhash64("g2", "g1"), F.lit(CUTS)).cast("int"),
         })
