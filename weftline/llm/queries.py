@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import media, mixing, packing, quality, sharding, topk, toxicity, urlfilter
+from weftline.llm import media, mixing, neardup, packing, quality, sharding, topk, toxicity, urlfilter
 from weftline.llm._spark import materialize, read
 
 
@@ -29,6 +29,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic")
     held_out = quality.id_remainder("doc_id", 4) == 2
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_top_k": op3_top_k,
     "op4_url_filter": op4_url_filter,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
