@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import media, mixing, neardup, packing, quality, sharding, topk, toxicity, urlfilter
+from weftline.llm import lm, media, mixing, neardup, packing, quality, sharding, topk, toxicity, urlfilter
 from weftline.llm._spark import materialize, read
 
 
@@ -33,6 +33,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.id_remainder("doc_id", 7) == 2
+    scored = lm.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic")
     held_out = quality.id_remainder("doc_id", 4) == 2
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_top_k": op3_top_k,
     "op4_url_filter": op4_url_filter,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_lm_score": op6_lm_score,
     "op7_toxicity": op7_toxicity,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
