@@ -101,6 +101,27 @@ def groups(texts: Sequence[bytes | None], size: int = 2 << 20) -> Iterator[tuple
         yield at, len(texts)
 
 
+def word_terms(texts: Sequence[bytes | None], prefixes: Sequence[int], apart: np.ndarray = NON_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word of several texts, A-Z lower-cased, and of its first bytes in the given lengths; and the text's number of each."""
+    data = b"\n".join(t or b"" for t in texts).lower()
+    begin = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t or b"") + 1 for t in texts], out=begin[1:])
+    h, starts, ends = words(data, apart)
+    which = np.searchsorted(begin, starts, side="right") - 1
+    view = np.frombuffer(data, np.uint8)
+    terms, owners = [h], [which]
+    power = _power_table(max([*prefixes, 1]))[0]
+    for k in prefixes:
+        long = np.flatnonzero(ends - starts >= k)
+        value = np.full(len(long), k, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(k):
+                value += (view[starts[long] + j].astype(np.uint64) + np.uint64(257)) * power[j]
+        terms.append(mix(value))
+        owners.append(which[long])
+    return np.concatenate(terms), np.concatenate(owners)
+
+
 def joined_words(texts: Sequence[bytes | None], apart: np.ndarray = SPACE, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts, A-Z lower-cased: hash, text's number, length in bytes, and the texts' word offsets (one more than texts)."""
     data = b"\n".join(t or b"" for t in texts).lower()
@@ -110,3 +131,34 @@ def joined_words(texts: Sequence[bytes | None], apart: np.ndarray = SPACE, tail:
     offsets = np.searchsorted(starts, begin)
     which = np.repeat(np.arange(len(texts)), np.diff(offsets))
     return h, which, ends - starts, offsets
+
+
+class Places:
+    """Places of 64-bit hashes in a table, looked up for many at once by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 4))))
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place in the keys, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        left = np.arange(len(h))
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            found = self.slots[at]
+            hit = np.zeros(len(left), bool)
+            some = found >= 0
+            hit[some] = self.keys[found[some]] == h[left[some]]
+            out[left[hit]] = found[hit]
+            on = some & ~hit
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out

@@ -46,37 +46,6 @@ END, UNKNOWN = 0, 1
 AVERAGE = 64
 
 
-class Places:
-    """Places of 64-bit hashes in a table, looked up for many at once by open addressing."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 4))))
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(keys))
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        """Each hash's place in the keys, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        left = np.arange(len(h))
-        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(left):
-            found = self.slots[at]
-            hit = np.zeros(len(left), bool)
-            some = found >= 0
-            hit[some] = self.keys[found[some]] == h[left[some]]
-            out[left[hit]] = found[hit]
-            on = some & ~hit
-            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-
 Weights = dict[str, np.ndarray]
 
 
@@ -241,7 +210,7 @@ def run(w: Weights, ids: np.ndarray, offsets: np.ndarray, memory: Weights | None
     return total
 
 
-def _token_ids(texts: list[bytes | None], vocabulary: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _token_ids(texts: list[bytes | None], vocabulary: _bytes.Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all tokens, ends included, the texts' offsets in them, and the words' hashes and texts."""
     h, which, _, offsets = _bytes.joined_words(texts)
     place = vocabulary.of(h)
@@ -285,7 +254,7 @@ def train(training: DataFrame, weights: Weights, words: np.ndarray) -> Weights:
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             w, words = start.value
-            w, vocabulary = {k: v.copy() for k, v in w.items()}, Places(words)
+            w, vocabulary = {k: v.copy() for k, v in w.items()}, _bytes.Places(words)
             memory = {k: np.full_like(v, 1e-4) for k, v in w.items()}
             tokens = 0
             for batch in batches:
@@ -329,7 +298,7 @@ def score_documents(documents: DataFrame, learned_from: Column) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, common, common_n = model.value
-        known, vocabulary = Places(common), Places(common[:own])
+        known, vocabulary = _bytes.Places(common), _bytes.Places(common[:own])
         log_n = np.log10(common_n + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:

@@ -239,3 +239,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     component = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_duplicates(documents: DataFrame) -> DataFrame:
+    """The given rows, of each component only the row kept. Of rows that share an id one is kept (of rows with a null id, all)."""
+    marked = materialize(near_duplicates(documents), "neardup-marked")
+    dropped = marked.where("not kept").select("doc_id").distinct()
+    if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    rest = documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    twice = marked.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return rest
+    repeated = rest.join(twice, "doc_id", "left_semi").select(*documents.columns)
+    return rest.join(twice, "doc_id", "left_anti").select(*documents.columns).unionByName(repeated.dropDuplicates(["doc_id"]))
