@@ -28,8 +28,7 @@ def lexical_trace(nodes: DataFrame, edges: DataFrame, question: str, top: int =
 
 def share_retriever(corpus: DataFrame, links: DataFrame, question: str, k: int = 10) -> DataFrame:
     """corpus: id, text, seq, degree; links: source, target. Two thirds of the places by share of terms, then what these are linked to, then the rest."""
-    share = F.round(lexical_scores(corpus, question)["lexical"], 3)
-    ranked = lexical_scores(corpus, question).select("id", "seq", "degree", share.alias("share"))
+    ranked = lexical_scores(corpus, question).select("id", "seq", "degree", F.round("lexical", 3).alias("share"))
     order = [F.desc("share"), F.desc("degree"), "seq"]
     seeds = ranked.where("share > 0").orderBy(*order).limit(max(1, k - k // 3))
     ends = links.select(F.col("source").alias("a"), F.col("target").alias("b"))
