@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """origin, id, relation, confidence: every edge seen from either end; a loop once."""
-    there = edges.select(F.col("src").alias("origin"), F.col("dst").alias("id"), "relation", "confidence")
-    back = edges.where("src <> dst").select(F.col("dst").alias("origin"), F.col("src").alias("id"), "relation", "confidence")
-    return there.unionAll(back)
+    ends = [F.struct(F.col(a).alias("origin"), F.col(b).alias("id")) for a, b in (("src", "dst"), ("dst", "src"))]
+    sides = F.when(F.col("src") == F.col("dst"), F.array(ends[0])).otherwise(F.array(*ends))
+    return edges.select(F.explode(sides).alias("e"), "relation", "confidence").select("e.origin", "e.id", "relation", "confidence")
 
 
 def neighbours(edges: DataFrame, origins: DataFrame, k: int) -> DataFrame:

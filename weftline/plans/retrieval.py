@@ -38,13 +38,14 @@ def best_path_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, option
 
     Level by level: only nodes whose score a level improved expand in the next. Seeds are left out.
     """
+    edges, entity = edges.persist(), entity.persist()  # every level reads both
     best = seeds.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("hops"))
     front = best.select(F.col("id").alias("origin"), F.col("score").alias("carried"))
     for hop in range(1, options.max_hops + 1):
         reached = frontier(edges, entity, front, options.k_graph, options.max_degree).groupBy("id").agg(F.max(F.col("carried") * F.col("confidence")).alias("found"))
         both = best.join(reached, "id", "full_outer")
         better = F.col("found") > F.coalesce("score", F.lit(0.0))
-        both = both.select("id", F.when(better, F.col("found")).otherwise(F.col("score")).alias("score"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), F.coalesce(better, F.lit(False)).alias("better"))
+        both = both.select("id", F.when(better, F.col("found")).otherwise(F.col("score")).alias("score"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), F.coalesce(better, F.lit(False)).alias("better")).persist()  # at most origins x k rows, read as result and as frontier
         front = both.where("better").select(F.col("id").alias("origin"), F.col("score").alias("carried"))
         best = both.drop("better")
     hits = best.join(seeds.select("id"), "id", "left_anti").where("score > 0")
@@ -56,11 +57,12 @@ def router_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options:
 
     First is by the origin's place in its frontier, then by the neighbour's rank at the origin.
     """
+    edges, entity = edges.persist(), entity.persist()
     front = seeds.select(F.col("id").alias("origin"), F.lit(1.0).alias("carried"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).cast("long").alias("place"))
     score, visited = seeds.select("id", F.lit(1.0).alias("score")), seeds.select("id")
     for _ in range(options.max_hops):
         seen = frontier(edges, entity, front, options.router_k, options.max_degree).select("id", (F.col("carried") * F.col("confidence")).alias("s"), (F.col("place") * 1000 + F.col("rank")).alias("turn"))
-        per = seen.groupBy("id").agg(F.max("s").alias("s"), F.min_by("s", "turn").alias("carried"), F.min("turn").alias("place"))
+        per = seen.groupBy("id").agg(F.max("s").alias("s"), F.min_by("s", "turn").alias("carried"), F.min("turn").alias("place")).persist()
         score = score.join(per.select("id", "s"), "id", "full_outer").select("id", F.greatest("score", "s").alias("score"))
         fresh = per.join(visited, "id", "left_anti")
         visited = visited.unionAll(fresh.select("id"))
@@ -70,12 +72,13 @@ def router_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options:
 
 def impact(edges: DataFrame, entity: DataFrame, seed: DataFrame, hops: int = 3, options: Options = DEFAULTS) -> DataFrame:
     """id, hops and confidence of what a seed may affect: the first ring is wide, later ones narrow, each node expands once; its strongest sighting counts."""
+    edges, entity = edges.persist(), entity.persist()
     front = seed.select(F.col("id").alias("origin"), F.lit(1.0).alias("carried"))
     visited, sightings = seed.select("id"), None
     for hop in range(1, min(hops, options.impact_hops) + 1):
         cap = options.impact_first_cap if hop == 1 else options.max_degree
         k = max(cap, options.impact_k) if hop == 1 else options.impact_k
-        seen = frontier(edges, entity, front, k, cap).select("id", (F.col("carried") * F.col("confidence")).alias("confidence"), F.lit(hop).alias("hops"))
+        seen = frontier(edges, entity, front, k, cap).select("id", (F.col("carried") * F.col("confidence")).alias("confidence"), F.lit(hop).alias("hops")).persist()
         sightings = seen if sightings is None else sightings.unionAll(seen)
         fresh = seen.groupBy("id").agg(F.max("confidence").alias("carried")).join(visited, "id", "left_anti").where("carried > 0")
         visited = visited.unionAll(fresh.select("id"))
