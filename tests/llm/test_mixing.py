@@ -50,7 +50,7 @@ def test_schedule_and_deviation(spark):
 
 def test_one_source_repeats_and_nulls(spark):
     got = mixed(spark, [(1, None, None, None)] * 3 + [(None, None, 1, 1)], {}, 2)
-    assert sorted(got.mix_position) == [0, 1, 2, 3] and list(got.columns) == ["doc_id", "source", "mix_block", "mix_slot", "mix_position"]
+    assert sorted(got.mix_position) == [0, 1, 2, 3] and list(got.columns) == ["doc_id", "source", "__x", "mix_block", "mix_slot", "mix_position"]
 
 
 def test_empty(spark):

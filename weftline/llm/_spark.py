@@ -53,10 +53,10 @@ def number_rows(frame: DataFrame, keys: Sequence[str], bucket: str, order: Seque
     Two levels, so that no task sees a whole key: counts per (key, bucket) are summed into offsets, a table of at most
     keys x buckets rows, and only the rows of one bucket are sorted together. Keys must not be null.
     """
-    cells = frame.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    cells = frame.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__rank_n"))
     before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = before.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*keys, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    cells = cells.select(*keys, bucket, F.coalesce(F.sum("__rank_n").over(before), F.lit(0)).alias("__rank_before"))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    numbered = frame.join(cells, [*keys, bucket]).withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
-    return numbered.drop("__before")
+    numbered = frame.join(cells, [*keys, bucket]).withColumn(name, F.col("__rank_before") + F.row_number().over(inside) - 1)
+    return numbered.drop("__rank_before")

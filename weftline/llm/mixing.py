@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm._spark import number_rows, spread
 
 BLOCK_ROWS = 16
+NAMES = ("mix_block", "mix_slot", "mix_position")
 #: Target weights of the registered query; every other source weighs DEFAULT_WEIGHT.
 WEIGHTS: Mapping[str, int] = {"src0": 6, "src1": 4, "src2": 4, "src3": 2, "src4": 2}
 DEFAULT_WEIGHT = 1
@@ -82,21 +83,22 @@ def schedule(stock: DataFrame) -> DataFrame:
     )
 
 
-def _slot(block: Column, weight: Column) -> Column:
+def _slot(block: Column, weight: Column, spans: str = "spans") -> Column:
     """The slot of a source's block, from its spans."""
     turn = F.floor(block / weight)
-    span = F.get(F.filter("spans", lambda x: (x["a"] <= turn) & (turn < x["b"])), F.lit(0))
+    span = F.get(F.filter(spans, lambda x: (x["a"] <= turn) & (turn < x["b"])), F.lit(0))
     return span["base"] + (turn - span["a"]) * span["total"] + F.get(span["slots"], (block - turn * weight).cast("int"))
 
 
-def mix_sources(documents: DataFrame, weights: Mapping[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The given rows with ``mix_block`` (the block within its source), ``mix_slot`` and ``mix_position`` (gapless from 0).
+def mix_sources(documents: DataFrame, weights: Mapping[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT, block_rows: int = BLOCK_ROWS, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """The given rows and three columns: the block within its source, its slot, and the row's position (gapless from 0).
 
-    Given columns of these names, or that begin with two underscores, are replaced.
+    Given columns of these names, or that begin with ``__mix_`` or ``__rank_``, are replaced.
     """
-    kept = [c for c in documents.columns if c not in ("mix_block", "mix_slot", "mix_position") and not c.startswith("__")]
-    rows = documents.select(*kept).withColumns({"__source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "__bucket": spread("doc_id")})
-    rows = number_rows(rows, ["__source"], "__bucket", [F.xxhash64("doc_id"), F.col("doc_id")], "__row")
+    block, slot, position = names
+    kept = [c for c in documents.columns if c not in names and not c.startswith(("__mix_", "__rank_"))]
+    rows = documents.select(*kept).withColumns({"__mix_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "__mix_bucket": spread("doc_id")})
+    rows = number_rows(rows, ["__mix_source"], "__mix_bucket", [F.xxhash64("doc_id"), F.col("doc_id")], "__mix_row")
     name = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
     sizes = documents.groupBy(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     stock = sizes.select("source", "n", _weight(name, weights, default).alias("weight"), F.ceil(F.col("n") / block_rows).alias("blocks"))
@@ -104,11 +106,12 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, int] = WEIGHTS, defa
     # Only a source's last block can be short: later slots begin that many positions earlier. All sources are one window, a row each.
     short = F.struct(_slot(F.col("blocks") - 1, F.col("weight")).alias("at"), (F.col("blocks") * block_rows - F.col("n")).alias("by"))
     plan = plan.withColumn("short", short).withColumn("shorts", F.collect_list(F.when(F.col("short.by") > 0, F.col("short"))).over(Window.partitionBy(F.lit(0))))
-    plan = plan.select(F.col("source").alias("__source"), F.col("weight").alias("__weight"), "spans", "shorts")
+    plan = plan.select(F.col("source").alias("__mix_source"), F.col("weight").alias("__mix_weight"), "spans", "shorts")
     if sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    rows = rows.join(plan, "__source").withColumn("mix_block", F.floor(F.col("__row") / block_rows))
-    rows = rows.withColumn("mix_slot", _slot(F.col("mix_block"), F.col("__weight")))
-    missing = F.aggregate("shorts", F.lit(0).cast("long"), lambda t, x: F.when(x["at"] < F.col("mix_slot"), t + x["by"]).otherwise(t))
-    rows = rows.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("__row") % block_rows - missing)
-    return rows.select(*kept, "mix_block", "mix_slot", "mix_position")
+    plan = plan.withColumnsRenamed({"spans": "__mix_spans", "shorts": "__mix_shorts"})
+    rows = rows.join(plan, "__mix_source").withColumn(block, F.floor(F.col("__mix_row") / block_rows))
+    rows = rows.withColumn(slot, _slot(F.col(block), F.col("__mix_weight"), "__mix_spans"))
+    missing = F.aggregate("__mix_shorts", F.lit(0).cast("long"), lambda t, x: F.when(x["at"] < F.col(slot), t + x["by"]).otherwise(t))
+    rows = rows.withColumn(position, F.col(slot) * block_rows + F.col("__mix_row") % block_rows - missing)
+    return rows.select(*kept, *names)
