@@ -8,11 +8,12 @@
    pairs that are nobody else's are skipped, and of what remains each representative keeps a prefix of its rarest pairs,
    as many as a partner must share one of.
 4. Posting lists of up to ``SHORT_LIST`` members are joined with themselves. Longer ones are not: each member meets the
-   list's leader, the member with the commonest coordinates. Members that then still lie in different components meet
-   in blocks of about ``BLOCK`` members, where agreeing coordinates are counted by matrix and only pairs that reach
-   MATCHES leave the task. A third of all rows may be in one list: no list is one task or all its pairs.
-5. Candidates that agree in MATCHES coordinates are confirmed on their texts' whole sets.
-6. Links make components by repeated hooking to the least neighbour and pointer jumping.
+   list's leader, the member with the commonest coordinates.
+5. Candidates that agree in MATCHES coordinates are confirmed on their texts' whole sets, and links make components.
+6. Members of long lists that still lie in different components meet in blocks of about ``BLOCK``: they are compared
+   by size, by coordinates, and by whole sets, and only links leave the task. A third of all rows may be in one list: no
+   list is one task, and none sends out its pairs.
+7. Links make components by repeated hooking to the least neighbour and pointer jumping.
 
 A null or empty text, or one without words, has no shingles, and is linked with nothing; one with fewer than five words
 has its whole sequence as one shingle. Rows with a null id are linked with nothing and kept. Rows that share an id are
@@ -150,13 +151,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id and text of the given ids (distinct), as a written table. A few ids are sent to the documents, many meet them by shuffle."""
+    ids = materialize(ids, "neardup-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return materialize(given.where("text is not null").join(ids, "doc_id", "left_semi"), "neardup-texts")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a written table) whose whole sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if pairs.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null").join(ids, "doc_id", "left_semi")
-    texts = materialize(texts, "neardup-texts")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), documents)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
 
@@ -179,31 +185,61 @@ def components(links: DataFrame, label: str) -> DataFrame:
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair that are in different components, of fitting sizes, and agree often enough."""
+    """Links of one block pair: members in different components that fit in size, agree in MATCHES coordinates and have similar whole sets.
+
+    Members that a link found here joins are not compared again, so at most as many links as members leave the task.
+    """
     frame = frame.sort_values("doc", kind="stable")
-    docs, n, comp, block = (frame[c].to_numpy() for c in ("doc", "n", "comp", "block"))
-    signature = np.stack(frame["signature"].to_numpy())
-    i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    found: list[np.ndarray] = []
-    for at in range(len(docs)):
-        rest = slice(at + 1, None)
-        ok = (comp[rest] != comp[at]) & (np.minimum(n[rest], n[at]) * 100 >= np.maximum(n[rest], n[at]) * PERCENT)
-        ok &= (block[rest] != block[at]) if i != j else True
+    docs, n, comp, block, guest = (frame[c].to_numpy() for c in ("doc", "n", "comp", "block", "guest"))
+    signature, texts = np.stack(frame["signature"].to_numpy()), frame["text"].to_numpy()
+    other_block = frame["i"].iloc[0] != frame["j"].iloc[0]
+    sets: dict[int, np.ndarray] = {}
+
+    def of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles([texts[k]])[0]
+        return sets[k]
+
+    _, now = np.unique(comp, return_inverse=True)
+    links = []
+    for at in range(len(docs) - 1):
+        ok = (now[at + 1 :] != now[at]) & ~(guest[at + 1 :] & guest[at])
+        ok &= np.minimum(n[at + 1 :], n[at]) * 100 >= np.maximum(n[at + 1 :], n[at]) * PERCENT
+        if other_block:
+            ok &= block[at + 1 :] != block[at]
         to = np.flatnonzero(ok) + at + 1
         to = to[(signature[to] == signature[at]).sum(axis=1) >= MATCHES]
-        found.append(np.stack([np.full(len(to), docs[at]), docs[to]], axis=1))
-    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-
-
-def _rest(long: DataFrame, linked: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Candidates among the members of long lists that are still in different components."""
-    members = long.join(linked, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    open_lists = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = members.join(open_lists.select("key", blocks.alias("blocks")), "key").join(representatives.select("doc", "signature"), "doc")
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "n", "comp", "signature")
-    return members.groupBy("key", "i", "j").applyInPandas(_meet, "a long, b long")
+        for k in to.tolist():
+            if now[k] == now[at]:
+                continue
+            both = len(np.intersect1d(of(at), of(k), assume_unique=True))
+            if 100 * both >= PERCENT * (len(of(at)) + len(of(k)) - both):
+                links.append((docs[at], docs[k]))
+                now[now == now[k]] = now[at]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _rest(long: DataFrame, linked: DataFrame, representatives: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links among the members of long lists (doc, n, leader) that are still in different components.
+
+    Lists that share members are one cluster, so that no pair is compared list by list; within it only members of sizes
+    that fit meet: a cell holds one range of sizes, and the next range as guests.
+    """
+    met = long.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
+    clusters = components(met, "neardup-cluster").withColumnRenamed("comp", "cluster")
+    members = long.select("doc", "n").distinct().join(clusters, "doc").join(linked, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    # A little wider than the similarity asks for, so that rounding can't part two that fit.
+    members = members.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / (PERCENT - 1)))).cast("int"))
+    cells = members.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cell", F.col("range") - F.col("guest").cast("int"))
+    cells = materialize(cells, "neardup-cells")
+    size = cells.groupBy("cluster", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("guest").alias("only_guests"), F.count(F.lit(1)).alias("m"))
+    size = size.where("lo <> hi AND NOT only_guests").select("cluster", "cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    cells = cells.join(size, ["cluster", "cell"])
+    texts = _texts_of(cells.select(F.col("doc").alias("doc_id")).distinct(), documents).select(F.col("doc_id").alias("doc"), "text")
+    full = cells.join(representatives.select("doc", "signature"), "doc").join(texts, "doc")
+    full = full.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    return full.select("cluster", "cell", "i", "j", "block", "guest", "doc", "n", "comp", "signature", "text").groupBy("cluster", "cell", "i", "j").applyInPandas(_meet, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -226,12 +262,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = materialize(confirmed(candidates, documents), "neardup-links")
     linked = components(links, "neardup-comp")
 
-    members = materialize(long.select("key", "doc", "n"), "neardup-long")
+    members = materialize(long.select("doc", "n", "leader").distinct(), "neardup-long")
     if members.limit(1).count():
-        more = materialize(_rest(members, linked, representatives).distinct(), "neardup-more")
+        more = materialize(_rest(members, linked, representatives, documents), "neardup-more")
         if more.limit(1).count():
-            links = links.union(materialize(confirmed(more, documents), "neardup-more-links"))
-            linked = components(links, "neardup-comp-again")
+            linked = components(links.union(more), "neardup-comp-again")
 
     named = classes.join(linked, "doc", "left").where("copies > 1 or comp is not null")
     named = named.select("f1", "f2", "n", F.coalesce("comp", "doc").alias("comp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
