@@ -95,3 +95,19 @@ def test_bursts(spark):
     rows = spark.createDataFrame([(1, t) for t in times] + [(2, 5)], "key long, t long")
     got = sorted((r.key, r.first, r.last, r.n) for r in bursts(rows, 120, 600).collect())
     assert got == [*[(1, *b) for b in want], (2, 5, 5, 1)]
+
+
+def test_scan_of_keys_that_fail(spark):
+    from weftline.operators.scan import fetch_each
+
+    tried = []
+
+    def fetch(key):
+        tried.append(key)
+        if key == 2:
+            raise ValueError("gone")
+        return [f'{{"n": {key}}}', "{}"] if key < 4 else []
+
+    got = fetch_each(spark.createDataFrame([(1,), (2,), (3,), (4,)], "key long"), fetch, wait=0).collect()
+    assert sorted((r.key, r.payload, r.error) for r in got if r.payload) == [(1, '{"n": 1}', None), (1, "{}", None), (3, '{"n": 3}', None), (3, "{}", None)]
+    assert [(r.key, r.error) for r in got if r.error] == [(2, "gone")]

@@ -96,3 +96,25 @@ def canvas_edges(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     one = nodes.select(key, F.col("id").alias("source"), F.col("active").alias("a"))
     two = nodes.select(key, F.col("id").alias("target"), F.col("active").alias("b"))
     return edges.join(one, [key, "source"]).join(two, [key, "target"]).select(key, "source", "target", "relation", F.coalesce("weight", F.lit(0.7)).alias("confidence"), (F.col("a") & F.col("b")).alias("active"))
+
+
+def file_name(query, started_at):
+    """Name of a trace's file: the UTC time it began, and its question as a slug."""
+    from weftline.functions.text import slug
+
+    return F.concat(F.date_format(started_at, "yyyyMMdd'T'HHmmss"), F.lit("-"), slug(query, 60, "query"), F.lit(".json"))
+
+
+def to_json(traces: DataFrame) -> DataFrame:
+    """Every row as one JSON document in the newest form."""
+    return traces.select(F.to_json(F.struct(*traces.columns)).alias("value"))
+
+
+def lines(scored: DataFrame, key: str, width: int = 60):
+    """A trace as text: a header of counts, then a line for each item in order. scored: r, i, id, content, overlap, used."""
+    score = F.coalesce(F.format_number("overlap", 2), F.lit("-"))
+    fate = F.when(F.col("used").isNull(), "unclassified").when(F.col("used"), "used").otherwise("ignored")
+    line = F.concat(F.rpad(fate, 13, " "), F.rpad(score, 6, " "), F.substring(F.regexp_replace("content", r"\s+", " "), 1, width))
+    head = F.concat(F.lit("used "), F.count_if(F.coalesce("used", F.lit(False))).cast("string"), F.lit(" of "), F.count(F.lit(1)).cast("string"))
+    rows = scored.groupBy(key).agg(head.alias("head"), F.array_sort(F.collect_list(F.struct("r", "i", line.alias("line")))).alias("l"))
+    return rows.select(key, F.concat_ws("\n", "head", F.array_join("l.line", "\n")).alias("text"))
