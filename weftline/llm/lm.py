@@ -86,13 +86,42 @@ def lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank[lane], first, end[by_length]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _shares(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log-probability of each row's pick, and the softmax's numerators and sums. Logits are held below 60, where floats can hold their powers."""
+    np.minimum(logits, 60, out=logits)
+    chosen = logits[np.arange(len(pick)), pick]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return chosen - np.log(total), logits, total
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _output(w: Weights, state: np.ndarray, ids: np.ndarray, grads: Weights | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probabilities of the ids after the states; with ``grads``, these are filled in, and the gradient of the mean loss by state is given."""
+    cls, word = ids // CLASS, ids % CLASS
+    scale = 1 / max(len(ids), 1)
+    log_p, power, total = _shares(state @ w["class"] + w["class_bias"], cls)
+    d_state = None
+    if grads is not None:
+        power *= (scale / total)[:, None]
+        power[np.arange(len(ids)), cls] -= scale
+        grads["class"], grads["class_bias"], d_state = state.T @ power, power.sum(axis=0), power @ w["class"].T
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(VOCABULARY // CLASS + 1))
+    sorted_state, sorted_word, sorted_log = state[order], word[order], np.empty(len(ids), log_p.dtype)
+    sorted_d = np.empty_like(sorted_state) if grads is not None else None
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        at = slice(int(edges[k]), int(edges[k + 1]))
+        own = sorted_state[at]
+        sorted_log[at], power, total = _shares(own @ w["word"][k] + w["word_bias"][k], sorted_word[at])
+        if grads is not None:
+            power *= (scale / total)[:, None]
+            power[np.arange(len(own)), sorted_word[at]] -= scale
+            grads["word"][k], grads["word_bias"][k] = own.T @ power, power.sum(axis=0)
+            sorted_d[at] = power @ w["word"][k].T
+    log_p[order] += sorted_log
+    if grads is not None:
+        d_state[order] += sorted_d
+    return log_p, d_state
 
 
 def window(w: Weights, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, active: np.ndarray, h: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, Weights | None]:
@@ -101,71 +130,60 @@ def window(w: Weights, given: np.ndarray, target: np.ndarray, fresh: np.ndarray,
     Gives natural log-probabilities (steps x lanes), the state after it, and the gradients of the mean loss.
     """
     steps, many = given.shape
-    x = w["embed"][given] @ w["input"] + w["bias"]
-    kept: list[tuple[np.ndarray, ...]] = []
-    out = np.zeros((steps, many, HIDDEN), np.float32)
+    kind = w["input"].dtype
+    x = (w["embed"] @ w["input"] + w["bias"])[given]
+    keep = (~fresh).astype(kind)[:, :, None]
+    shape = (steps, many, HIDDEN)
+    out, before, gated, c = (np.zeros(shape, kind) for _ in range(4))
+    zr = np.zeros((steps, many, 2 * HIDDEN), kind)
     for t in range(steps):
         n = active[t]
-        before = h[:n] * ~fresh[t, :n, None]
-        zr = _sigmoid(x[t, :n, : 2 * HIDDEN] + before @ w["gates"])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        gated = r * before
-        c = np.tanh(x[t, :n, 2 * HIDDEN :] + gated @ w["new"])
-        h[:n] = before + z * (c - before)
-        out[t, :n] = h[:n]
-        if learn:
-            kept.append((before, z, r, c, gated))
+        old = np.multiply(h[:n], keep[t, :n], out=before[t, :n])
+        gate = np.matmul(old, w["gates"], out=zr[t, :n])
+        gate += x[t, :n, : 2 * HIDDEN]
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        np.multiply(gate[:, HIDDEN:], old, out=gated[t, :n])
+        new = np.matmul(gated[t, :n], w["new"], out=c[t, :n])
+        new += x[t, :n, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        step = np.subtract(new, old, out=out[t, :n])
+        step *= gate[:, :HIDDEN]
+        step += old
+        h = step if n == len(h) else np.concatenate([step, h[n:]])
     real = np.arange(many) < active[:, None]
-    state, ids = out[real], target[real]
-    cls, word = ids // CLASS, ids % CLASS
-    log_class = _log_softmax(state @ w["class"] + w["class_bias"])
-    rows = np.arange(len(ids))
-    log_p = log_class[rows, cls]
-    grads: Weights | None = None
-    if learn:
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        scale = np.float32(1 / max(len(ids), 1))
-        d_class = np.exp(log_class)
-        d_class[rows, cls] -= 1
-        d_class *= scale
-        grads["class"], grads["class_bias"] = state.T @ d_class, d_class.sum(axis=0)
-        d_state = d_class @ w["class"].T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(VOCABULARY // CLASS + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        at = order[edges[k] : edges[k + 1]]
-        own = state[at]
-        log_word = _log_softmax(own @ w["word"][k] + w["word_bias"][k])
-        pick = np.arange(len(at))
-        log_p[at] += log_word[pick, word[at]]
-        if learn:
-            d = np.exp(log_word)
-            d[pick, word[at]] -= 1
-            d *= scale
-            grads["word"][k], grads["word_bias"][k] = own.T @ d, d.sum(axis=0)
-            d_state[at] += d @ w["word"][k].T
-    result = np.zeros((steps, many), np.float32)
+    grads: Weights | None = {k: np.zeros_like(v) for k, v in w.items()} if learn else None
+    log_p, d_state = _output(w, out[real], target[real], grads)
+    result = np.zeros((steps, many), kind)
     result[real] = log_p
-    if not learn:
+    if grads is None:
         return result, h, None
-    d_out = np.zeros_like(out)
+    z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+    # What does not depend on later steps is worked out for the whole window at once.
+    by_c, by_z, by_r, stay, back = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), (1 - z) * keep, r * keep
+    d_out, d_x = np.zeros(shape, kind), np.zeros((steps, many, 3 * HIDDEN), kind)
     d_out[real] = d_state
-    d_x = np.zeros_like(x)
-    carry = np.zeros((many, HIDDEN), np.float32)
+    carry = np.zeros((many, HIDDEN), kind)
+    new_t, gates_t = np.ascontiguousarray(w["new"].T), np.ascontiguousarray(w["gates"].T)
     for t in range(steps - 1, -1, -1):
         n = active[t]
-        before, z, r, c, gated = kept[t]
-        d_h = d_out[t, :n] + carry[:n]
-        d_c = d_h * z * (1 - c * c)
-        d_gated = d_c @ w["new"].T
-        d_z = d_h * (c - before) * z * (1 - z)
-        d_r = d_gated * before * r * (1 - r)
-        d_zr = np.concatenate([d_z, d_r], axis=1)
-        carry[:n] = (d_h * (1 - z) + d_gated * r + d_zr @ w["gates"].T) * ~fresh[t, :n, None]
-        grads["gates"] += before.T @ d_zr
-        grads["new"] += gated.T @ d_c
-        d_x[t, :n, : 2 * HIDDEN], d_x[t, :n, 2 * HIDDEN :] = d_zr, d_c
-    flat, inputs = d_x[real], given[real]
+        d_h = d_out[t, :n]
+        d_h += carry[:n]
+        d_zr, d_c = d_x[t, :n, : 2 * HIDDEN], d_x[t, :n, 2 * HIDDEN :]
+        np.multiply(d_h, by_c[t, :n], out=d_c)
+        d_gated = d_c @ new_t
+        np.multiply(d_h, by_z[t, :n], out=d_zr[:, :HIDDEN])
+        np.multiply(d_gated, by_r[t, :n], out=d_zr[:, HIDDEN:])
+        d_h *= stay[t, :n]
+        d_gated *= back[t, :n]
+        d_h += d_gated
+        d_h += (d_zr @ gates_t) * keep[t, :n]
+        carry[:n] = d_h
+    flat, inputs = d_x.reshape(-1, 3 * HIDDEN), given.ravel()  # zero where a lane is over
+    grads["gates"] = before.reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
+    grads["new"] = gated.reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
     grads["bias"] = flat.sum(axis=0)
     grads["input"] = w["embed"][inputs].T @ flat
     d_embed = flat @ w["input"].T
@@ -237,6 +255,21 @@ def count_words(training: DataFrame) -> DataFrame:
     return materialize(_input(training).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
+def commonest(counts: DataFrame, many: int | None = None) -> DataFrame:
+    """The commonest words, ``COMMON`` at most: those of the highest ranges of counts that fit, so that nothing is sorted as a whole.
+
+    There are eight ranges to a doubling of the count, a few hundred in all.
+    """
+    ranged = counts.withColumn("range", F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int"))
+    upto, least = 0, None
+    for row in sorted(ranged.groupBy("range").count().collect(), reverse=True):
+        upto += row["count"]
+        if upto > (many or COMMON):
+            break
+        least = row["range"]
+    return ranged.where(F.col("range") >= least if least is not None else F.lit(False)).select("word", "n")
+
+
 def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
     total = max(frame["tokens"].sum(), 1)
     mean: Weights = {}
@@ -287,7 +320,7 @@ def score_documents(documents: DataFrame, learned_from: Column) -> DataFrame:
     counts = count_words(training)
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, distinct = n + ends, distinct + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    top = commonest(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
     common, common_n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     own = min(len(common), VOCABULARY - 2)
     unknown = n - ends - int(common_n[:own].sum())
