@@ -42,6 +42,8 @@ SHORT_LIST = 48
 BLOCK = 256
 #: Up to so many ids (a few MB) are sent to every executor to pick out their texts.
 BROADCAST_IDS = 500_000
+#: Rows of a written table of links or components that make one file, so that small ones are not spread over many.
+ROWS_PER_FILE = 250_000
 #: Copies of a class are found by (fingerprint, salt), so that a class of a third of all rows is not one task.
 SALTS = 8
 
@@ -169,15 +171,16 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, label: str) -> DataFrame:
     """doc and comp (the least id reachable) of every id in the links a, b."""
-    both = materialize(links.select(F.col("a").alias("doc"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), f"{label}-links")
-    now = both.groupBy("doc").agg(F.least(F.min("other"), F.col("doc")).alias("comp"))
+    links = materialize(links.select("a", "b").distinct(), f"{label}-pairs")
+    files = -(-links.count() // ROWS_PER_FILE) or 1
+    both = materialize(links.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc"), F.col("a").alias("other")))).alias("x")).select("x.*"), f"{label}-links")
+    now = materialize(both.groupBy("doc").agg(F.least(F.min("other"), F.col("doc")).alias("comp")).coalesce(files), label)
     for k in range(64):
-        now = materialize(now, f"{label}-{k}")
         near = both.join(now.select(F.col("doc").alias("other"), "comp"), "other").groupBy("doc").agg(F.min("comp").alias("near"))
         hooked = now.join(near, "doc").select("doc", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = now.select(F.col("doc").alias("comp"), F.col("comp").alias("root"))
         after = hooked.join(jump, "comp").select("doc", "was", F.least("comp", "root").alias("comp"))
-        after = materialize(after, f"{label}-{k}-after")
+        after = materialize(after.coalesce(files), f"{label}-{k}")
         now = after.select("doc", "comp")
         if not after.where("was != comp").limit(1).count():
             return now
