@@ -189,7 +189,7 @@ def training_sample(labels: DataFrame, label: str, usable: Column, per_class: in
 def train(features: DataFrame, labels: DataFrame, usable: Column) -> Trees:
     """Fit on the sample; its statistics (2 x SAMPLE_PER_CLASS rows at most, for ids that occur once) reach the driver."""
     sample = training_sample(labels, "quality", usable, SAMPLE_PER_CLASS)
-    rows = features.dropDuplicates(["doc_id"]).join(F.broadcast(sample), "doc_id").orderBy("doc_id").toPandas()
+    rows = features.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     return fit(rows[FEATURES].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 
 
