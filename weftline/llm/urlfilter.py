@@ -23,6 +23,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 PREFIX = 8
 #: Up to so many rules (about 10 MB) go to every executor; more are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: Tasks that the pages of one host and path head are dealt over.
+SALTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,7 +65,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     met = expressions.join(table, "short").where(F.col("digest") == F.col("full"))
     rank = F.struct(F.length("rule"), F.length("rule_host"), F.col("rule"), F.col("verdict"))
     best = met.groupBy("host", "head").agg(F.max(rank).alias("best")).select("host", "head", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    # A host may hold a third of all pages: its few heads are repeated for every salt, and its pages dealt over them.
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        pages.withColumn("head", reach).join(best, ["host", "head"], "left")
+        pages.withColumn("head", reach).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(best, ["host", "head", "salt"], "left")
         .select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     )
