@@ -2,14 +2,14 @@
 
 1. Each text becomes its set of distinct word 5-shingles, the set's fingerprint, and ``COORDINATES`` min-hashes.
 2. Rows of equal sets are one class, represented by its least id. All further work is on representatives.
-3. Two sets of similarity 0.85 or more agree in ``MATCHES`` of the coordinates (they miss it with a probability below
-   one in a million), so they share one of any COORDINATES - MATCHES + 1. Representatives are posted under their first
+3. Two sets of ``percent`` similarity or more agree in ``matches(percent)`` of the coordinates (they miss it with a
+   probability of at most ``MISS``), so they share one of any COORDINATES - matches + 1. Representatives are posted under their first
    so many coordinate-value pairs, and those that meet no other there are out. The rest are posted under all pairs;
    pairs that are nobody else's are skipped, and of what remains each representative keeps a prefix of its rarest pairs,
    as many as a partner must share one of.
 4. Posting lists of up to ``SHORT_LIST`` members are joined with themselves. Longer ones are not: each member meets the
    list's leader, the member with the commonest coordinates.
-5. Candidates that agree in MATCHES coordinates are confirmed on their texts' whole sets, and links make components.
+5. Candidates that agree in so many coordinates are confirmed on their texts' whole sets, and links make components.
 6. Members of long lists that still lie in different components meet in blocks of about ``BLOCK``: they are compared
    by size, by coordinates, and by whole sets, and only links leave the task. A third of all rows may be in one list: no
    list is one task, and none sends out its pairs.
@@ -22,7 +22,9 @@ one node. Repeated rows are equal sets. An empty table gives an empty result; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -34,10 +36,11 @@ from weftline.llm import _bytes
 from weftline.llm._spark import materialize
 
 WORDS = 5
-#: Similarity in percent from which two sets are linked.
+#: Similarity in percent from which two sets are linked, unless the caller asks for another.
 PERCENT = 85
 COORDINATES = 64
-MATCHES = 38
+#: Greatest probability that a pair of just the similarity agrees in too few coordinates: at 85 % 38 are asked for, at 80 % 34.
+MISS = 5e-7
 SHORT_LIST = 48
 BLOCK = 256
 #: Up to so many ids (a few MB) are sent to every executor to pick out their texts.
@@ -53,6 +56,15 @@ _ADD = _random.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _WEIGH = _random.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@cache
+def matches(percent: int) -> int:
+    """Coordinates that sets of so many percent similarity agree in, but for a probability of MISS."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= MISS:
+        m += 1
+    return m
+
+
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text as sorted hashes, and the texts' offsets in them."""
     h, which, _, offsets = _bytes.joined_words(texts)
@@ -115,42 +127,46 @@ def _posted(signatures: DataFrame, coordinates: int, *more: str) -> DataFrame:
     return rows.select("doc", *more, (F.col("c").cast("long") * (1 << 32) + F.col("v").cast("long")).alias("key"))
 
 
-def prefixes(representatives: DataFrame) -> DataFrame:
+def prefixes(representatives: DataFrame, percent: int) -> DataFrame:
     """key, doc, n and heat: the postings that partners must share one of. representatives: doc, n, signature."""
-    must_share = COORDINATES - MATCHES + 1
+    agree = matches(percent)
+    must_share = COORDINATES - agree + 1
     first = _posted(representatives, must_share)
     met = first.join(first.groupBy("key").count().where("count > 1").select("key"), "key").select("doc").distinct()
     some = materialize(representatives.join(met, "doc"), "neardup-met")
     every = _posted(some, COORDINATES, "n")
     shared = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "key")
     rarest = shared.groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("p"), F.sum("times").alias("heat"))
-    rarest = rarest.where(F.size("p") >= MATCHES).withColumn("p", F.slice("p", F.lit(1), F.size("p") - MATCHES + 1))
+    rarest = rarest.where(F.size("p") >= agree).withColumn("p", F.slice("p", F.lit(1), F.size("p") - agree + 1))
     return rarest.select("doc", "n", "heat", F.explode("p.key").alias("key"))
 
 
-def _sizes_fit(a: str, b: str):
-    return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * PERCENT
+def _sizes_fit(a: str, b: str, percent: int):
+    return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * percent
 
 
-def _agreeing(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
-    """The distinct pairs a < b that agree in MATCHES coordinates."""
+def _agreeing(pairs: DataFrame, representatives: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs a < b that agree in matches(percent) coordinates."""
     one = representatives.select(F.col("doc").alias("a"), F.col("signature").alias("sa"))
     two = representatives.select(F.col("doc").alias("b"), F.col("signature").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return pairs.distinct().join(one, "a").join(two, "b").where(same >= MATCHES).select("a", "b").distinct()
+    return pairs.distinct().join(one, "a").join(two, "b").where(same >= matches(percent)).select("a", "b").distinct()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-        keep, last, known = [], None, np.empty(0, np.uint64)
-        for x, s, t in zip(a, ta, tb, strict=True):
-            if last is None or last != (x, len(s)):
-                last, known = (x, len(s)), shingles([s])[0]
-            other = shingles([t])[0]
-            both = len(np.intersect1d(known, other, assume_unique=True))
-            keep.append(bool(both) and 100 * both >= PERCENT * (len(known) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            keep, last, known = [], None, np.empty(0, np.uint64)
+            for x, s, t in zip(a, ta, tb, strict=True):
+                if last is None or last != (x, len(s)):
+                    last, known = (x, len(s)), shingles([s])[0]
+                other = shingles([t])[0]
+                both = len(np.intersect1d(known, other, assume_unique=True))
+                keep.append(bool(both) and 100 * both >= percent * (len(known) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return confirm
 
 
 def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
@@ -162,11 +178,11 @@ def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
     return materialize(given.where("text is not null").join(ids, "doc_id", "left_semi"), "neardup-texts")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """The pairs (a written table) whose whole sets are similar enough."""
     texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), documents)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -187,42 +203,47 @@ def components(links: DataFrame, label: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of one block pair: members in different components that fit in size, agree in MATCHES coordinates and have similar whole sets.
+def _meet(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links of one block pair: members in different components that fit in size, agree in matches(percent) coordinates and have similar whole sets.
 
     Members that a link found here joins are not compared again, so at most as many links as members leave the task.
     """
-    frame = frame.sort_values("doc", kind="stable")
-    docs, n, comp, block, guest = (frame[c].to_numpy() for c in ("doc", "n", "comp", "block", "guest"))
-    signature, texts = np.stack(frame["signature"].to_numpy()), frame["text"].to_numpy()
-    other_block = frame["i"].iloc[0] != frame["j"].iloc[0]
-    sets: dict[int, np.ndarray] = {}
-
-    def of(k: int) -> np.ndarray:
-        if k not in sets:
-            sets[k] = shingles([texts[k]])[0]
-        return sets[k]
-
-    _, now = np.unique(comp, return_inverse=True)
-    links = []
-    for at in range(len(docs) - 1):
-        ok = (now[at + 1 :] != now[at]) & ~(guest[at + 1 :] & guest[at])
-        ok &= np.minimum(n[at + 1 :], n[at]) * 100 >= np.maximum(n[at + 1 :], n[at]) * PERCENT
-        if other_block:
-            ok &= block[at + 1 :] != block[at]
-        to = np.flatnonzero(ok) + at + 1
-        to = to[(signature[to] == signature[at]).sum(axis=1) >= MATCHES]
-        for k in to.tolist():
-            if now[k] == now[at]:
-                continue
-            both = len(np.intersect1d(of(at), of(k), assume_unique=True))
-            if 100 * both >= PERCENT * (len(of(at)) + len(of(k)) - both):
-                links.append((docs[at], docs[k]))
-                now[now == now[k]] = now[at]
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-
-def _rest(long: DataFrame, linked: DataFrame, representatives: DataFrame, documents: DataFrame) -> DataFrame:
+    agree = matches(percent)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc", kind="stable")
+        docs, n, comp, block, guest = (frame[c].to_numpy() for c in ("doc", "n", "comp", "block", "guest"))
+        signature, texts = np.stack(frame["signature"].to_numpy()), frame["text"].to_numpy()
+        other_block = frame["i"].iloc[0] != frame["j"].iloc[0]
+        sets: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles([texts[k]])[0]
+            return sets[k]
+
+        _, now = np.unique(comp, return_inverse=True)
+        links = []
+        for at in range(len(docs) - 1):
+            ok = (now[at + 1 :] != now[at]) & ~(guest[at + 1 :] & guest[at])
+            ok &= np.minimum(n[at + 1 :], n[at]) * 100 >= np.maximum(n[at + 1 :], n[at]) * percent
+            if other_block:
+                ok &= block[at + 1 :] != block[at]
+            to = np.flatnonzero(ok) + at + 1
+            to = to[(signature[to] == signature[at]).sum(axis=1) >= agree]
+            for k in to.tolist():
+                if now[k] == now[at]:
+                    continue
+                both = len(np.intersect1d(of(at), of(k), assume_unique=True))
+                if 100 * both >= percent * (len(of(at)) + len(of(k)) - both):
+                    links.append((docs[at], docs[k]))
+                    now[now == now[k]] = now[at]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return meet
+
+
+def _rest(long: DataFrame, linked: DataFrame, representatives: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Links among the members of long lists (doc, n, leader) that are still in different components.
 
     Lists that share members are one cluster, so that no pair is compared list by list; within it only members of sizes
@@ -232,7 +253,7 @@ def _rest(long: DataFrame, linked: DataFrame, representatives: DataFrame, docume
     clusters = components(met, "neardup-cluster").withColumnRenamed("comp", "cluster")
     members = long.select("doc", "n").distinct().join(clusters, "doc").join(linked, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     # A little wider than the similarity asks for, so that rounding can't part two that fit.
-    members = members.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / (PERCENT - 1)))).cast("int"))
+    members = members.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / (percent - 1)))).cast("int"))
     cells = members.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("cell", F.col("range") - F.col("guest").cast("int"))
     cells = materialize(cells, "neardup-cells")
     size = cells.groupBy("cluster", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("guest").alias("only_guests"), F.count(F.lit(1)).alias("m"))
@@ -242,32 +263,32 @@ def _rest(long: DataFrame, linked: DataFrame, representatives: DataFrame, docume
     full = cells.join(representatives.select("doc", "signature"), "doc").join(texts, "doc")
     full = full.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    return full.select("cluster", "cell", "i", "j", "block", "guest", "doc", "n", "comp", "signature", "text").groupBy("cluster", "cell", "i", "j").applyInPandas(_meet, "a long, b long")
+    return full.select("cluster", "cell", "i", "j", "block", "guest", "doc", "n", "comp", "signature", "text").groupBy("cluster", "cell", "i", "j").applyInPandas(_meet(percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; sets of ``percent`` similarity or more are linked."""
     rows = materialize(signatures(documents), "neardup-signatures")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = usable.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "signature")).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select("f1", "f2", "n", F.col("first.doc_id").alias("doc"), F.col("first.signature").alias("signature"), "copies"), "neardup-classes")
     representatives = classes.select("doc", "n", "signature")
 
-    posted = materialize(prefixes(representatives), "neardup-postings")
+    posted = materialize(prefixes(representatives, percent), "neardup-postings")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("heat", -F.col("doc"), "n")).alias("top")).where("m > 1")
     short = posted.join(lists.where(F.col("m") <= SHORT_LIST).select("key"), "key").select("key", "doc", "n")
     one, two = short.select("key", F.col("doc").alias("a"), F.col("n").alias("na")), short.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    near = one.join(two, "key").where(F.col("a") < F.col("b")).where(_sizes_fit("na", "nb")).select("a", "b")
+    near = one.join(two, "key").where(F.col("a") < F.col("b")).where(_sizes_fit("na", "nb", percent)).select("a", "b")
     leaders = lists.where(F.col("m") > SHORT_LIST).select("key", (-F.col("top.col2")).alias("leader"), F.col("top.n").alias("nl"))
     long = posted.join(leaders, "key")
-    star = long.where(F.col("doc") != F.col("leader")).where(_sizes_fit("n", "nl")).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-    candidates = materialize(_agreeing(near.union(star), representatives), "neardup-candidates")
-    links = materialize(confirmed(candidates, documents), "neardup-links")
+    star = long.where(F.col("doc") != F.col("leader")).where(_sizes_fit("n", "nl", percent)).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+    candidates = materialize(_agreeing(near.union(star), representatives, percent), "neardup-candidates")
+    links = materialize(confirmed(candidates, documents, percent), "neardup-links")
     linked = components(links, "neardup-comp")
 
     members = materialize(long.select("doc", "n", "leader").distinct(), "neardup-long")
     if members.limit(1).count():
-        more = materialize(_rest(members, linked, representatives, documents), "neardup-more")
+        more = materialize(_rest(members, linked, representatives, documents, percent), "neardup-more")
         if more.limit(1).count():
             linked = components(links.union(more), "neardup-comp-again")
 
@@ -279,9 +300,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def without_duplicates(documents: DataFrame) -> DataFrame:
+def without_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The given rows, of each component only the row kept. Of rows that share an id one is kept (of rows with a null id, all)."""
-    marked = materialize(near_duplicates(documents), "neardup-marked")
+    marked = materialize(near_duplicates(documents, percent), "neardup-marked")
     dropped = marked.where("not kept").select("doc_id").distinct()
     if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)

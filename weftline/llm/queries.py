@@ -30,7 +30,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
