@@ -41,3 +41,12 @@ def test_nulls_repeats_and_few_rows(spark):
     check(got, rows, 3)
     assert sorted(got["size"]) == [1, 1, 2, 2, 10001]
     assert len(shard(spark, [])) == 0
+
+
+def test_every_row_has_a_copy(spark):
+    for size, shards, few in ((2, 16, 0.1), (3, 16, 0.15), (2, 4, 0.1)):
+        rows = [(i, f"group {i // size}", "x", 1) for i in range(4800)]
+        got = shard(spark, rows, shards)
+        check(got, rows, shards)
+        cut = (got.groupby(got.doc_id // size).shard.nunique() > 1).mean()
+        assert cut < few, (size, shards, cut)
