@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word is still taken whole.
 SEGMENT = 1 << 20
@@ -101,6 +103,16 @@ def groups(texts: Sequence[bytes | None], size: int = 2 << 20) -> Iterator[tuple
         yield at, len(texts)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], *columns: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose texts (the given columns) have about ``size`` bytes together, so that few become Python objects at a time."""
+    for batch in batches:
+        lengths = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        whole = np.cumsum(lengths + 1) // size
+        edges = np.concatenate([[0], np.flatnonzero(whole[1:] != whole[:-1]) + 1, [batch.num_rows]]) if batch.num_rows else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
 def word_terms(texts: Sequence[bytes | None], prefixes: Sequence[int], apart: np.ndarray = NON_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every word of several texts, A-Z lower-cased, and of its first bytes in the given lengths; and the text's number of each."""
     data = b"\n".join(t or b"" for t in texts).lower()

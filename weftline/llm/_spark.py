@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Hash buckets that a global numbering is cut into; a bucket holds 1/4096 of a group's rows.
 RANK_BUCKETS = 4096
+#: Bytes of an Arrow batch, unless the session names a size of its own. A longer row is still one batch.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -22,16 +25,29 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: the session's ``spark.checkpoint.dir``.
 
-    Only where a session names none (local tests) a temporary folder becomes its checkpoint folder.
+    Only in a local session that names none (tests) a temporary folder becomes its checkpoint folder; on a cluster that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``, so that a Python worker holds little text at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def map_texts(documents: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *more: Column) -> DataFrame:
+    """``function`` over small batches of doc_id (long), text (UTF-8 bytes) and the columns of ``more``."""
+    small_batches(documents.sparkSession)
+    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    return given.mapInArrow(function, schema)
 
 
 def materialize(frame: DataFrame, label: str) -> DataFrame:
