@@ -1,33 +1,71 @@
 """Toxicity: exact neighbours, held-out accuracy, edge cases."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
-from weftline.llm import quality, toxicity
-
-
-def test_nearest_is_brute_force(monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 4)
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(150):
-        t = np.sort(rng.choice(12, rng.integers(0, 4), replace=False))
-        rows.append((i, int(rng.integers(0, 2)), t.tolist(), rng.integers(1, 3, len(t)).tolist()))
-    index = toxicity.build_index(rows, rng.random(12) + 1)
-    full = [r for r in rows if r[2]]
-    dense = np.zeros((len(full), 13))
-    for k, r in enumerate(full):
-        dense[k, r[2]] = index.vector(np.array(r[2]), np.array(r[3], float))
-        dense[k, 12] = np.sqrt(1 - (dense[k] ** 2).sum())
-    for k, r in enumerate(full):
-        at, cosines = index.nearest(np.array(r[2]), np.array(r[3], float))
-        exact = np.round(dense @ dense[k], 12)
-        order = np.lexsort((np.arange(len(full)), -exact))
-        order = order[exact[order] > 0][: toxicity.NEIGHBOURS]
-        assert np.allclose(cosines, exact[order])
-        by_id = dict(zip((f[0] for f in full), exact, strict=True))
-        assert np.allclose([by_id[i] for i in index.ids[at]], cosines) and len(set(index.ids[at])) == len(at)
+from weftline.llm import _bytes, quality, toxicity
+
+
+def plain_counts(text):
+    """Words (runs of letters and digits, A-Z lower-cased) and their beginnings."""
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower())
+    return Counter([*words, *[(k, w[:k]) for w in words for k in toxicity.PREFIXES if len(w) >= k]])
+
+
+def plain_search(examples, labels, corpus, query):
+    """Places and cosines of a query's nearest examples, by the formulas over whole texts."""
+    counts, every = [plain_counts(t) for t in examples], [plain_counts(t) for t in corpus]
+    scale = sum(labels) / max(len(labels) - sum(labels), 1)
+    weight = {}
+    for t in set().union(*counts):
+        a, b = (sum(t in c for c, y in zip(counts, labels, strict=True) if y == side) for side in (1, 0))
+        weight[t] = (math.log((1 + len(corpus)) / (1 + sum(t in c for c in every))) + 1) * math.log2(2 + a / max(1, b * scale))
+
+    def unit(c):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units, q = [unit(c) for c in counts], unit(plain_counts(query))
+    cosines = [sum(x * u.get(t, 0) for t, x in q.items()) for u in units]
+    order = sorted((k for k in range(len(examples)) if cosines[k] > 1e-9), key=lambda k: (-round(cosines[k], 7), k))
+    return [(k, cosines[k]) for k in order[: toxicity.NEIGHBOURS]]
+
+
+@pytest.mark.parametrize(("dense", "postings"), [(8, 50), (0, 1 << 18), (10_000, 1 << 18)])
+def test_nearest_is_brute_force_over_whole_texts(monkeypatch, dense, postings):
+    for name, value in (("BLOCK", 4), ("DENSE", dense), ("POSTINGS", postings), ("NEIGHBOURS", 6)):
+        monkeypatch.setattr(toxicity, name, value)
+    rng = random.Random(dense)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 25)))
+    examples, queries = [text() for _ in range(70)] + [""], [text() for _ in range(60)] + ["", None, "unknown words"]
+    labels = [rng.randrange(2) for _ in examples]
+    corpus = examples + queries
+    hashed = toxicity.hashed_counts([t.encode() for t in examples])
+    vocabulary = np.unique(hashed.terms)
+    table = _bytes.Places(vocabulary)
+    encoded = [None if t is None else t.encode() for t in corpus]
+    frequencies = np.bincount(toxicity.known_counts(encoded, table).terms, minlength=len(vocabulary))
+    numbered = toxicity.Counts(hashed.offsets, np.searchsorted(vocabulary, hashed.terms), hashed.times)
+    index = toxicity.build_index(np.arange(len(examples)), np.array(labels), numbered, vocabulary, frequencies, len(corpus), (600, 60))
+    for query, (at, cosines) in zip(queries, index.nearest(toxicity.known_counts(encoded[len(examples) :], table), toxicity.NEIGHBOURS), strict=True):
+        expected = plain_search(examples, labels, corpus, query)
+        assert np.allclose(cosines, [c for _, c in expected], atol=1e-6)
+        clear = [k for (k, c), (_, n) in zip(expected, expected[1:], strict=False) if c - n > 1e-6]
+        assert set(clear) <= set(index.ids[at].tolist())
+
+
+def test_isotonic_steps():
+    x, y = np.array([0.1, 0.1, 0.2, 0.3, 0.4, 0.4]), np.array([0.0, 1.0, 0.0, 1.0, 1.0, 1.0])
+    points, values = toxicity.isotonic(x, y, np.array([1.0, 1.0, 2.0, 1.0, 1.0, 1.0]))
+    # 0.1 (mean 0.5) and 0.2 (mean 0) break the order: one pool of weight 4, then 0.3 and 0.4.
+    assert np.allclose(points, [0.15, 1.1 / 3])
+    assert np.isclose(values[0], 1.5 / 5) and (np.diff(values) >= 0).all()
 
 
 def corpus(n):

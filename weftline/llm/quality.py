@@ -176,14 +176,16 @@ def id_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def rated(labels: DataFrame, label: str, usable: Column) -> DataFrame:
+    """doc_id and label (int) of every usable id with a label."""
+    some = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
+    return some.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+
+
 def training_sample(labels: DataFrame, label: str, usable: Column, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled ids of each class, those of least hash: columns doc_id and label."""
-    rated = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
-        .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return rated.where("label = 1").orderBy(*order).limit(per_class).unionAll(rated.where("label = 0").orderBy(*order).limit(per_class))
+    some, order = rated(labels, label, usable), [F.xxhash64("doc_id"), F.col("doc_id")]
+    return some.where("label = 1").orderBy(*order).limit(per_class).unionAll(some.where("label = 0").orderBy(*order).limit(per_class))
 
 
 def train(features: DataFrame, labels: DataFrame, usable: Column) -> Trees:

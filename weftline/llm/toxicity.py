@@ -1,27 +1,30 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 1. Examples: ``EXAMPLES_PER_CLASS`` labelled ids of each class at most, those of least hash. Of examples of a class whose
    texts share their least 5-word shingle hash (copies, and nearly always near copies) one stays, that of the least id:
    else the words of one text that was copied often would look like signs of its class.
-2. Terms: words, and beginnings of words in ``PREFIXES`` bytes, whose document frequency among the examples leans to the toxic class (chi-squared, and ``MIN_LIFT`` times the clean class's
-   share), ``MAX_TERMS`` at most.
-3. Statistics: each document's counts of the terms, and from them document frequencies over the whole corpus.
-4. Index: postings of the examples in blocks of ``BLOCK`` examples, with each block's greatest weight of each term. Examples
-   are ordered by their weightiest terms, so that most blocks hold few terms and low bounds.
-5. Score: the blocks of greatest upper bound give a k-th cosine, then every block that can reach it is searched. The
-   cosine-weighted vote of the neighbours is smoothed by the prior and calibrated by isotonic steps fitted on
-   ``CALIBRATION`` examples at most, each scored without itself. Neighbours are returned as evidence. Every vector with terms also has one
-   component for the text as such, of the fixed weight ``GROUND``, so that one chance occurrence is not like many.
-
-Documents without any term (empty and null texts among them) get the smoothed share of toxic examples that have none
-either. Without examples the score is 0.5; without any chosen term every document counts as one without terms. Of several labels of an id
-the rounded mean counts; null labels and ids are not learned from. Ties in cosine go to the smaller id. Repeated rows
-are scored alike, an empty table gives an empty result, and other columns of the inputs are not read.
+2. Terms: every word of the examples and its beginnings in ``PREFIXES`` bytes. None is left out. A term's weight is
+   its inverse document frequency over the whole corpus times its relevance frequency, log2(2 + a / max(1, b)) with a
+   toxic and b clean examples that hold it (b scaled to as many examples as a), which is 1 at least. Without the second
+   factor the nearest examples are those of the same subject (see the README's figures).
+3. Index: examples lie in blocks of ``BLOCK``, ordered by their weightiest terms. Rarer terms have postings; the
+   ``DENSE`` commonest, which most examples hold, have a row of all examples' weights. Both have each block's greatest.
+4. Search: a group of texts is searched together. Postings give the rare terms' share of every cosine; with the greatest
+   of it in a block and the common terms' block maxima this bounds the block. A query's best block gives a k-th cosine,
+   then every block that can reach it is worked out.
+5. Score: neighbours vote by their cosine, relative to the nearest, smoothed by the examples' share; isotonic steps
+   turn votes into shares of toxic documents. They are fitted on the examples, each without itself, weighted by the
+   classes' sizes among all usable labels. Neighbours are returned as evidence.
+
+Documents that hold no term of an example (empty and null texts among them) get the smoothed share of toxic examples
+that have no words either. Without examples the score is 0.5. Of several labels of an id the rounded mean counts, of several texts of a
+labelled id the least; null labels and ids are not learned from. Ties in cosine go to the smaller id. Repeated rows are
+scored alike, an empty table gives an empty result, and other columns of the inputs are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,295 +34,320 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes
-from weftline.llm._spark import materialize
+from weftline.llm._spark import map_texts, materialize, small_batches
 from weftline.llm.neardup import shingles
-from weftline.llm.quality import training_sample
-
-EXAMPLES_PER_CLASS = 10_000
-MAX_TERMS = 1024
-PREFIXES = (5, 6, 7, 8)
-GROUND = 10.0
-#: Least chi-squared of a term.
-MIN_CHI2 = 25.0
-MIN_LIFT = 4.0
+from weftline.llm.quality import rated, training_sample
+
+EXAMPLES_PER_CLASS = 1_500
+PREFIXES = (5, 7)
+DENSE = 1024
 NEIGHBOURS = 25
-BLOCK = 128
-#: Examples, spread evenly over the index, that the calibration is fitted on.
-CALIBRATION = 4_000
-#: Searches that a task remembers.
-REMEMBERED = 20_000
-#: Weight of the prior in a vote, as so many perfect neighbours.
+BLOCK = 64
+#: Weight of the examples' share in a vote, as so many of the nearest neighbour.
 PRIOR_WEIGHT = 0.5
+#: Bytes of text searched together, and postings read at a time.
+GROUP_BYTES, POSTINGS = 512 << 10, 1 << 18
+
+
+@dataclass
+class Counts:
+    """Distinct terms of several texts: text k has ``terms`` and ``times`` from offsets[k] to offsets[k + 1]."""
+
+    offsets: np.ndarray
+    terms: np.ndarray
+    times: np.ndarray
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
 
-def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def hashed_counts(texts: Sequence[bytes | None]) -> Counts:
+    """Counts by hash."""
+    h, which = _bytes.word_terms(texts, PREFIXES)
+    order = np.lexsort((h, which))
+    h, which = h[order], which[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (which[1:] != which[:-1])
+    at = np.flatnonzero(first)
+    return Counts(np.searchsorted(which[at], np.arange(len(texts) + 1)), h[at], np.diff(np.append(at, len(h))))
 
 
-def _term_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct terms of labelled texts: documents of each class that hold them."""
-    for batch in batches:
-        texts, labels = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in _bytes.groups(texts):
-            h, which = _bytes.word_terms(texts[a:b], PREFIXES)
-            order = np.lexsort((which, h))
-            h, which = h[order], which[order]
-            if not len(h):
-                continue
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (which[1:] != which[:-1])
-            h, y = h[first], labels[a:b][which[first]]
-            terms, at = np.unique(h, return_inverse=True)
-            positive = np.bincount(at, y, len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(positive), pa.array(np.bincount(at, minlength=len(terms)) - positive)], names=["term", "positive", "negative"])
+def known_counts(texts: Sequence[bytes | None], table: _bytes.Places) -> Counts:
+    """Counts of the table's terms, by number."""
+    h, which = _bytes.word_terms(texts, PREFIXES)
+    place = table.of(h)
+    hit = place >= 0
+    many = max(len(table.keys), 1)
+    cell, times = np.unique(which[hit] * many + place[hit], return_counts=True)
+    return Counts(np.searchsorted(cell, np.arange(len(texts) + 1) * many), cell % many, times)
+
+
+def joined(parts: Sequence[Counts]) -> Counts:
+    """The counts of all texts of the parts (one at least)."""
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(p.offsets) for p in parts]])
+    return Counts(np.cumsum(sizes), np.concatenate([p.terms for p in parts]), np.concatenate([p.times for p in parts]))
 
 
-def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each labelled text's least shingle, and its terms and counts as bytes."""
+    for batch in _bytes.pieces(batches, 2):
         texts = batch.column(2).to_pylist()
+        value, offsets = shingles(texts)
         least = np.zeros(len(texts), np.uint64)
-        for a, b in _bytes.groups(texts):
-            value, offsets = shingles(texts[a:b])
-            full = np.flatnonzero(np.diff(offsets)) + a
-            least[full] = value[offsets[full - a]]  # each text's shingles are sorted
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least.view(np.int64))], names=["doc_id", "label", "least"])
+        full = np.flatnonzero(np.diff(offsets))
+        least[full] = value[offsets[full]]  # each text's shingles are sorted
+        counts = hashed_counts(texts)
+        packed = [[x[a:b].tobytes() for a, b in zip(counts.offsets[:-1], counts.offsets[1:], strict=True)] for x in (counts.terms, counts.times.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least.view(np.int64)), *[pa.array(x, pa.binary()) for x in packed]], names=["doc_id", "label", "least", "terms", "times"])
 
 
-def distinct_examples(examples: DataFrame) -> DataFrame:
-    """doc_id and label of examples (doc_id, label, text), one of each group of copies."""
-    marked = examples.select("doc_id", "label", "text").mapInArrow(_least_shingles, "doc_id long, label int, least long")
-    return marked.groupBy("least", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label").distinct()
+def examples(documents: DataFrame, labels: DataFrame, usable: Column) -> pd.DataFrame:
+    """The examples on the driver: doc_id, label, terms and times, 2 x EXAMPLES_PER_CLASS rows at most, one of each group of copies."""
+    drawn = F.broadcast(training_sample(labels, "toxic", usable, EXAMPLES_PER_CLASS))
+    small_batches(documents.sparkSession)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    chosen = texts.join(drawn, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = materialize(chosen.mapInArrow(_examples, "doc_id long, label int, least long, terms binary, times binary"), "toxic-examples").toPandas().sort_values("doc_id")
+    copies = rows.duplicated(["least", "label"]) & (rows["least"] != 0)
+    return rows[~copies].reset_index(drop=True)
 
 
-def choose_terms(examples: DataFrame, positives: int, negatives: int) -> np.ndarray:
-    """Sorted hashes of the terms that lean to the toxic class; examples: columns text (binary) and label."""
-    counts = examples.select("text", "label").mapInArrow(_term_classes, "term long, positive long, negative long").groupBy("term").agg(F.sum("positive").alias("a"), F.sum("negative").alias("b"))
-    n, a, b = float(positives + negatives), F.col("a").cast("double"), F.col("b").cast("double")
-    cross = a * (negatives - b) - b * (positives - a)
-    chi2 = n * cross * cross / (F.lit(float(positives) * negatives) * (a + b) * (n - a - b))
-    ranked = counts.where((a / positives >= MIN_LIFT * b / max(negatives, 1)) & (a > 0) & (a + b < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    best = ranked.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect()
-    return np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
+def document_frequencies(documents: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents of the whole corpus that hold each term, and how many documents there are. Each task sends one row for each term that it saw."""
+    known = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, rows = _bytes.Places(known.value), np.zeros(len(known.value), np.int64), 0
+        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+            seen += np.bincount(known_counts(batch.column(1).to_pylist(), table).terms, minlength=len(seen))
+            rows += batch.num_rows
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], rows))], names=["term", "n"])
 
-def _counted(texts: list[bytes | None], table: _bytes.Places) -> list[pa.ListArray]:
-    """Each text's term numbers and their counts."""
-    numbers, tfs, sizes = [], [], []
-    many = max(len(table.keys), 1)
-    for a, b in _bytes.groups(texts):
-        h, which = _bytes.word_terms(texts[a:b], PREFIXES)
-        at = table.of(h).astype(np.int64)
-        hit = np.flatnonzero(at >= 0)
-        cell, tf = np.unique(which[hit] * many + at[hit], return_counts=True)
-        numbers.append(cell % many)
-        tfs.append(tf)
-        sizes.append(np.bincount(cell // many, minlength=b - a))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (numbers, tfs)]
-
-
-def term_counts(documents: DataFrame, terms: np.ndarray) -> DataFrame:
-    """doc_id, and the numbers and counts of the chosen terms in its whole text."""
-    known = documents.sparkSession.sparkContext.broadcast(terms)
+    total = map_texts(documents, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = np.zeros(len(vocabulary), np.int64)
+    inside = total["term"] >= 0
+    found[total["term"][inside]] = total["n"][inside]
+    return found, int(total["n"][~inside].sum())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bytes.Places(known.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *_counted(texts, table)], names=["doc_id", "terms", "counts"])
 
-    return _texts(documents).mapInArrow(count, "doc_id long, terms array<int>, counts array<int>")
+def relevance_frequency(toxic: np.ndarray, clean: np.ndarray, scale: float) -> np.ndarray:
+    """log2(2 + a / max(1, b * scale)) of terms in a toxic and b clean examples."""
+    return np.log2(2 + toxic / np.maximum(1, clean * scale))
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples that have terms, by block, and the calibration."""
+    """Unit vectors of the examples by block, the terms' weights, and the calibration. Stored in single precision, searched in double."""
 
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: terms x blocks: greatest weight of a term in a block.
-    block_max: np.ndarray
-    #: For each term the places of the examples that hold it, and its weights there.
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    #: The ground component of each example, and its greatest by block.
-    ground: np.ndarray
-    ground_max: np.ndarray
-    prior: float
+    #: A common term's row in ``dense``, -1 for others; the others' postings are place and value from start[t] to start[t + 1].
+    row: np.ndarray
+    dense: np.ndarray
+    start: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    share: float
     empty_score: float
-    steps: tuple[np.ndarray, np.ndarray]
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        v = (1 + np.log(counts)) * self.idf[terms]
-        return v / np.sqrt((v * v).sum() + GROUND**2)
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, many: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples: greatest cosine first, ties by id."""
-        weights = self.vector(terms, counts)
-        ground = np.sqrt(max(1 - float(weights @ weights), 0.0))
-        bound = weights @ self.block_max[terms] + ground * self.ground_max
-        order = np.argsort(-bound, kind="stable")
-        first = order[: -(-many // BLOCK) + 1]
-        at, best = self._best(*self._cosines(terms, weights, ground, first), many)
-        least = best[-1] - 1e-11 if len(best) == many else 0.0
-        rest = order[len(first) :][bound[order[len(first) :]] >= least]
-        if not len(rest):
-            return at, best
-        more_at, more = self._cosines(terms, weights, ground, rest)
-        near = more >= least
-        return self._best(np.concatenate([at, more_at[near]]), np.concatenate([best, more[near]]), many)
-
-    def _cosines(self, terms: np.ndarray, weights: np.ndarray, ground: float, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the blocks' examples, and their cosines, summed over the postings that lie in these blocks."""
-        chosen = np.zeros(len(self.ground_max), bool)
-        chosen[blocks] = True
-        at = np.flatnonzero(np.repeat(chosen, BLOCK)[: len(self.ids)])
-        total = ground * self.ground
-        for t, q in zip(terms.tolist(), weights.tolist(), strict=True):
-            place, w = self.postings[t]
-            inside = chosen[place // BLOCK]
-            total[place[inside]] += q * w[inside]
-        return at, np.round(total[at], 12)
-
-    def _best(self, at: np.ndarray, cosines: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cosines) > 4 * many:  # what is below the many-th can't come in
-            least = np.partition(cosines, len(cosines) - many)[len(cosines) - many]
-            at, cosines = at[cosines >= least], cosines[cosines >= least]
-        order = np.lexsort((self.ids[at], -cosines))[:many]
-        order = order[cosines[order] > 0]
-        return at[order], cosines[order]
+    steps: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def vectors(self, counts: Counts) -> np.ndarray:
+        """Weights of the terms, of length 1 in each text."""
+        v = (1 + np.log(counts.times)) * self.weight[counts.terms]
+        owner = counts.owners()
+        return v / np.sqrt(np.bincount(owner, v * v, len(counts.offsets) - 1))[owner]
+
+    def ready(self) -> Index:
+        """With the common terms' weights in double precision, padded to whole blocks, and their block maxima."""
+        blocks = -(-len(self.ids) // BLOCK)
+        self._dense = np.zeros((len(self.dense), blocks * BLOCK))
+        self._dense[:, : len(self.ids)] = self.dense
+        self._most = self._dense.reshape(len(self.dense), blocks, BLOCK).max(axis=2) if blocks else np.zeros((len(self.dense), 0))
+        return self
+
+    def _rare(self, owner: np.ndarray, terms: np.ndarray, q: np.ndarray, n: int, wide: int) -> np.ndarray:
+        """Sums over the rarer terms' postings, texts x examples, for about ``POSTINGS`` at a time."""
+        total = np.zeros(n * wide)
+        first = self.start[terms].astype(np.int64)
+        size = self.start[terms + 1] - first
+        upto = np.concatenate([[0], np.cumsum(size)])
+        edges = np.unique(np.minimum(np.searchsorted(upto, np.arange(0, upto[-1] + POSTINGS, POSTINGS)), len(size)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            many = size[a:b]
+            at = np.repeat(first[a:b] - upto[a:b], many)
+            at += np.arange(upto[a], upto[b])
+            cell = np.repeat(owner[a:b] * wide, many)
+            cell += self.place[at]
+            product = np.repeat(q[a:b], many)
+            product *= self.value[at]
+            low = int(owner[a]) * wide
+            cell -= low
+            part = np.bincount(cell, product)
+            total[low : low + len(part)] += part
+        return total.reshape(n, wide)
+
+    def nearest(self, counts: Counts, many: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of each text's nearest examples: greatest cosine first, ties by id; only cosines over 0."""
+        n, wide = len(counts.offsets) - 1, self._dense.shape[1]
+        if not wide or not n:
+            return [(np.empty(0, np.int64), np.empty(0))] * n
+        owner, q = counts.owners(), self.vectors(counts)
+        row = self.row[counts.terms]
+        common = np.zeros((n, len(self.dense)))
+        common[owner[row >= 0], row[row >= 0]] = q[row >= 0]
+        rare = row < 0
+        cosine = self._rare(owner[rare], counts.terms[rare], q[rare], n, wide)
+        blocks = wide // BLOCK
+        bound = cosine.reshape(n, blocks, BLOCK).max(axis=2) + common @ self._most
+        done = np.zeros((n, blocks), bool)
+
+        def work_out(todo: np.ndarray) -> None:
+            for b in np.flatnonzero(todo.any(axis=0)).tolist():
+                who, span = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                cosine[who, span] += common[who] @ self._dense[:, span]
+            done[todo] = True
+
+        # Enough of the best blocks for ``many`` examples give a cosine that the result reaches.
+        lead = min(blocks, -(-many // BLOCK))
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :lead]
+        todo = np.zeros((n, blocks), bool)
+        np.put_along_axis(todo, best, True, axis=1)
+        work_out(todo)
+        some = np.take_along_axis(cosine.reshape(n, blocks, BLOCK), best[:, :, None], axis=1).reshape(n, -1)
+        least = -np.sort(-some, axis=1)[:, min(many, some.shape[1]) - 1]
+        work_out((bound >= least[:, None] - 1e-9) & ~done)
+        cosine = np.round(cosine, 12)
+        cosine[~np.repeat(done, BLOCK, axis=1)] = 0
+        cosine = cosine[:, : len(self.ids)]
+        top = min(many, len(self.ids))
+        least = np.maximum(np.partition(cosine, len(self.ids) - top, axis=1)[:, len(self.ids) - top], 1e-12)
+        found = []
+        for k in range(n):
+            near = np.flatnonzero(cosine[k] >= least[k])
+            near = near[np.lexsort((self.ids[near], -cosine[k, near]))[:many]]
+            found.append((near, cosine[k, near]))
+        return found
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
-        return float((cosines @ self.labels[at] + PRIOR_WEIGHT * self.prior) / (cosines.sum() + PRIOR_WEIGHT))
-
-    def calibrated(self, vote: float) -> float:
-        if not len(self.steps[0]):
-            return vote
-        return float(np.interp(vote, *self.steps))
-
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Monotone steps of mean ``y`` over ``x`` by pooling adjacent violators, as points to interpolate."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # sum of x, sum of y, n
-    for i in order:
-        pools.append([x[i], y[i], 1])
+        if not len(at):
+            return self.share
+        w = cosines / cosines[0]
+        return float((w @ self.labels[at] + PRIOR_WEIGHT * self.share) / (w.sum() + PRIOR_WEIGHT))
+
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        votes = np.array([self.vote(*x) for x in found])
+        calibrated = np.interp(votes, *self.steps) if len(self.steps[0]) else votes
+        return np.where([len(x[0]) > 0 for x in found], calibrated, self.empty_score) if found else np.empty(0)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Monotone steps of mean ``y`` over ``x`` with weights by pooling adjacent violators, as points to interpolate."""
+    pools: list[list[float]] = []  # sums of w * x, w * y and w
+    points, at = np.unique(x, return_inverse=True)
+    for point, sum_y, sum_w in zip(points, np.bincount(at, w * y), np.bincount(at, w), strict=True):
+        pools.append([point * sum_w, sum_y, sum_w])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             top = pools.pop()
             pools[-1] = [u + v for u, v in zip(pools[-1], top, strict=True)]
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def build_index(rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> Index:
-    """rows: id, label, terms and counts of each example."""
-    labels = np.array([r[1] for r in rows], np.float64)
-    prior = float((labels.sum() + 0.5) / (len(rows) + 1))
-    bare = np.array([r[1] for r in rows if not r[2]], np.float64)
-    weightiest = lambda r: tuple(sorted(r[2], key=lambda t: -idf[t]))
-    full = sorted((r for r in rows if r[2]), key=lambda r: (weightiest(r), r[0]))
-    blocks = -(-len(full) // BLOCK)
-    index = Index(
-        idf, np.array([r[0] for r in full], np.int64), np.array([r[1] for r in full], np.float64), np.zeros((len(idf), blocks)), [], np.empty(0), np.zeros(blocks), prior,
-        float((bare.sum() + 0.5 * prior) / (len(bare) + 0.5)), (np.empty(0), np.empty(0)),
-    )
-    vectors = [(np.array(t), index.vector(np.array(t), np.array(c, np.float64))) for _, _, t, c in full]
-    term = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
-    weight = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
-    place = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    np.maximum.at(index.block_max, (term, place // BLOCK), weight)
-    by_term = np.argsort(term, kind="stable")
-    edges = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
-    index.postings = [(place[by_term[a:b]], weight[by_term[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    index.ground = np.sqrt(np.maximum(1 - np.bincount(place, weight * weight, len(vectors)), 0.0))
-    np.maximum.at(index.ground_max, np.arange(len(vectors)) // BLOCK, index.ground)
-    known: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    probes = np.unique(np.linspace(0, len(full) - 1, min(len(full), CALIBRATION)).astype(np.int64)) if full else np.empty(0, np.int64)
-    votes = np.empty(len(probes))
-    for n, i in enumerate(probes.tolist()):
-        _, _, t, c = full[i]
-        if (key := (tuple(t), tuple(c))) not in known:
-            known[key] = index.nearest(np.array(t), np.array(c, np.float64), NEIGHBOURS + 1)
-        at, near = known[key]
-        others = at != i
-        votes[n] = index.vote(at[others][:NEIGHBOURS], near[others][:NEIGHBOURS])
-    if len(votes):
-        index.steps = isotonic(votes, index.labels[probes])
+def build_index(ids: np.ndarray, labels: np.ndarray, counts: Counts, vocabulary: np.ndarray, frequencies: np.ndarray, documents: int, class_sizes: tuple[int, int]) -> Index:
+    """The index of examples with the given counts (terms are numbers in the sorted vocabulary). class_sizes: usable labels 0 and 1."""
+    labels = labels.astype(np.float64)
+    owner = counts.owners()
+    toxic, clean = (np.bincount(counts.terms, labels[owner] == y, len(vocabulary)) for y in (1, 0))
+    scale = labels.sum() / max((1 - labels).sum(), 1)
+    weight = (np.log((1 + documents) / (1 + frequencies)) + 1) * relevance_frequency(toxic, clean, scale)
+    each = np.where(labels > 0, class_sizes[1] / max(labels.sum(), 1), class_sizes[0] / max((1 - labels).sum(), 1))
+    prior = (each @ labels + 0.5) / (each.sum() + 1)
+    bare = np.diff(counts.offsets) == 0
+    empty_score = float((each[bare] @ labels[bare] + 0.5 * prior) / (each[bare].sum() + 0.5))
+    held = toxic + clean
+    common = np.sort(np.argsort(-held, kind="stable")[: min(DENSE, len(vocabulary))])
+    row = np.full(len(vocabulary), -1, np.int32)
+    row[common] = np.arange(len(common))
+    index = Index(vocabulary, weight, ids, labels, row, np.empty((0, 0), np.float32), np.empty(0), np.empty(0), np.empty(0), float((labels.sum() + 0.5) / (len(labels) + 1)), empty_score)
+
+    unit = index.vectors(counts)
+    weightiest = [tuple(counts.terms[a:b][np.argsort(-unit[a:b], kind="stable")[:8]].tolist()) for a, b in zip(counts.offsets[:-1], counts.offsets[1:], strict=True)]
+    order = np.array(sorted(np.flatnonzero(~bare), key=lambda k: (weightiest[k], ids[k])), np.int64)
+    place_of = np.full(len(ids), -1, np.int64)
+    place_of[order] = np.arange(len(order))
+    index.ids, index.labels = ids[order], labels[order]
+    place, rows = place_of[owner], row[counts.terms]
+    index.dense = np.zeros((len(common), len(order)), np.float32)
+    index.dense[rows[rows >= 0], place[rows >= 0]] = unit[rows >= 0]
+    rare = np.flatnonzero(rows < 0)
+    rare = rare[np.argsort(counts.terms[rare], kind="stable")]
+    index.start = np.searchsorted(counts.terms[rare], np.arange(len(vocabulary) + 1)).astype(np.int32)
+    index.place, index.value = place[rare].astype(np.int32), unit[rare].astype(np.float32)
+
+    index.ready()
+    votes = []
+    for at in range(0, len(order), 512):
+        docs = order[at : at + 512]
+        own = joined([Counts(np.array([0, counts.offsets[k + 1] - counts.offsets[k]]), counts.terms[counts.offsets[k] : counts.offsets[k + 1]], counts.times[counts.offsets[k] : counts.offsets[k + 1]]) for k in docs])
+        for k, (near, cosines) in enumerate(index.nearest(own, NEIGHBOURS + 1), at):
+            others = near != k
+            votes.append(index.vote(near[others][:NEIGHBOURS], cosines[others][:NEIGHBOURS]))
+    if votes:
+        w = each[order]
+        index.steps = isotonic(np.array(votes), index.labels, w * len(w) / max(w.sum(), 1e-12))
     return index
 
 
-def train(documents: DataFrame, labels: DataFrame, usable: Column) -> tuple[Index | None, np.ndarray, DataFrame]:
-    """The index, the terms, and the term counts of every document (a written table). The sample and the index are bounded by EXAMPLES_PER_CLASS."""
-    drawn = F.broadcast(training_sample(labels, "toxic", usable, EXAMPLES_PER_CLASS))
-    sample = materialize(distinct_examples(_texts(documents).join(drawn, "doc_id")), "toxic-sample")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
-    terms = np.empty(0, np.uint64)
-    if positives and negatives:
-        terms = choose_terms(_texts(documents).join(F.broadcast(sample), "doc_id"), positives, negatives)
-    counts = materialize(term_counts(documents, terms), "toxic-terms")
-    if not sizes:
-        return None, terms, counts
-    total = counts.count()
-    df = dict(counts.select(F.explode("terms").alias("t")).groupBy("t").count().collect())
-    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = counts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "terms", "counts").collect()
-    return build_index([tuple(r) for r in rows], idf), terms, counts
-
-
-def _scored(index: Index | None, known: dict, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-    """A document's score, and its neighbours' places and cosines. Most documents hold one or two terms, so that many searches are alike: ``known`` keeps some."""
-    none = np.empty(0, np.int64), np.empty(0)
-    if index is None:
-        return 0.5, *none
-    if not terms:
-        return index.empty_score, *none
-    key = (tuple(terms), tuple(counts))
-    if key not in known:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        at, near = index.nearest(np.array(terms), np.array(counts, np.float64))
-        known[key] = index.calibrated(index.vote(at, near)), at, near
-    return known[key]
-
-
-def score_texts(documents: DataFrame, index: Index | None, terms: np.ndarray) -> DataFrame:
-    """The input's own columns and ``__score``, straight from the texts."""
-    model = documents.sparkSession.sparkContext.broadcast((index, terms))
+def train(documents: DataFrame, labels: DataFrame, usable: Column) -> Index | None:
+    """The index, or None without examples."""
+    rows = examples(documents, labels, usable)
+    if not len(rows):
+        return None
+    sizes = {r["label"]: r["count"] for r in rated(labels, "toxic", usable).groupBy("label").count().collect()}
+    parts = [Counts(np.array([0, len(t) // 8]), np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64)) for t, c in zip(rows["terms"], rows["times"], strict=True)]
+    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *[p.terms for p in parts]]))
+    numbered = joined([Counts(p.offsets, np.searchsorted(vocabulary, p.terms), p.times) for p in parts])
+    frequencies, total = document_frequencies(documents, vocabulary)
+    return build_index(rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(), numbered, vocabulary, frequencies, total, (sizes.get(0, 0), sizes.get(1, 0)))
+
+
+def score_texts(documents: DataFrame, index: Index | None) -> DataFrame:
+    """The input's own columns and ``__score``."""
+    small_batches(documents.sparkSession)
+    model = documents.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, terms = model.value
-        table, known = _bytes.Places(terms), {}
+        index = model.value and model.value.ready()
+        table = index and _bytes.Places(index.vocabulary)
         for texts in batches:
-            values = [None if t is None else bytes(t) for t in texts]
-            counted = [x.to_pylist() for x in _counted(values, table)] if values else ([], [])
-            yield pd.Series([_scored(index, known, t, c)[0] for t, c in zip(*counted, strict=True)], dtype="float64")
+            values = texts.tolist()
+            parts = [index.scores(index.nearest(known_counts(values[a:b], table))) if index else np.full(b - a, 0.5) for a, b in _bytes.groups(values, GROUP_BYTES)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return documents.withColumn("__score", score(F.col("text").cast("binary")))
 
 
-def score_counts(counts: DataFrame, index: Index | None) -> DataFrame:
-    """doc_id, score, and the evidence: ids, cosines and labels of the nearest examples."""
-    model = counts.sparkSession.sparkContext.broadcast(index)
+def toxic_scores(documents: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
+    """doc_id and score of every document, and the evidence: ids, cosines and labels of the nearest examples."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, usable))
     kinds = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())), ("evidence_labels", pa.list_(pa.int32()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = model.value, {}
-        for batch in batches:
-            scores, evidence, cosines, labels = [], [], [], []
-            for terms, tf in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                got, at, near = _scored(index, known, terms, tf)
-                scores.append(got)
-                evidence.append(index.ids[at] if len(at) else [])
-                cosines.append(near)
-                labels.append(index.labels[at].astype(np.int32) if len(at) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *[pa.array(x, k.type) for x, k in zip((evidence, cosines, labels), list(kinds)[2:], strict=True)]], schema=kinds)
-
-    return counts.mapInArrow(score, "doc_id long, score double, evidence array<long>, cosines array<double>, evidence_labels array<int>")
-
-
-def toxic_scores(documents: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """Score and evidence of every document."""
-    index, _, counts = train(documents, labels, usable)
-    return score_counts(counts, index)
+        index = model.value and model.value.ready()
+        table = index and _bytes.Places(index.vocabulary)
+        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+            found = index.nearest(known_counts(batch.column(1).to_pylist(), table)) if index else [(np.empty(0, np.int64), np.empty(0))] * batch.num_rows
+            scores = index.scores(found) if index else np.full(batch.num_rows, 0.5)
+            at = np.concatenate([np.empty(0, np.int64), *[x[0] for x in found]])
+            offsets = pa.array(np.cumsum([0, *[len(x[0]) for x in found]]), pa.int32())
+            values = [index.ids[at], np.concatenate([x[1] for x in found]), index.labels[at].astype(np.int32)] if len(at) else [at, np.empty(0), at]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k.type.value_type)) for x, k in zip(values, list(kinds)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *lists], schema=kinds)
+
+    return map_texts(documents, score, "doc_id long, score double, evidence array<long>, cosines array<double>, evidence_labels array<int>")
