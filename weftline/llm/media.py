@@ -20,7 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from weftline.llm import _bytes
+from weftline.llm._spark import map_texts
 
 FRAME = 576
 RATE = 8000
@@ -32,8 +34,11 @@ CHUNK = 4096
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, media binary, times array<int>, codes array<long>"
+    "media_sha256 string, feature string, media binary, times array<int>, codes array<long>"
 )
+FILE = "media binary"
+#: Bytes of text read at a time; a longer text is still taken whole.
+GROUP_BYTES = 1 << 20
 
 
 def to_wav(text: bytes) -> bytes:
@@ -97,43 +102,31 @@ def feature(times: np.ndarray, codes: np.ndarray) -> str:
     return f"{len(times)}:{hashlib.blake2b(both, digest_size=16).hexdigest()}"
 
 
-def _rows(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
+def _rows(batches: Iterator[pa.RecordBatch], file: bool) -> Iterator[pa.RecordBatch]:
+    for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+        rows, times, codes = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             media = to_wav(text or b"")
             payload = from_wav(media)
-            times, codes = pairs(peaks(payload))
-            row = {
-                "doc_id": doc_id, "n_bytes": len(text or b""), "payload_bytes": len(payload),
-                "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
-                "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-            }
-            rows.append(row | ({"feature": feature(times, codes)} if digest else {"media": media, "times": times.astype(np.int32), "codes": codes}))
-            if not digest and len(rows) >= 64:
-                yield _batch(rows, digest)
-                rows = []
-        if rows:
-            yield _batch(rows, digest)
-
-
-def _batch(rows: list[dict], digest: bool) -> pa.RecordBatch:
-    tail = [("feature", pa.string())] if digest else [("media", pa.binary()), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int64()))]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([*zip(names, kinds, strict=True), *tail]))
-
-
-def _input(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+            t, c = pairs(peaks(payload))
+            times.append(t)
+            codes.append(c)
+            rows.append((
+                doc_id, len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media),
+                hashlib.sha256(media).hexdigest(), feature(t, c), *([media] if file else []),
+            ))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if file else [])]
+        arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        offsets = pa.array(np.cumsum([0, *map(len, times)]), pa.int32())
+        arrays += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), k)) for x, k in ((times, pa.int32()), (codes, pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ") if file or x != FILE])
 
 
 def media_columns(documents: DataFrame) -> DataFrame:
-    """Each document's WAV file and fingerprint, the fingerprint as arrays of times and codes."""
-    return _input(documents).mapInArrow(lambda batches: _rows(batches, False), SCHEMA)
+    """Each document's WAV file, its digests, and its fingerprint as arrays of times and codes."""
+    return map_texts(documents, lambda batches: _rows(batches, True), SCHEMA)
 
 
-def media_digests(documents: DataFrame) -> DataFrame:
-    """The same, with the file and the fingerprint reduced to lengths and digests inside the task that makes them."""
-    schema = SCHEMA.replace("media binary, times array<int>, codes array<long>", "feature string")
-    return _input(documents).mapInArrow(lambda batches: _rows(batches, True), schema)
+def media_features(documents: DataFrame) -> DataFrame:
+    """The same without the file, which does not leave the task that makes it."""
+    return map_texts(documents, lambda batches: _rows(batches, False), SCHEMA.replace(f"{FILE}, ", ""))

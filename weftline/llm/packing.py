@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes
-from weftline.llm._spark import materialize
+from weftline.llm._spark import map_texts, materialize
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,6 +33,8 @@ PARTITION_ITEMS = 50_000
 FAN_IN = 8
 #: Words whose ids a worker remembers; it starts anew beyond that.
 CACHE_WORDS = 1_000_000
+#: Bytes of text tokenised together.
+GROUP_BYTES = 1 << 20
 #: Bytes that may be split off a word's end without changing its ids: ASCII marks that are in no contraction or special token.
 _TAIL = np.zeros(256, bool)
 _TAIL[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{}~']] = True
@@ -120,21 +122,19 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path or default_path())
-        for batch in batches:
+        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
             names, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for a, b in _bytes.groups(texts):
-                for name, ids in zip(names[a:b], own.ids(texts[a:b]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        for column, value in zip(rows, (name, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
-                            column.append(value)
+            for name, ids in zip(names, own.ids(texts), strict=True):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                for k, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start : start + capacity]
+                    for column, value in zip(rows, (name, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(documents, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

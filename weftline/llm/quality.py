@@ -1,11 +1,11 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-``document_features`` turns every text into 20 statistics in one pass of Arrow batches; ``fit`` learns trees from a
-bounded sample of labelled rows (``SAMPLE_PER_CLASS`` of each label, the least by hash of their id); ``score_features``
-sends rows through all trees at once, which are flattened into arrays of features, thresholds and leaves.
+``text_statistics`` turns texts into 20 statistics; ``fit`` learns trees from those of a bounded sample of labelled rows
+(``SAMPLE_PER_CLASS`` of each label, the least by hash of their id); ``classify`` works out every row's statistics and
+sends them through all trees, which are flattened into arrays of features, thresholds and leaves.
 
 Null texts count as empty; empty and very long texts get statistics like any other. Of several labels of an id the
-rounded mean counts, null labels count as absent. Without labels of both kinds every score is the share of label 1
+rounded mean counts, of several texts of a labelled id the least; null labels count as absent. Without labels of both kinds every score is the share of label 1
 (0.5 without any label). Repeated rows are scored alike; an empty table gives an empty result; other columns of the
 inputs are not read. Rows with a null id are scored and never learned from.
 """
@@ -22,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes
+from weftline.llm._spark import map_texts, materialize, small_batches
 
 #: Labelled rows of each class that the trees are fitted on.
 SAMPLE_PER_CLASS = 10_000
+#: Bytes of text whose statistics are worked out together.
+GROUP_BYTES = 1 << 20
 TREES, DEPTH, RATE, BINS, L2 = 60, 4, 0.2, 64, 1.0
 FEATURES = [
     "log_bytes", "log_words", "mean_word", "max_word", "sd_word", "upper", "digit", "punct", "symbol", "space", "high", "line_len", "lines_per_word",
@@ -93,18 +96,14 @@ def text_statistics(texts: list[bytes | None]) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", *FEATURES]
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        parts = [text_statistics(texts[a:b]) for a, b in _bytes.groups(texts)]
-        if parts:
-            table = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(table[:, k]) for k in range(len(FEATURES))]], names=names)
+    for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+        table = text_statistics(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(table[:, k]) for k in range(len(FEATURES))]], names=names)
 
 
 def document_features(documents: DataFrame) -> DataFrame:
     """doc_id and the statistics of every row's text."""
-    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(_features, "doc_id long, " + ", ".join(f"{x} double" for x in FEATURES))
+    return map_texts(documents, _features, "doc_id long, " + ", ".join(f"{x} double" for x in FEATURES))
 
 
 @dataclass
@@ -188,32 +187,36 @@ def training_sample(labels: DataFrame, label: str, usable: Column, per_class: in
     return some.where("label = 1").orderBy(*order).limit(per_class).unionAll(some.where("label = 0").orderBy(*order).limit(per_class))
 
 
-def train(features: DataFrame, labels: DataFrame, usable: Column) -> Trees:
-    """Fit on the sample; its statistics (2 x SAMPLE_PER_CLASS rows at most, for ids that occur once) reach the driver."""
-    sample = training_sample(labels, "quality", usable, SAMPLE_PER_CLASS)
-    rows = features.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+def train(documents: DataFrame, labels: DataFrame, usable: Column) -> Trees:
+    """Fit on the sample; its statistics (2 x SAMPLE_PER_CLASS rows at most) reach the driver."""
+    sample = F.broadcast(training_sample(labels, "quality", usable, SAMPLE_PER_CLASS))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    chosen = texts.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    chosen = materialize(chosen, "quality-sample")
+    rows = document_features(chosen).join(F.broadcast(chosen.select("doc_id", "label")), "doc_id").toPandas().sort_values("doc_id")
     return fit(rows[FEATURES].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 
 
-def score_features(features: DataFrame, trees: Trees) -> DataFrame:
-    """doc_id and score of every row of statistics."""
-    model = features.sparkSession.sparkContext.broadcast(trees)
+def classify(documents: DataFrame, trees: Trees) -> DataFrame:
+    """doc_id and score of every row."""
+    model = documents.sparkSession.sparkContext.broadcast(trees)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": model.value.probability(frame[FEATURES].to_numpy(np.float64))})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.probability(text_statistics(batch.column(1).to_pylist())))], names=["doc_id", "score"])
 
-    return features.mapInPandas(score, "doc_id long, score double")
+    return map_texts(documents, score, "doc_id long, score double")
 
 
 def classify_texts(documents: DataFrame, trees: Trees) -> DataFrame:
-    """The input's own columns and ``__score``, straight from the texts."""
+    """The input's own columns and ``__score``."""
+    small_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        values = [None if t is None else bytes(t) for t in texts]
-        parts = [model.value.probability(text_statistics(values[a:b])) for a, b in _bytes.groups(values)]
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0))
+        values = texts.tolist()
+        parts = [model.value.probability(text_statistics(values[a:b])) for a, b in _bytes.groups(values, GROUP_BYTES)]
+        return pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return documents.withColumn("__score", score(F.col("text").cast("binary")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import lm, media, mixing, neardup, packing, quality, sharding, topk, toxicity, urlfilter
-from weftline.llm._spark import materialize, read
+from weftline.llm._spark import read
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +53,12 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality")
     held_out = quality.id_remainder("doc_id", 3) == 1
-    features = materialize(quality.document_features(documents), "quality-features")
-    scored = quality.score_features(features, quality.train(features, labels, ~held_out))
+    scored = quality.classify(documents, quality.train(documents, labels, ~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return media.media_features(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
