@@ -28,7 +28,7 @@ def test_gradients_are_the_derivatives():
         return -float(lm.window(w, given, target, fresh, active, h, False)[0][real].astype(np.float64).mean())
 
     grads = lm.window(w, given, target, fresh, active, np.full((4, lm.HIDDEN), 0.3), True)[2]
-    for name, at in [("gates", (3, 5)), ("new", (2, 7)), ("input", (1, 30)), ("bias", (20,)), ("class", (4, 2)), ("class_bias", (1,)), ("word", (0, 3, int(target[0, 0]) % 64)), ("embed", (int(given[1, 0]), 2))]:
+    for name, at in [("gates", (3, 5)), ("new", (2, 7)), ("input", (1, 30)), ("bias", (20,)), ("class", (4, 2)), ("class", (lm.HIDDEN, 1)), ("word", (0, lm.HIDDEN, int(target[1, 1]) % 64)), ("word", (0, 3, int(target[0, 0]) % 64)), ("embed", (int(given[1, 0]), 2))]:
         step, probe = 1e-2, {k: v.copy() for k, v in w.items()}
         probe[name][at] += step
         up = loss(probe)
@@ -45,6 +45,40 @@ def test_a_document_scores_alike_in_any_company():
     assert np.allclose(together, alone, rtol=1e-4)
 
 
+def plain_score(w, ids):
+    """A document's log-probability, token by token, by the network's formulas."""
+    h, before, total = np.zeros(lm.HIDDEN), lm.END, 0.0
+    logistic = lambda a: 1 / (1 + np.exp(-a))
+    softmax = lambda a: np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+    n = lm.HIDDEN
+    for token in ids:
+        x = w["embed"][before] @ w["input"] + w["bias"]
+        z, r = logistic(x[:n] + h @ w["gates"][:, :n]), logistic(x[n : 2 * n] + h @ w["gates"][:, n:])
+        h = (1 - z) * h + z * np.tanh(x[2 * n :] + (r * h) @ w["new"])
+        state, (cls, word) = np.append(h, 1), divmod(int(token), lm.CLASS)
+        total += np.log(softmax(state @ w["class"])[cls]) + np.log(softmax(state @ w["word"][cls])[word])
+        before = int(token)
+    return total
+
+
+def test_documents_score_as_by_a_plain_loop(monkeypatch):
+    w, rng = small(3)
+    docs = [np.append(np.where(rng.random(n) < 0.7, rng.integers(0, 60, n), rng.integers(0, 3000, n)), lm.END) for n in (0, 3, 700, 150, 64)]
+    ids, offsets = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    for together, part in ((128, 512), (0, 7)):
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        monkeypatch.setattr(lm, "PART", part)
+        assert np.allclose(lm.run(w, ids, offsets), [plain_score(w, d) for d in docs], rtol=1e-4)
+
+
+def test_commonest_breaks_a_range(spark):
+    rows = [(i, 1000 if i < 3 else 7) for i in range(500)]
+    counts = spark.createDataFrame(rows, "word long, n long")
+    top = lm.commonest(counts, 200).collect()
+    assert {r.word for r in top} >= {0, 1, 2} and 150 <= len(top) <= 200
+    assert lm.commonest(counts, 2).count() <= 2 and lm.commonest(counts, 500).count() == 500 and lm.commonest(counts.limit(0), 5).count() == 0
+
+
 def test_probabilities_sum_to_one():
     w, _ = small(2)
     n = lm.VOCABULARY

@@ -10,12 +10,13 @@ backpropagation in numpy, on its part of the round's documents; their weights, a
 start the next round. Rounds share out the training documents by hash, so that each is used once and whole. Documents
 run in lanes, and each lane carries its state over windows until its document ends; the same holds for scoring.
 
-Counts of the ``COMMON`` commonest words go to every executor (a few MB); counts of rarer words are joined to the
+Token ids are written once, and read by every round and by the scoring. Counts of the ``COMMON`` commonest words go to every executor (a few MB); counts of rarer words are joined to the
 documents that hold them.
 
 Null and empty texts are documents of one end token. Without training documents the counts are 0 and the network is as
 it was begun. Rows with a null id are scored and never learned from; repeated rows are scored alike; an empty table gives an
-empty result; other columns are not read. Words are told apart by 64-bit hashes.
+empty result; other columns are not read. Words are told apart by 64-bit hashes. The weights, and so the scores, depend on
+how Spark cuts the rows into tasks: each task learns from its own rows, and results are averaged.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes
-from weftline.llm._spark import materialize
+from weftline.llm._spark import map_texts, materialize
 
 VOCABULARY, CLASS, EMBED, HIDDEN = 4096, 64, 8, 16
 COMMON = 262_144
@@ -39,8 +40,14 @@ ROUNDS = 3
 #: Steps of a window in training and in scoring, and lanes at most and at least.
 BPTT, WINDOW, LANES, MIN_LANES = 32, 64, 1024, 128
 LEARNING_RATE = 0.08
-#: Bytes of text that share lanes.
-GROUP_BYTES = 12 << 20
+#: Rows of a softmax worked on at a time.
+PART = 512
+#: Classes of up to so many rows are worked on together.
+TOGETHER = 128
+#: Bytes of text whose words are numbered together, and tokens that share lanes.
+GROUP_BYTES, GROUP_TOKENS = 2 << 20, 3 << 20
+#: Parts by hash of a range of counts that is too large to be taken whole.
+SHARES = 1024
 END, UNKNOWN = 0, 1
 #: Workers' results that are averaged together, so that no task gathers all of them.
 AVERAGE = 64
@@ -50,7 +57,7 @@ Weights = dict[str, np.ndarray]
 
 
 def begin(counts: np.ndarray, unknown: float, ends: float) -> Weights:
-    """Small random weights, with output biases that give the unigram shares. counts: of the vocabulary's words, from id 2 on."""
+    """Small random weights, with output biases (the last rows of class and word) that give the unigram shares. counts: of the vocabulary's words, from id 2 on."""
     rng = np.random.Generator(np.random.PCG64(7))
     share = np.zeros(VOCABULARY)
     share[END], share[UNKNOWN] = ends, unknown
@@ -64,8 +71,8 @@ def begin(counts: np.ndarray, unknown: float, ends: float) -> Weights:
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return {
         "embed": small(VOCABULARY, EMBED), "input": small(EMBED, 3 * HIDDEN), "bias": np.zeros(3 * HIDDEN, np.float32), "gates": small(HIDDEN, 2 * HIDDEN),
-        "new": small(HIDDEN, HIDDEN), "class": np.zeros((HIDDEN, VOCABULARY // CLASS), np.float32), "class_bias": bias_class.astype(np.float32),
-        "word": np.zeros((VOCABULARY // CLASS, HIDDEN, CLASS), np.float32), "word_bias": bias_word.astype(np.float32),
+        "new": small(HIDDEN, HIDDEN), "class": np.concatenate([np.zeros((HIDDEN, VOCABULARY // CLASS)), bias_class[None]]).astype(np.float32),
+        "word": np.concatenate([np.zeros((VOCABULARY // CLASS, HIDDEN, CLASS)), bias_word[:, None]], axis=1).astype(np.float32),
     }
 
 
@@ -86,85 +93,142 @@ def lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank[lane], first, end[by_length]
 
 
-def _shares(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log-probability of each row's pick, and the softmax's numerators and sums. Logits are held below 60, where floats can hold their powers."""
-    np.minimum(logits, 60, out=logits)
-    chosen = logits[np.arange(len(pick)), pick]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
-    return chosen - np.log(total), logits, total
+def _softmax(weight: np.ndarray, states: np.ndarray, pick: np.ndarray, log_p: np.ndarray, grads: tuple[np.ndarray, np.ndarray] | None, scale: float, loud: bool) -> None:
+    """Adds the natural log-probability of each row's pick to ``log_p``. grads: where the gradient by weight is added, and that by state put.
+
+    Rows are worked on in parts that stay in a core's cache. ``loud`` logits are held below 60, where floats can hold their powers.
+    """
+    ones = np.ones(weight.shape[1], weight.dtype)
+    buffer = np.empty((min(PART, len(pick)), weight.shape[1]), weight.dtype)
+    back = np.ascontiguousarray(weight.T)
+    for at in range(0, len(pick), PART):
+        own, chosen = states[at : at + PART], pick[at : at + PART]
+        rows = np.arange(len(chosen))
+        power = np.matmul(own, weight, out=buffer[: len(chosen)])
+        if loud:
+            np.minimum(power, 60, out=power)
+        log_p[at : at + PART] += power[rows, chosen]
+        np.exp(power, out=power)
+        total = power @ ones
+        log_p[at : at + PART] -= np.log(total)
+        if grads is not None:
+            by_weight, by_state = grads
+            np.divide(scale, total, out=total)
+            power *= total[:, None]
+            power[rows, chosen] -= scale
+            by_weight += own.T @ power
+            np.matmul(power, back, out=by_state[at : at + PART])
 
 
 def _output(w: Weights, state: np.ndarray, ids: np.ndarray, grads: Weights | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probabilities of the ids after the states; with ``grads``, these are filled in, and the gradient of the mean loss by state is given."""
     cls, word = ids // CLASS, ids % CLASS
     scale = 1 / max(len(ids), 1)
-    log_p, power, total = _shares(state @ w["class"] + w["class_bias"], cls)
-    d_state = None
-    if grads is not None:
-        power *= (scale / total)[:, None]
-        power[np.arange(len(ids)), cls] -= scale
-        grads["class"], grads["class_bias"], d_state = state.T @ power, power.sum(axis=0), power @ w["class"].T
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(VOCABULARY // CLASS + 1))
-    sorted_state, sorted_word, sorted_log = state[order], word[order], np.empty(len(ids), log_p.dtype)
-    sorted_d = np.empty_like(sorted_state) if grads is not None else None
-    for k in np.flatnonzero(np.diff(edges)).tolist():
+    cls, word = cls[order], word[order]
+    states = np.ones((len(ids), HIDDEN + 1), state.dtype)
+    states[:, :HIDDEN] = state[order]
+    edges = np.searchsorted(cls, np.arange(VOCABULARY // CLASS + 1))
+    # States lie within -1 and 1, so a logit is below the sum of its weights.
+    loud = max(float(np.abs(w["class"]).sum(axis=0).max()), float(np.abs(w["word"]).sum(axis=1).max())) > 60
+    log_p, d_state, d_word = np.zeros(len(ids), state.dtype), None, None
+    if grads is not None:
+        d_state, d_word = np.empty_like(states), np.empty_like(states)
+    _softmax(w["class"], states, cls, log_p, None if grads is None else (grads["class"], d_state), scale, loud)
+    many = np.diff(edges)
+    for k in np.flatnonzero(many > TOGETHER).tolist():
         at = slice(int(edges[k]), int(edges[k + 1]))
-        own = sorted_state[at]
-        sorted_log[at], power, total = _shares(own @ w["word"][k] + w["word_bias"][k], sorted_word[at])
+        _softmax(w["word"][k], states[at], word[at], log_p[at], None if grads is None else (grads["word"][k], d_word[at]), scale, loud)
+    low = 0
+    for high in (8, 32, TOGETHER):  # classes of about as many rows are filled up to the largest and worked on together
+        classes = np.flatnonzero((many > low) & (many <= high))
+        low = high
+        if not len(classes):
+            continue
+        lines = np.arange(many[classes].max())
+        real = lines < many[classes][:, None]
+        at = np.minimum(edges[classes][:, None] + lines, len(ids) - 1)
+        own, pick, weight = states[at], word[at][:, :, None], w["word"][classes]
+        power = own @ weight
+        if loud:
+            np.minimum(power, 60, out=power)
+        chosen = np.take_along_axis(power, pick, 2)[:, :, 0]
+        np.exp(power, out=power)
+        total = power @ np.ones(CLASS, power.dtype)
+        log_p[at[real]] += (chosen - np.log(total))[real]
         if grads is not None:
-            power *= (scale / total)[:, None]
-            power[np.arange(len(own)), sorted_word[at]] -= scale
-            grads["word"][k], grads["word_bias"][k] = own.T @ power, power.sum(axis=0)
-            sorted_d[at] = power @ w["word"][k].T
-    log_p[order] += sorted_log
+            share = (scale * real).astype(power.dtype)
+            power *= (share / total)[:, :, None]
+            np.put_along_axis(power, pick, np.take_along_axis(power, pick, 2) - share[:, :, None], 2)
+            grads["word"][classes] = own.transpose(0, 2, 1) @ power
+            d_word[at[real]] = (power @ weight.transpose(0, 2, 1))[real]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
     if grads is not None:
-        d_state[order] += sorted_d
-    return log_p, d_state
+        d_state += d_word
+        d_state = d_state[back, :HIDDEN]
+    return log_p[back], d_state
 
 
 def window(w: Weights, given: np.ndarray, target: np.ndarray, fresh: np.ndarray, active: np.ndarray, h: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, Weights | None]:
     """One window: steps x lanes of given and target ids, and where a document begins; ``active`` lanes (the first ones) of each step.
 
-    Gives natural log-probabilities (steps x lanes), the state after it, and the gradients of the mean loss.
+    Gives natural log-probabilities (steps x lanes), the state after it, and the gradients of the mean loss. Gates are
+    worked out as 1 + tanh of half their sum, which is twice the gate; the halves are taken with the weights.
     """
     steps, many = given.shape
     kind = w["input"].dtype
-    x = (w["embed"] @ w["input"] + w["bias"])[given]
-    keep = (~fresh).astype(kind)[:, :, None]
-    shape = (steps, many, HIDDEN)
-    out, before, gated, c = (np.zeros(shape, kind) for _ in range(4))
-    zr = np.zeros((steps, many, 2 * HIDDEN), kind)
+    half_gates, half_new = w["gates"] * kind.type(0.5), w["new"] * kind.type(0.5)
+    x = w["embed"] @ w["input"] + w["bias"]
+    x[:, : 2 * HIDDEN] *= 0.5
+    x = x[given]
+    keep, begins = (~fresh).astype(kind)[:, :, None], fresh.any(axis=1)
+    whole = int(active[-1]) == many
+    new_array = np.empty if whole else np.zeros
+    out, before, gated, c = (new_array((steps, many, HIDDEN), kind) for _ in range(4))
+    twice = new_array((steps, many, 2 * HIDDEN), kind)
     for t in range(steps):
         n = active[t]
-        old = np.multiply(h[:n], keep[t, :n], out=before[t, :n])
-        gate = np.matmul(old, w["gates"], out=zr[t, :n])
+        old = before[t, :n]
+        if begins[t]:
+            np.multiply(h[:n], keep[t, :n], out=old)
+        else:
+            old[:] = h[:n]
+        gate = np.matmul(old, half_gates, out=twice[t, :n])
         gate += x[t, :n, : 2 * HIDDEN]
-        np.negative(gate, out=gate)
-        np.exp(gate, out=gate)
+        np.tanh(gate, out=gate)
         gate += 1
-        np.reciprocal(gate, out=gate)
         np.multiply(gate[:, HIDDEN:], old, out=gated[t, :n])
-        new = np.matmul(gated[t, :n], w["new"], out=c[t, :n])
+        new = np.matmul(gated[t, :n], half_new, out=c[t, :n])
         new += x[t, :n, 2 * HIDDEN :]
         np.tanh(new, out=new)
         step = np.subtract(new, old, out=out[t, :n])
         step *= gate[:, :HIDDEN]
+        step *= 0.5
         step += old
         h = step if n == len(h) else np.concatenate([step, h[n:]])
-    real = np.arange(many) < active[:, None]
+    real = None if whole else np.arange(many) < active[:, None]
     grads: Weights | None = {k: np.zeros_like(v) for k, v in w.items()} if learn else None
-    log_p, d_state = _output(w, out[real], target[real], grads)
-    result = np.zeros((steps, many), kind)
-    result[real] = log_p
+    flat_out = out.reshape(-1, HIDDEN)
+    log_p, d_state = _output(w, flat_out, target.ravel(), grads) if whole else _output(w, out[real], target[real], grads)
+    if whole:
+        result = log_p.reshape(steps, many)
+    else:
+        result = np.zeros((steps, many), kind)
+        result[real] = log_p
     if grads is None:
         return result, h, None
-    z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+    twice *= 0.5
+    gated *= 0.5
+    z, r = twice[:, :, :HIDDEN], twice[:, :, HIDDEN:]
     # What does not depend on later steps is worked out for the whole window at once.
     by_c, by_z, by_r, stay, back = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), (1 - z) * keep, r * keep
-    d_out, d_x = np.zeros(shape, kind), np.zeros((steps, many, 3 * HIDDEN), kind)
-    d_out[real] = d_state
+    d_x = new_array((steps, many, 3 * HIDDEN), kind)
+    if whole:
+        d_out = np.ascontiguousarray(d_state).reshape(steps, many, HIDDEN)
+    else:
+        d_out = np.zeros((steps, many, HIDDEN), kind)
+        d_out[real] = d_state
     carry = np.zeros((many, HIDDEN), kind)
     new_t, gates_t = np.ascontiguousarray(w["new"].T), np.ascontiguousarray(w["gates"].T)
     for t in range(steps - 1, -1, -1):
@@ -179,8 +243,10 @@ def window(w: Weights, given: np.ndarray, target: np.ndarray, fresh: np.ndarray,
         d_h *= stay[t, :n]
         d_gated *= back[t, :n]
         d_h += d_gated
-        d_h += (d_zr @ gates_t) * keep[t, :n]
-        carry[:n] = d_h
+        d_old = d_zr @ gates_t
+        if begins[t]:
+            d_old *= keep[t, :n]
+        np.add(d_h, d_old, out=carry[:n])
     flat, inputs = d_x.reshape(-1, 3 * HIDDEN), given.ravel()  # zero where a lane is over
     grads["gates"] = before.reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
     grads["new"] = gated.reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
@@ -238,36 +304,61 @@ def _token_ids(texts: list[bytes | None], vocabulary: _bytes.Places) -> tuple[np
     return ids, starts, h, which
 
 
-def _input(documents: DataFrame, *more: Column) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Batches of about ``GROUP_TOKENS`` tokens, with all their ids and the documents' offsets in them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(len(x.column(column).flatten()) for x in held) >= GROUP_TOKENS:
+            yield held, *_joined(held, column)
+            held = []
+    if held:
+        yield held, *_joined(held, column)
+
+
+def _joined(held: list[pa.RecordBatch], column: int) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.chunked_array([x.column(column) for x in held]).combine_chunks()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy().astype(np.int32), offsets - offsets[0]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in _bytes.groups(texts, GROUP_BYTES):
-            word, n = np.unique(_bytes.joined_words(texts[a:b])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+    for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+        word, n = np.unique(_bytes.joined_words(batch.column(1).to_pylist())[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def count_words(training: DataFrame) -> DataFrame:
     """word (hash) and n of every word of the training documents, as a written table."""
-    return materialize(_input(training).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    return materialize(map_texts(training, _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 def commonest(counts: DataFrame, many: int | None = None) -> DataFrame:
-    """The commonest words, ``COMMON`` at most: those of the highest ranges of counts that fit, so that nothing is sorted as a whole.
+    """The commonest words, ``COMMON`` at most, so that nothing is sorted as a whole: those of the highest ranges of counts that fit, and of the next
+    range the shares by word hash that fit.
 
-    There are eight ranges to a doubling of the count, a few hundred in all.
+    There are eight ranges to a doubling of the count, a few hundred in all, and ``SHARES`` shares of the range that is broken.
     """
+    many = many or COMMON
     ranged = counts.withColumn("range", F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int"))
-    upto, least = 0, None
+    upto, least, broken = 0, None, None
     for row in sorted(ranged.groupBy("range").count().collect(), reverse=True):
-        upto += row["count"]
-        if upto > (many or COMMON):
+        if upto + row["count"] > many:
+            broken = row["range"]
             break
+        upto += row["count"]
         least = row["range"]
-    return ranged.where(F.col("range") >= least if least is not None else F.lit(False)).select("word", "n")
+    whole = F.col("range") >= least if least is not None else F.lit(False)
+    if broken is None:
+        return ranged.where(whole).select("word", "n")
+    share = F.pmod(F.xxhash64("word"), F.lit(SHARES))
+    shares = 0
+    for row in sorted(ranged.where(F.col("range") == broken).groupBy(share.alias("share")).count().collect()):
+        upto += row["count"]
+        if upto > many:
+            break
+        shares = row["share"] + 1
+    return ranged.where(whole | ((F.col("range") == broken) & (share < shares))).select("word", "n")
 
 
 def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
@@ -279,29 +370,25 @@ def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"worker": [int(frame["worker"].iloc[0])], "tokens": [int(frame["tokens"].sum())], "weights": [pickle.dumps({k: v.astype(np.float32) for k, v in mean.items()})]})
 
 
-def train(training: DataFrame, weights: Weights, words: np.ndarray) -> Weights:
-    """The weights after all rounds. words: hashes of the vocabulary, in order of id from 2."""
-    context = training.sparkSession.sparkContext
+def train(tokens: DataFrame, weights: Weights) -> Weights:
+    """The weights after all rounds over the documents' ids (a written table: row, doc_id, ids)."""
+    context = tokens.sparkSession.sparkContext
     for k in range(ROUNDS):
-        start = context.broadcast((weights, words))
+        start = context.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            w, words = start.value
-            w, vocabulary = {k: v.copy() for k, v in w.items()}, _bytes.Places(words)
+            w = {k: v.copy() for k, v in start.value.items()}
             memory = {k: np.full_like(v, 1e-4) for k, v in w.items()}
             tokens = 0
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in _bytes.groups(texts, GROUP_BYTES):
-                    ids, offsets, _, _ = _token_ids(texts[a:b], vocabulary)
-                    run(w, ids, offsets, memory)
-                    tokens += len(ids)
+            for _, ids, offsets in _grouped(batches, 0):
+                run(w, ids, offsets, memory)
+                tokens += len(ids)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([tokens], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["worker", "tokens", "weights"])
 
         schema = "worker int, tokens long, weights binary"
-        mine = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
-        results = materialize(_input(mine).mapInArrow(learn, schema), f"lm-round-{k}")
+        mine = tokens.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("ids")
+        results = materialize(mine.mapInArrow(learn, schema), f"lm-round-{k}")
         many = results.count()
         while many > 1:
             near = results.groupBy(F.floor(F.col("worker") / AVERAGE).alias("near")).applyInPandas(_averaged, schema)
@@ -312,12 +399,50 @@ def train(training: DataFrame, weights: Weights, words: np.ndarray) -> Weights:
     return weights
 
 
+def numbered(documents: DataFrame, common: np.ndarray, common_n: np.ndarray, own: int, ends: int) -> DataFrame:
+    """A written table of every row's token ids, and of what its score has besides the network's.
+
+    row, doc_id, ids, n_tokens, known (tokens among the common words and ends), logs (their log10 of count + 1), rare (that of common words beyond the
+    network's ``own``), outside (tokens that the network has as unknown), and the words that are not common with their times.
+    """
+    model = documents.sparkSession.sparkContext.broadcast((common, common_n))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, common_n = model.value
+        known, vocabulary = _bytes.Places(common), _bytes.Places(common[:own])
+        log_n = np.log10(common_n + 1.0)
+        row = TaskContext.get().partitionId() << 33
+        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+            many = batch.num_rows
+            ids, offsets, h, which = _token_ids(batch.column(1).to_pylist(), vocabulary)
+            place = known.of(h)
+            hit = place >= 0
+            logs = np.bincount(which[hit], log_n[place[hit]], many)
+            beyond = hit & (place >= own)
+            rare = np.bincount(which[beyond], log_n[place[beyond]], many)
+            outside = np.bincount(which[ids[np.arange(len(h)) + which] == UNKNOWN], minlength=many)
+            rest = np.flatnonzero(~hit)
+            rest = rest[np.lexsort((h[rest], which[rest]))]
+            first = np.ones(len(rest), bool)
+            first[1:] = (h[rest][1:] != h[rest][:-1]) | (which[rest][1:] != which[rest][:-1])
+            at = np.flatnonzero(first)
+            times = np.diff(np.append(at, len(rest))).astype(np.int32)
+            edges = np.searchsorted(which[rest[at]], np.arange(many + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(x)) for e, x in ((offsets.astype(np.int32), ids), (edges, h[rest[at]].view(np.int64)), (edges, times))]
+            numbers = [np.diff(offsets).astype(np.int64), np.bincount(which[hit], minlength=many) + int(ends > 0), logs + np.log10(ends + 1), rare.astype(np.float64), outside]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + many)), batch.column(0), *[pa.array(x) for x in numbers], *lists], names=[x.split()[0] for x in schema.split(", ")])
+            row += many
+
+    schema = "row long, doc_id long, n_tokens long, known long, logs double, rare double, outside long, ids array<int>, words array<long>, times array<int>"
+    return materialize(map_texts(documents, number, schema), "lm-tokens")
+
+
 def score_documents(documents: DataFrame, learned_from: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; ``learned_from`` reads doc_id."""
     context = documents.sparkSession.sparkContext
-    training = documents.where(learned_from & F.col("doc_id").isNotNull())
-    ends = training.select("doc_id").count()
-    counts = count_words(training)
+    training = learned_from & F.col("doc_id").isNotNull()
+    counts = count_words(documents.where(training))
+    ends = documents.where(training).select("doc_id").count()
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, distinct = n + ends, distinct + (ends > 0)
     top = commonest(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
@@ -326,46 +451,21 @@ def score_documents(documents: DataFrame, learned_from: Column) -> DataFrame:
     unknown = n - ends - int(common_n[:own].sum())
     rare_base = float(np.log10(unknown + (distinct - (ends > 0) - own) + 1))
     base = float(np.log10(n + distinct + 1))
-    weights = train(training, begin(common_n[:own].astype(float), float(unknown), float(ends)), common[:own])
-    model = context.broadcast((weights, common, common_n))
+    tokens = numbered(documents, common, common_n, own, ends)
+    weights = train(tokens.where(training), begin(common_n[:own].astype(float), float(unknown), float(ends)))
+    model = context.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, common, common_n = model.value
-        known, vocabulary = _bytes.Places(common), _bytes.Places(common[:own])
-        log_n = np.log10(common_n + 1.0)
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _bytes.groups(texts, GROUP_BYTES):
-                many = b - a
-                ids, offsets, h, which = _token_ids(texts[a:b], vocabulary)
-                place = known.of(h)
-                hit = place >= 0
-                network = run(weights, ids, offsets) / np.log(10)
-                logs = np.bincount(which[hit], log_n[place[hit]], many)
-                beyond = hit & (place >= own)
-                rare = np.bincount(which[beyond], log_n[place[beyond]], many)
-                outside = np.bincount(which[ids[np.arange(len(h)) + which] == UNKNOWN], minlength=many)
-                rest = np.flatnonzero(~hit)
-                rest = rest[np.lexsort((h[rest], which[rest]))]
-                first = np.ones(len(rest), bool)
-                first[1:] = (h[rest][1:] != h[rest][:-1]) | (which[rest][1:] != which[rest][:-1])
-                at = np.flatnonzero(first)
-                times = np.diff(np.append(at, len(rest))).astype(np.int32)
-                edges = np.searchsorted(which[rest[at]], np.arange(many + 1)).astype(np.int32)
-                tail = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (h[rest[at]].view(np.int64), times)]
-                arrays = [pa.array(np.arange(row, row + many)), batch.column(0).slice(a, many), pa.array(np.diff(offsets).astype(np.int64)), pa.array(np.bincount(which[hit], minlength=many) + int(ends > 0))]
-                numbers = [logs + np.log10(ends + 1), network + rare - outside * rare_base]
-                row += many
-                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(x) for x in numbers], *tail], names=["row", "doc_id", "n_tokens", "known", "logs", "network", "words", "times"])
-
-    schema = "row long, doc_id long, n_tokens long, known long, logs double, network double, words array<long>, times array<int>"
-    scored = materialize(_input(documents).mapInArrow(score, schema), "lm-scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+        for held, ids, offsets in _grouped(batches, 1):
+            network = run(model.value, ids, offsets) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.chunked_array([x.column(0) for x in held]).combine_chunks(), pa.array(network)], names=["row", "network"])
+
+    network = tokens.select("row", "ids").mapInArrow(score, "row long, network double")
+    tail = tokens.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("seen"), F.sum(F.col("times") * F.log10(F.col("n").cast("double") + 1)).alias("more"))
-    both = scored.drop("words", "times").join(found, "row", "left")
+    both = tokens.drop("words", "times", "ids").join(network, "row").join(found, "row", "left")
     more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0)).cast("long")
     return both.select(
         "doc_id", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * base).alias("base_score"), (F.col("network") + more).alias("score"),
+        (F.col("logs") + more - F.col("n_tokens") * base).alias("base_score"), (F.col("network") + F.col("rare") - F.col("outside") * rare_base + more).alias("score"),
     )
