@@ -140,7 +140,7 @@ def _output(w: Weights, state: np.ndarray, ids: np.ndarray, grads: Weights | Non
         at = slice(int(edges[k]), int(edges[k + 1]))
         _softmax(w["word"][k], states[at], word[at], log_p[at], None if grads is None else (grads["word"][k], d_word[at]), scale, loud)
     low = 0
-    for high in (8, 32, TOGETHER):  # classes of about as many rows are filled up to the largest and worked on together
+    for high in sorted({min(8, TOGETHER), min(32, TOGETHER), TOGETHER}):  # classes of about as many rows are filled up to the largest and worked on together
         classes = np.flatnonzero((many > low) & (many <= high))
         low = high
         if not len(classes):
