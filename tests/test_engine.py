@@ -55,9 +55,13 @@ def test_build(tables):
 def test_ask(spark, tables):
     engine = Engine(spark, tables)
     hits = engine.retrieve("who reviewed ann", "2026-06-01").collect()
-    # bob, who has no time, keeps 0.95 * 0.85; the change is worth 0.95 but 31 days old.
-    assert [h.id for h in hits[:2]] == ["person:bob", "pr:7"] and hits[0].vector_score == 0
-    assert hits[1].score == pytest.approx(0.85 * 0.95 * 0.5 ** (31 / 60))
+    # Of the graph arm 0.85 counts. bob is two steps off (0.95 * 0.85) and the file too (0.95 * 0.80), both without a time; the change is one step off but 31 days old.
+    by_id = {h.id: h for h in hits}
+    assert by_id["person:bob"].score == pytest.approx(0.85 * 0.95 * 0.85) and by_id["person:bob"].vector_score == 0
+    assert by_id["file:src/login.py"].score == pytest.approx(0.85 * 0.95 * 0.80)
+    assert by_id["pr:7"].score == pytest.approx(0.85 * 0.95 * 0.5 ** (31 / 60))
+    order = [h.id for h in hits]
+    assert order.index("person:bob") < order.index("file:src/login.py") < order.index("pr:7")
     assert {r.id for r in engine.route("ann").collect()} >= {"person:ann", "pr:7"}
     assert engine.impact("ann").first().id == "pr:7"
     nodes, edges = engine.subgraph(tables["entity"].where("id = 'pr:7'").select("id"))

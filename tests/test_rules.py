@@ -45,11 +45,55 @@ def test_scores(spark):
         one(spark, vectors.checked_width(F.array(F.lit(1.0)), 2, F.lit("node x")))
 
 
-def test_rule_entities_and_references():
-    assert [e[:2] for e in entities.rule_entities("PR #12 and issue #412, page#42; payment_service, self-service")] == [("PR #12", "PR"), ("issue #412", "Ticket"), ("payment_service", "Service")]
-    assert entities.rule_entities("#7") == []
-    said = '<a href="https://github.com/acme/tools/issues/5">#5</a> <a href="https://x.y/1">#6</a> github.com/Acme/Tools/pull/9 other/repo#3 acme/tools#4 #8 a#1'
-    assert entities.repository_references(said, "acme/tools") == ["5", "9", "4", "8"]
+def test_rule_entities_and_references(spark):
+    said = ["PR #12 and issue #412, page#42; payment_service, self-service", "#7", None, "x #410 #410 pr9-service", "a_b-svc"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(said)], "doc string, content string")
+    got = sorted((r.doc, r.start, r.end, r.text, r.type) for r in entities.extract_entities(rows).collect())
+    assert got == [("0", 0, 6, "PR #12", "PR"), ("0", 11, 21, "issue #412", "Ticket"), ("0", 32, 47, "payment_service", "Service"), ("3", 2, 6, "#410", "Ticket"), ("3", 12, 15, "pr9", "PR"), ("4", 0, 7, "a_b-svc", "Service")]
+    model = spark.createDataFrame([("0", "PR", "Org", 0, 2), ("0", "and", "Org", 7, 10)], "doc string, text string, type string, start int, end int")
+    assert [(r.text, r.score) for r in entities.extract_entities(rows, model).where("type = 'Org'").collect()] == [("and", 0.5)]
+    said = [
+        '<a href="https://github.com/acme/tools/issues/5">#5</a> <a href="https://x.y/1">#6</a> github.com/Acme/Tools/pull/9 other/repo#3 acme/tools#4 #8 a#1',
+        '<a href="https://github.com/acme/tools/pull/5">#480</a> #480', None, "",
+    ]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(said)], "doc string, content string")
+    assert {r.doc: r.numbers for r in entities.references(rows, "acme/tools").collect()} == {"0": ["5", "9", "4", "8"], "1": ["480"], "2": [], "3": []}
+
+
+def test_span_depths_of_deep_and_cyclic_runs(spark):
+    rows = [("deep", str(i), str(i - 1) if i else None) for i in range(80)]
+    rows += [("cycle", "a", "b"), ("cycle", "b", "c"), ("cycle", "c", "a"), ("cycle", "tail", "a"), ("cycle", "end", "tail"), ("cycle", "self", "self"), ("cycle", "lost", "nowhere"), ("cycle", "root", None), ("cycle", "leaf", "root")]
+    got = {(r.run, r.id): r.depth for r in traces.span_depths(spark.createDataFrame(rows, "run string, id string, parent_id string")).collect()}
+    assert all(got["deep", str(i)] == i for i in range(80)) and len(got) == len(rows)
+    assert {k[1]: v for k, v in got.items() if k[0] == "cycle"} == {"a": 2, "b": 2, "c": 2, "tail": 3, "end": 4, "self": 0, "lost": 0, "root": 0, "leaf": 1}
+    assert traces.span_depths(spark.createDataFrame([], "run string, id string, parent_id string")).count() == 0
+
+
+def test_streamed_state_survives_a_restart(spark, tmp_path):
+    from weftline.operators import folds
+    from weftline.streaming import ingest
+
+    source, folder = tmp_path / "in", str(tmp_path / "state")
+    schema = "id string, label string, type string, ts timestamp, seq long"
+    put = lambda rows, n: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/n={n}")
+
+    def fold(last, batch):
+        both = batch if last is None else last.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch)
+        return folds.upsert_entities(both)
+
+    def go():
+        stream = spark.readStream.schema(schema).parquet(f"{source}/*")
+        return {r.id: r.label for r in ingest.run_to_end(stream, folder, ["id"], fold).collect()}
+
+    source.mkdir()
+    put([], 0)
+    assert go() == {}
+    put([(f"a{i}", "first", "x", None, i) for i in range(40)], 1)
+    assert go() == {f"a{i}": "first" for i in range(40)}
+    put([("a3", "second", "x", None, 50), ("new", "new", "x", None, 51)], 2)  # a new query object, as after a restart
+    assert go() == {f"a{i}": "first" for i in range(40)} | {"new": "new"} and go()["a3"] == "first"
+    newest = ingest._newest(spark, folder)
+    assert len({*newest.values()}) == 2 and sum(n == max(newest.values()) for n in newest.values()) <= 2
 
 
 def test_resolution_is_in_order():

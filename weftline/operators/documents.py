@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +17,20 @@ def char_chunks(documents: DataFrame, size: int = DEFAULTS.chunk_chars, overlap:
     return rows.where(F.length(F.trim(F.regexp_replace("content", r"\s", ""))) > 0).withColumn("chunk_id", F.concat_ws(":", "base", "idx"))
 
 
-_WORD = re.compile(r"\S+")
-
-
 def word_windows(documents: DataFrame, size: int = DEFAULTS.window_words, overlap: int = DEFAULTS.window_overlap) -> DataFrame:
-    """base, idx, begin, finish (offsets in the text) and content of windows of words; the last reaches the final word."""
-    step = size - overlap
+    """base, idx, begin, finish (offsets in the text) and content of windows of words; the last reaches the final word.
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for base, text in zip(frame["base"], frame["content"], strict=True):
-                spans = [m.span() for m in _WORD.finditer(text or "")]
-                for idx, at in enumerate(range(0, len(spans), step)):
-                    begin, finish = spans[at][0], spans[min(at + size, len(spans)) - 1][1]
-                    rows.append((base, idx, begin, finish, text[begin:finish]))
-                    if at + size >= len(spans):
-                        break
-            yield pd.DataFrame(rows, columns=["base", "idx", "begin", "finish", "content"])
-
-    return documents.select("base", "content").mapInPandas(cut, "base string, idx int, begin int, finish int, content string")
+    The text is cut before the white space of each word; the lengths of whole steps of words tell where a window begins.
+    """
+    step = size - overlap
+    words = documents.where("content is not null").select("base", F.regexp_extract_all("content", F.lit(r"(?U)\s*\S+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / F.lit(float(step)))).cast("int")
+    joined = lambda at, n: F.array_join(F.slice("w", at, F.lit(n)), "")
+    steps = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.length(joined(i * step + 1, step)).alias("long"), joined(i * step + 1, size).alias("content")))
+    rows = words.select("base", steps.alias("s")).select("base", F.posexplode(F.transform("s", lambda x, i: F.struct(F.aggregate(F.slice("s", F.lit(1), i), F.lit(0), lambda t, y: t + y["long"]).alias("upto"), x["content"].alias("content")))).alias("idx", "x"))
+    bare = F.regexp_replace("x.content", r"(?U)^\s+", "")
+    begin = F.col("x.upto") + F.length("x.content") - F.length(bare)
+    return rows.select("base", "idx", begin.alias("begin"), (begin + F.length(bare)).alias("finish"), bare.alias("content"))
 
 
 def context_lines(hits: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import overlap, tokens
 from weftline.options import DEFAULTS
+from weftline.sources.shared import written
 
 ITEM = "struct<id:string,label:string,kind:string,content:string,source:string,score:double,overlap:double>"
 EDGE = "struct<source:string,target:string,relation:string,type:string,weight:double,confidence:double>"
@@ -70,19 +71,32 @@ def summary(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-def span_depths(spans: DataFrame, max_depth: int = 32) -> DataFrame:
-    """run, id and depth of spans (run, id, parent_id): steps to the root, a missing parent being one; cycles stop at max_depth.
+def span_depths(spans: DataFrame) -> DataFrame:
+    """run, id and depth of spans (run, id, parent_id): steps upward, to a root (a missing parent makes one) or to the first span seen again.
 
-    Pointer jumping: after k joins every span knows its ancestor 2**k steps up, so depth d takes log2(d) joins.
+    Pointer jumping: after k joins every span knows its ancestor 2**k steps up, so depth d takes log2(d) joins. Once every
+    walk has gone further than its run has spans, those still going lead into a cycle and are finished there.
     """
     ids = spans.select("run", F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
-    now = spans.join(ids, ["run", "parent_id"], "left").select("run", "id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"))
-    steps = 1
-    while steps < max_depth:
+    base = written(spans.join(ids, ["run", "parent_id"], "left").select("run", "id", F.when(F.col("known"), F.col("parent_id")).alias("up")), "spans")
+    longest = base.groupBy("run").count().agg(F.max("count")).first()[0] or 0
+    now, steps = base.withColumn("depth", F.col("up").isNotNull().cast("long")), 1
+    while steps <= longest and now.where("up is not null").limit(1).count():
         above = now.select("run", F.col("id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
         now = now.join(above, ["run", "up"], "left").select("run", "id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        now = written(now, "depths")
         steps *= 2
-    return now.select("run", "id", F.least("depth", F.lit(max_depth)).alias("depth"))
+    endless = now.where("up is not null").select("run", "id")
+    done = now.where("up is null").select("run", "id", F.col("depth").cast("int").alias("depth"))
+    # Cycles are made by mistake and short: a step for each join, for the spans that lead into one alone.
+    walk = written(endless.select("run", "id", F.array("id").alias("path")), "cycles")
+    up = base.where("up is not null").select("run", F.col("id").alias("at"), "up")
+    while walk.limit(1).count():
+        step = written(walk.withColumn("at", F.element_at("path", -1)).join(up, ["run", "at"]), "cycles")
+        again = F.expr("array_contains(path, up)")
+        done = done.unionByName(step.where(again).select("run", "id", (F.size("path") - 1).alias("depth")))
+        walk = step.where(~again).select("run", "id", F.array_append("path", F.col("up")).alias("path"))
+    return done
 
 
 def steps(spans: DataFrame) -> DataFrame:

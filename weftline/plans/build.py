@@ -60,9 +60,9 @@ def build(repository: DataFrame, pull_requests: DataFrame, issues: DataFrame, co
     ]).distinct().withColumn("confidence", edge_price(F.col("relation"), F.lit(None).cast("double")))
 
     bodies = _union([
-        pull_requests.select(_number_id("pr").alias("origin"), document_text(F.col("title"), F.col("body")).alias("content"), F.col("html_url").alias("path")),
-        issues.select(_number_id("ticket").alias("origin"), document_text(F.col("title"), F.col("body")).alias("content"), F.col("html_url").alias("path")),
-        commits.select(sha.alias("origin"), F.col("commit.message").alias("content"), F.col("html_url").alias("path")),
+        pull_requests.select(_number_id("pr").alias("origin"), document_text(F.col("title"), F.col("body")).alias("content"), F.coalesce("html_url", _number_id("pr")).alias("path")),
+        issues.select(_number_id("ticket").alias("origin"), document_text(F.col("title"), F.col("body")).alias("content"), F.coalesce("html_url", _number_id("ticket")).alias("path")),
+        commits.select(sha.alias("origin"), F.col("commit.message").alias("content"), F.coalesce("html_url", sha).alias("path")),
     ]).withColumn("base", F.concat(F.lit("doc:"), "origin"))
     chunks = char_chunks(bodies).select(F.col("chunk_id").alias("id"), "path", "content", "origin")
     return {

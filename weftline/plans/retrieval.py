@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scoring, vectors
-from weftline.operators.graph import frontier
+from weftline.operators.graph import small_frontier
 from weftline.options import DEFAULTS, Options
+from weftline.sources.shared import written
 
 
 def literal_vector(values: Sequence[float]) -> Column:
@@ -24,6 +28,46 @@ def vector_search(table: DataFrame, query: Sequence[float], k: int, floor: float
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def vector_search_all(table: DataFrame, queries: DataFrame, k: int, floor: float | None = None, at_once: int = 4096) -> DataFrame:
+    """query, id, similarity and rank: of each query (id, embedding) the k rows most like it but itself, ties by id.
+
+    Queries are taken ``at_once`` (1 MB for 64 numbers), sent to every task, and compared with whole batches of rows; a
+    task sends out k rows for each query at most, so that the shuffle does not grow with the pairs.
+    """
+    spark = table.sparkSession
+    named = written(queries.where("id is not null and embedding is not null").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), "questions")
+    named = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-max(named.count(), 1) // at_once))))
+    rows = table.where("id is not null and embedding is not null").select("id", "embedding")
+    found = []
+    for block in sorted(r["block"] for r in named.select("block").distinct().collect()):
+        own = named.where(F.col("block") == block).toPandas()
+        sent = spark.sparkContext.broadcast((own["id"].tolist(), _units(own["embedding"])))
+
+        def compare(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            asked, matrix = sent.value
+            best = pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": "object", "id": "object", "similarity": "float64"})
+            for frame in frames:
+                for at in range(0, len(frame), 1024):
+                    part = frame.iloc[at : at + 1024]
+                    near = np.round(matrix @ _units(part["embedding"]).T, 9)  # equal vectors tie
+                    keep = near >= (np.partition(near, -k - 1, axis=1)[:, -k - 1][:, None] if near.shape[1] > k + 1 else -np.inf)
+                    q, r = np.nonzero(keep if floor is None else keep & (near >= floor))
+                    new = pd.DataFrame({"query": np.array(asked, object)[q], "id": part["id"].to_numpy()[r], "similarity": near[q, r]})
+                    best = pd.concat([best, new[new["query"] != new["id"]]]).sort_values(["similarity", "id"], ascending=[False, True]).groupby("query").head(k)
+            yield best
+
+        found.append(rows.mapInPandas(compare, f"query {dict(rows.dtypes)['id']}, id {dict(rows.dtypes)['id']}, similarity double"))
+    if not found:
+        return rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
+    return matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), 1e-300)
+
+
 def select_seeds(exact: DataFrame, vector_hits: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Seeds of the first tier that has any: exact labels, similar enough hits, any hits (the last two: the first few)."""
     top = Window.partitionBy("tier").orderBy(F.desc("similarity"), "id")
@@ -38,14 +82,14 @@ def best_path_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, option
 
     Level by level: only nodes whose score a level improved expand in the next. Seeds are left out.
     """
-    edges, entity = edges.persist(), entity.persist()  # every level reads both
     best = seeds.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("hops"))
     front = best.select(F.col("id").alias("origin"), F.col("score").alias("carried"))
     for hop in range(1, options.max_hops + 1):
-        reached = frontier(edges, entity, front, options.k_graph, options.max_degree).groupBy("id").agg(F.max(F.col("carried") * F.col("confidence")).alias("found"))
+        reached = small_frontier(edges, entity, front, options.k_graph, options.max_degree).groupBy("id").agg(F.max(F.col("carried") * F.col("confidence")).alias("found"))
         both = best.join(reached, "id", "full_outer")
         better = F.col("found") > F.coalesce("score", F.lit(0.0))
-        both = both.select("id", F.when(better, F.col("found")).otherwise(F.col("score")).alias("score"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), F.coalesce(better, F.lit(False)).alias("better")).persist()  # at most origins x k rows, read as result and as frontier
+        both = both.select("id", F.when(better, F.col("found")).otherwise(F.col("score")).alias("score"), F.when(better, hop).otherwise(F.col("hops")).alias("hops"), F.coalesce(better, F.lit(False)).alias("better"))
+        both = written(both, "walk")  # at most origins x k rows, read as result and as frontier
         front = both.where("better").select(F.col("id").alias("origin"), F.col("score").alias("carried"))
         best = both.drop("better")
     hits = best.join(seeds.select("id"), "id", "left_anti").where("score > 0")
@@ -57,14 +101,13 @@ def router_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options:
 
     First is by the origin's place in its frontier, then by the neighbour's rank at the origin.
     """
-    edges, entity = edges.persist(), entity.persist()
     front = seeds.select(F.col("id").alias("origin"), F.lit(1.0).alias("carried"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).cast("long").alias("place"))
     score, visited = seeds.select("id", F.lit(1.0).alias("score")), seeds.select("id")
     for _ in range(options.max_hops):
-        seen = frontier(edges, entity, front, options.router_k, options.max_degree).select("id", (F.col("carried") * F.col("confidence")).alias("s"), (F.col("place") * 1000 + F.col("rank")).alias("turn"))
-        per = seen.groupBy("id").agg(F.max("s").alias("s"), F.min_by("s", "turn").alias("carried"), F.min("turn").alias("place")).persist()
+        seen = small_frontier(edges, entity, front, options.router_k, options.max_degree).select("id", (F.col("carried") * F.col("confidence")).alias("s"), (F.col("place") * 1000 + F.col("rank")).alias("turn"))
+        per = seen.groupBy("id").agg(F.max("s").alias("s"), F.min_by("s", "turn").alias("carried"), F.min("turn").alias("place"))
         score = score.join(per.select("id", "s"), "id", "full_outer").select("id", F.greatest("score", "s").alias("score"))
-        fresh = per.join(visited, "id", "left_anti")
+        fresh = written(per.join(visited, "id", "left_anti"), "walk")
         visited = visited.unionAll(fresh.select("id"))
         front = fresh.select(F.col("id").alias("origin"), "carried", "place")
     return score
@@ -72,15 +115,14 @@ def router_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options:
 
 def impact(edges: DataFrame, entity: DataFrame, seed: DataFrame, hops: int = 3, options: Options = DEFAULTS) -> DataFrame:
     """id, hops and confidence of what a seed may affect: the first ring is wide, later ones narrow, each node expands once; its strongest sighting counts."""
-    edges, entity = edges.persist(), entity.persist()
     front = seed.select(F.col("id").alias("origin"), F.lit(1.0).alias("carried"))
     visited, sightings = seed.select("id"), None
     for hop in range(1, min(hops, options.impact_hops) + 1):
         cap = options.impact_first_cap if hop == 1 else options.max_degree
         k = max(cap, options.impact_k) if hop == 1 else options.impact_k
-        seen = frontier(edges, entity, front, k, cap).select("id", (F.col("carried") * F.col("confidence")).alias("confidence"), F.lit(hop).alias("hops")).persist()
+        seen = small_frontier(edges, entity, front, k, cap).select("id", (F.col("carried") * F.col("confidence")).alias("confidence"), F.lit(hop).alias("hops"))
         sightings = seen if sightings is None else sightings.unionAll(seen)
-        fresh = seen.groupBy("id").agg(F.max("confidence").alias("carried")).join(visited, "id", "left_anti").where("carried > 0")
+        fresh = written(seen.groupBy("id").agg(F.max("confidence").alias("carried")).join(visited, "id", "left_anti").where("carried > 0"), "walk")
         visited = visited.unionAll(fresh.select("id"))
         front = fresh.select(F.col("id").alias("origin"), "carried")
     strongest = sightings.groupBy("id").agg(F.max_by("hops", F.struct("confidence", -F.col("hops"))).alias("hops"), F.round(F.max("confidence"), 4).alias("confidence"))

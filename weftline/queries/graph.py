@@ -30,9 +30,7 @@ def top_hubs(spark: SparkSession, folder: str) -> DataFrame:
     FROM both_ways QUALIFY rank <= 10
 """)
 def neighbors_topk(spark: SparkSession, folder: str) -> DataFrame:
-    edges = relations(spark, folder)
-    origins = graph.both_ways(edges).select("origin")
-    return graph.neighbours(edges, origins, 10).select("origin", "id", "relation", "confidence", "rank")
+    return graph.neighbours(relations(spark, folder), 10).select("origin", "id", "relation", "confidence", "rank")
 
 
 @query(f"""
@@ -46,8 +44,8 @@ def frontier_hub_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SUBGRAPH = f"""
-    {sql.GRAPH}, wanted AS ({_NATIONS}),
-    nodes AS (SELECT id, max(requested) = 1 AS requested FROM (SELECT id, 1 AS requested FROM wanted UNION ALL SELECT id, 0 FROM both_ways WHERE origin IN (SELECT id FROM wanted)) GROUP BY id)
+    {sql.GRAPH}, wanted AS MATERIALIZED ({_NATIONS}),
+    nodes AS MATERIALIZED (SELECT id, max(requested) = 1 AS requested FROM (SELECT id, 1 AS requested FROM wanted UNION ALL SELECT id, 0 FROM both_ways WHERE origin IN (SELECT id FROM wanted)) GROUP BY id)
 """
 
 
@@ -61,7 +59,7 @@ def subgraph_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return _subgraph(spark, folder).select("id", "requested", "label", "type", "ts")
 
 
-@query(f"WITH {_SUBGRAPH} SELECT src, dst, relation, confidence FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")
+@query(f"WITH {_SUBGRAPH} SELECT src, dst, relation, confidence FROM edges SEMI JOIN nodes a ON edges.src = a.id SEMI JOIN nodes b ON edges.dst = b.id")
 def subgraph_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.subgraph_edges(relations(spark, folder), _subgraph(spark, folder)).select("src", "dst", "relation", "confidence")
 

@@ -51,25 +51,54 @@ def best_path_walk(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("id", F.round("score", 6).alias("score"), "hops")
 
 
-@query()
+@query(f"WITH {sql.GRAPH}, seeds AS {_SEEDS}, {sql.router('seeds')} SELECT id, round(score, 6) AS score FROM routed")
 def router_walk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.router_walk(relations(spark, folder), entities(spark, folder), _seeds(spark, folder)).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {sql.GRAPH}, seed AS (SELECT min(id) AS id FROM {_SEEDS}), {sql.impact('seed')} SELECT id, hops, confidence FROM impacted")
 def impact_walk(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.impact(relations(spark, folder), entities(spark, folder), _seeds(spark, folder).limit(1))
+    return retrieval.impact(relations(spark, folder), entities(spark, folder), _seeds(spark, folder).agg(F.min("id").alias("id")))
+
+
+_ALL_NEAR = f"""
+    SELECT 'part:' || q.vec_id AS query, 'part:' || e.vec_id AS id, round({_COSINE}, 9) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id
+"""
 
 
-@query(f"SELECT id, round(similarity, 6) AS similarity FROM ({_NEAR}) ORDER BY similarity DESC, id LIMIT 10")
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every twentieth vector."""
+    return embeddings(spark, folder).where(F.substring_index("id", ":", -1).cast("long") % 20 == 0)
+
+
+@query(f"""
+    SELECT query, id, round(similarity, 6) AS similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id))::INTEGER AS rank FROM ({_ALL_NEAR})) WHERE rank <= 10
+""")
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.vector_search(embeddings(spark, folder), _query_vector(spark, folder), 10).select("id", F.round("similarity", 6).alias("similarity"))
+    near = retrieval.vector_search_all(embeddings(spark, folder), _questions(spark, folder), 10)
+    return near.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query(f"SELECT id, round(similarity, 6) AS similarity FROM ({_NEAR}) WHERE similarity >= 0.2")
+@query(f"""
+    SELECT query, id, round(similarity, 6) AS similarity, rank
+    FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id))::INTEGER AS rank FROM ({_ALL_NEAR}) WHERE similarity >= 0.2) WHERE rank <= 10
+""")
 def vector_floor(spark: SparkSession, folder: str) -> DataFrame:
-    similarity = vectors.cosine(F.col("embedding"), retrieval.literal_vector(_query_vector(spark, folder)))
-    return embeddings(spark, folder).select("id", similarity.alias("similarity")).where("similarity >= 0.2").select("id", F.round("similarity", 6).alias("similarity"))
+    near = retrieval.vector_search_all(embeddings(spark, folder), _questions(spark, folder), 10, 0.2)
+    return near.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""
+    WITH n AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM ({_ALL_NEAR})),
+    v AS (SELECT query, e.label, count(*) AS votes, min(rank) AS first FROM n JOIN embeddings e ON n.id = 'part:' || e.vec_id WHERE rank <= 5 GROUP BY ALL)
+    SELECT query, arg_max(label, (votes, -first)) AS label, max(votes) AS votes FROM v GROUP BY query
+""")
+def label_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The label that most of a vector's five nearest have, of equals the nearer."""
+    near = retrieval.vector_search_all(embeddings(spark, folder), _questions(spark, folder), 5)
+    labels = table(spark, folder, "embeddings").select(F.concat(F.lit("part:"), "vec_id").alias("id"), "label")
+    votes = near.join(labels, "id").groupBy("query", "label").agg(F.count(F.lit(1)).alias("votes"), F.min("rank").alias("first"))
+    return votes.groupBy("query").agg(F.max_by("label", F.struct("votes", -F.col("first"))).alias("label"), F.max("votes").alias("votes"))
 
 
 @query("""
@@ -122,10 +151,18 @@ def local_lexical_trace(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", *[F.round(c, 6).alias(c) for c in ("lexical", "spread", "score")])
 
 
-@query()
+@query(f"""
+    WITH {_LEXICAL}, degree AS (SELECT origin AS id, count(DISTINCT id) AS degree FROM both_ways WHERE origin <> id GROUP BY origin),
+    r AS MATERIALIZED (SELECT id, degree, round(lexical, 3) AS share FROM scored JOIN degree USING (id)),
+    seeds AS (SELECT * FROM r WHERE share > 0 ORDER BY share DESC, degree DESC, id LIMIT 7),
+    related AS (SELECT * FROM r WHERE id IN (SELECT b.id FROM both_ways b WHERE b.origin IN (SELECT id FROM seeds)) ORDER BY share DESC, degree DESC, id LIMIT 10),
+    rest AS (SELECT * FROM r ORDER BY share DESC, degree DESC, id LIMIT 10)
+    SELECT id, share, min(turn) AS turn FROM (SELECT *, 0 AS turn FROM seeds UNION ALL SELECT *, 1 FROM related UNION ALL SELECT *, 2 FROM rest) GROUP BY id, share, degree
+    ORDER BY turn, share DESC, degree DESC, id LIMIT 10
+""")
 def demo_retriever(spark: SparkSession, folder: str) -> DataFrame:
     edges = relations(spark, folder)
-    corpus = entities(spark, folder).join(graph.degrees(edges), "id").select("id", F.col("label").alias("text"), "degree", F.xxhash64("id").alias("seq"))
+    corpus = entities(spark, folder).join(graph.degrees(edges), "id").select("id", F.col("label").alias("text"), "degree", F.col("id").alias("seq"))
     return lexical.share_retriever(corpus, edges.select(F.col("src").alias("source"), F.col("dst").alias("target")), _QUESTION)
 
 

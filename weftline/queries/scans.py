@@ -25,9 +25,12 @@ def bounded_sources(spark: SparkSession, folder: str) -> DataFrame:
     return scan.best_files(files, F.lit(_ASKED), 20, 40_000).select("path", "share", F.col("upto").cast("long").alias("upto"))
 
 
-@query()
+@query("""
+    WITH t AS (SELECT '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS text FROM orders)
+    SELECT count(*) AS n, sum(('0x' || substr(sha256(text), 1, 12))::BIGINT)::VARCHAR AS digest FROM t
+""")
 def snapshot_checksum(spark: SparkSession, folder: str) -> DataFrame:
-    return scan.checksum(table(spark, folder, "orders"), "o_orderkey", "o_custkey", "o_orderstatus")
+    return scan.checksum(table(spark, folder, "orders"), "o_orderkey", "o_custkey", "o_orderstatus").withColumn("digest", F.col("digest").cast("string"))
 
 
 _FILE_SLUG = "regexp_replace(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-+$', '')"

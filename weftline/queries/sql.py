@@ -11,14 +11,14 @@ ENTITY = """
     )"""
 
 EDGES = """
-    edges AS (
+    edges AS MATERIALIZED (
         SELECT 'cust:' || o_custkey AS src, 'ord:' || o_orderkey AS dst, 'AUTHORED' AS relation, 0.95::DOUBLE AS confidence FROM orders
         UNION ALL SELECT DISTINCT 'ord:' || l_orderkey, 'part:' || l_partkey, 'TOUCHES', 0.80::DOUBLE FROM lineitem
         UNION ALL SELECT DISTINCT 'supp:' || l_suppkey, 'ord:' || l_orderkey, 'REVIEWED', 0.85::DOUBLE FROM lineitem
         UNION ALL SELECT 'cust:' || c_custkey, 'nation:' || c_nationkey, 'PART_OF', 0.80::DOUBLE FROM customer
         UNION ALL SELECT 'supp:' || s_suppkey, 'nation:' || s_nationkey, 'PART_OF', 0.80::DOUBLE FROM supplier
         UNION ALL SELECT 'cust:' || user_id, 'ev:' || event_id, 'REPORTED', 0.75::DOUBLE FROM events WHERE event_type = 'error'
-    ), both_ways AS (
+    ), both_ways AS MATERIALIZED (
         SELECT src AS origin, dst AS id, relation, confidence FROM edges
         UNION ALL SELECT dst, src, relation, confidence FROM edges WHERE src <> dst
     )"""
@@ -52,6 +52,33 @@ def walk(seeds: str) -> str:
     hits AS (SELECT * FROM b2 WHERE id NOT IN (SELECT id FROM {seeds}) ORDER BY score DESC, id LIMIT 10)"""
 
 
+def router(seeds: str) -> str:
+    """CTEs of the two-hop router walk: ``routed`` (id, score)."""
+    per = lambda n: f"""seen{n} AS (SELECT h.id, h.carried * h.confidence AS s, f.place * 1000 + h.rank AS turn FROM g{n} h JOIN front{n} f USING (origin)),
+    per{n} AS (SELECT id, max(s) AS s, arg_min(s, turn) AS carried, min(turn) AS place FROM seen{n} GROUP BY id)"""
+    return f"""
+    front1 AS (SELECT id AS origin, 1.0::DOUBLE AS carried, row_number() OVER (ORDER BY id) AS place FROM {seeds}),
+    {frontier("g1", "front1", 5, 10)}, {per(1)},
+    score1 AS (SELECT id, greatest(a.score, b.s) AS score FROM (SELECT id, 1.0::DOUBLE AS score FROM {seeds}) a FULL JOIN per1 b USING (id)),
+    front2 AS (SELECT id AS origin, carried, place FROM per1 WHERE id NOT IN (SELECT id FROM {seeds})),
+    {frontier("g2", "front2", 5, 10)}, {per(2)},
+    routed AS (SELECT id, greatest(a.score, b.s) AS score FROM score1 a FULL JOIN per2 b USING (id))"""
+
+
+def impact(seed: str) -> str:
+    """CTEs of the three-ring impact walk: ``impacted`` (id, hops, confidence)."""
+    ring = lambda n, k, degree: f"""{frontier(f"i{n}", f"ring{n}", k, degree)},
+    sight{n} AS (SELECT id, carried * confidence AS confidence, {n} AS hops FROM i{n})"""
+    return f"""
+    ring1 AS (SELECT id AS origin, 1.0::DOUBLE AS carried FROM {seed}), {ring(1, 200, 200)},
+    new1 AS (SELECT id, max(confidence) AS carried FROM sight1 WHERE id NOT IN (SELECT id FROM {seed}) GROUP BY id HAVING max(confidence) > 0),
+    ring2 AS (SELECT id AS origin, carried FROM new1), {ring(2, 25, 10)},
+    new2 AS (SELECT id, max(confidence) AS carried FROM sight2 WHERE id NOT IN (SELECT id FROM {seed}) AND id NOT IN (SELECT id FROM new1) GROUP BY id HAVING max(confidence) > 0),
+    ring3 AS (SELECT id AS origin, carried FROM new2), {ring(3, 25, 10)},
+    impacted AS (SELECT id, arg_max(hops, (confidence, -hops)) AS hops, round(max(confidence), 4) AS confidence FROM (SELECT * FROM sight1 UNION ALL SELECT * FROM sight2 UNION ALL SELECT * FROM sight3)
+        GROUP BY id ORDER BY confidence DESC, hops, id LIMIT 50)"""
+
+
 def decay(ts: str, kind: str, now: str) -> str:
     half = f"""CASE {kind} WHEN 'Ticket' THEN 21.0 WHEN 'PR' THEN 60.0 WHEN 'File' THEN 120.0 WHEN 'Person' THEN 180.0 WHEN 'Service' THEN 365.0 WHEN 'Repo' THEN 365.0
         ELSE 90.0 END::DOUBLE"""

@@ -74,27 +74,45 @@ def slugify(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", rules.slug(F.col("p_name")).alias("slug"), rules.entity_node_id(F.col("p_type"), F.col("p_name")).alias("node_id"))
 
 
-_SAID = "'Fixes #' || o_orderkey || ', closes: #' || (o_orderkey + 1) || ' prefix #' || o_custkey || ' resolved #' || o_orderkey || ' see #3'"
+def _put(snippet: str) -> str:
+    """A snippet inside the text of a turn, at a place that differs from turn to turn."""
+    return f"substr(text, 1, cast(conv_id % 40 AS int)) || ' ' || ({snippet}) || ' ' || substr(text, cast(conv_id % 40 AS int) + 1)"
 
 
-def _said(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select("o_orderkey", F.expr(_SAID).alias("text"))
+_SAID = _put("""
+    CASE turn % 6 WHEN 0 THEN 'Fixes #' || conv_id || ', closes: #' || turn WHEN 1 THEN 'prefix #' || conv_id || ' RESOLVED  #' || conv_id WHEN 2 THEN 'closed #' || turn || ' see #3'
+    WHEN 3 THEN 'fix: #' || turn || ' fix #' || turn || ' Fixed #' || conv_id WHEN 4 THEN 'affix#9 resolves#' || conv_id ELSE 'nothing of the kind' END
+""")
+_MENTIONED = _put("""
+    CASE turn % 7 WHEN 0 THEN 'PR #' || conv_id || ', pull request ' || turn WHEN 1 THEN 'issue #' || (conv_id + 40) || ' and #' || (turn + 100) || ' or #7'
+    WHEN 2 THEN 'payment_service (self-service), order-svc' WHEN 3 THEN 'pr' || conv_id || '-service and page#42, ##12' WHEN 4 THEN 'PR#' || turn || ' PR#' || turn || ' then issues  #' || conv_id
+    WHEN 5 THEN 'Pull-Requests 55 on a_b_svc; micro_SVC' ELSE 'plain' END
+""")
+_LINKED = _put("""
+    CASE turn % 6 WHEN 0 THEN '<a href="https://github.com/acme/tools/pull/' || turn || '">#' || conv_id || '</a> and #' || (turn + 50) WHEN 1 THEN '<a href="https://x.y/1">#6</a> #' || conv_id
+    WHEN 2 THEN 'github.com/Acme/Tools/pull/' || conv_id || ' other/repo#3 acme/tools#' || turn WHEN 3 THEN 'a#1 x/#2 acme/tools#' || conv_id || ' #' || conv_id || ' #' || turn
+    WHEN 4 THEN 'https://github.com/acme/other/issues/' || turn || ' #' || (turn + 1) ELSE 'plain' END
+""")
+
+
+def _turns(spark: SparkSession, folder: str, content: str) -> DataFrame:
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("doc"), F.expr(content).alias("content"))
 
 
 @query(rf"""
-    SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all({_SAID}, '(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s*#(\d+)', 1))), ',') AS numbers FROM orders
+    SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all({_SAID}, '(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s*:?\s*#(\d+)', 1))), ',') AS numbers FROM conversations
 """)
 def closing_refs_strict(spark: SparkSession, folder: str) -> DataFrame:
-    numbers = F.array_sort(rules.closing_numbers(F.col("text")).cast("array<string>"))
-    return _said(spark, folder).select("o_orderkey", F.array_join(numbers, ",").alias("numbers"))
+    numbers = F.array_sort(rules.closing_numbers(F.col("content")).cast("array<string>"))
+    return _turns(spark, folder, _SAID).select("conv_id", "turn", F.array_join(numbers, ",").alias("numbers"))
 
 
 @query(rf"""
-    SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all({_SAID}, '(?i)(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)\s+#(\d+)', 1))), ',') AS numbers FROM orders
+    SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all({_SAID}, '(?i)(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)\s+#(\d+)', 1))), ',') AS numbers FROM conversations
 """)
 def closing_refs_loose(spark: SparkSession, folder: str) -> DataFrame:
-    numbers = F.array_sort(rules.closing_numbers(F.col("text"), rules.CLOSING_LOOSE).cast("array<string>"))
-    return _said(spark, folder).select("o_orderkey", F.array_join(numbers, ",").alias("numbers"))
+    numbers = F.array_sort(rules.closing_numbers(F.col("content"), rules.CLOSING_LOOSE).cast("array<string>"))
+    return _turns(spark, folder, _SAID).select("conv_id", "turn", F.array_join(numbers, ",").alias("numbers"))
 
 
 @query(r"""
@@ -128,26 +146,62 @@ def char_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return documents.char_chunks(rows).select("chunk_id", F.length("content").cast("long").alias("size"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query()
+@query(r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w FROM documents),
+    i AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 300) / 250.0))::BIGINT + 1)) AS idx FROM w WHERE len(w) > 0),
+    c AS (SELECT doc_id, idx, length(array_to_string(w[1:idx * 250], '')) AS upto, array_to_string(w[idx * 250 + 1:idx * 250 + 300], '') AS content FROM i),
+    b AS (SELECT doc_id, idx, upto + length(content) - length(regexp_replace(content, '^\s+', '')) AS begin, regexp_replace(content, '^\s+', '') AS content FROM c)
+    SELECT 'doc:' || doc_id AS base, idx::INTEGER AS idx, begin::INTEGER AS begin, (begin + length(content))::INTEGER AS finish, md5(content) AS digest FROM b
+""")
 def word_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return documents.word_windows(table(spark, folder, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("base"), F.col("text").alias("content")))
+    rows = table(spark, folder, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("base"), F.col("text").alias("content"))
+    return documents.word_windows(rows).select("base", "idx", "begin", "finish", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-def _mixed(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts that name changes, tickets and services, made from the order and part tables."""
-    said = F.expr("'PR #' || o_orderkey || ' fixes issue #' || o_custkey || ' in payment_service and self-service; see acme/tools#' || o_orderkey || ' and #' || o_custkey")
-    return table(spark, folder, "orders").select(F.concat(F.lit("ord:"), "o_orderkey").alias("doc"), said.alias("content"))
+def _found_sql(name: str, pattern: str, kind: str, turn: int, more: str = "true") -> str:
+    """CTE of a pattern's matches with their places. What DuckDB's patterns can't look back at is asked of the character before."""
+    return rf"""
+    {name}_all AS (SELECT doc, content, unnest(regexp_extract_all(content, '{pattern}')) AS text, unnest(range(len(regexp_extract_all(content, '{pattern}')))) AS place,
+        unnest((string_split_regex(content, '{pattern}'))[:-2]) AS before FROM t),
+    {name}_at AS (SELECT doc, content, text, sum(length(before) + length(text)) OVER (PARTITION BY doc ORDER BY place) AS "end" FROM {name}_all),
+    {name} AS (SELECT doc, text, '{kind}' AS type, {turn} AS turn, "end" - length(text) AS start, "end" FROM {name}_at WHERE length(text) >= 3 AND {more})"""
 
 
-@query()
+@query(rf"""
+    WITH t AS (SELECT 'conv:' || conv_id || ':' || turn AS doc, {_MENTIONED} AS content FROM conversations),
+    {_found_sql("a", r"(?i)\b(?:PR|pull[ -]?requests?)\s*#?\d+\b", "PR", 0)},
+    {_found_sql("b", r"(?i)(?:\bissues?\s+)?#\d+\b", "Ticket", 1, r"(text[1] <> '#' OR NOT regexp_matches(substr(content, ('end' || '')::VARCHAR::INTEGER, 1), '[\w#]'))")},
+    {_found_sql("c", r"(?i)\b[a-z][a-z0-9]*(?:[_-][a-z0-9]+)*[_-](?:service|svc)\b", "Service", 2, "NOT regexp_matches(text, '(?i)^(self|customer|micro|full|in|out)[_-](service|svc)$')")},
+    b2 AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = b.doc AND a.start < b."end" AND b.start < a."end")),
+    ab AS (SELECT * FROM a UNION ALL SELECT * FROM b2),
+    c2 AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.doc = c.doc AND ab.start < c."end" AND c.start < ab."end"))
+    SELECT doc, text, type, min(start)::INTEGER AS start, arg_min("end", start)::INTEGER AS "end", 1.0::DOUBLE AS score FROM (SELECT * FROM ab UNION ALL SELECT * FROM c2) GROUP BY doc, text, type
+""".replace("('end' || '')::VARCHAR::INTEGER", '("end" - length(text))::INTEGER'))
 def rule_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return named.extract_entities(_mixed(spark, folder))
+    return named.extract_entities(_turns(spark, folder, _MENTIONED))
+
+
+_URL = r"(?i)(?:github\.com|github-redirect\.dependabot\.com)/([\w.-]+)/([\w.-]+)/(?:issues|pull)/(\d+)"
+_ANCHOR = r"""(?i)<a\b[^>]*\bhref=["'']([^"'']*)["''][^>]*>\s*#(\d+)\s*</a>"""
+
 
+def _own_sql(text: str, pattern: str, shift: int = 0) -> str:
+    """Numbers that a pattern of owner, name and number gives acme/tools."""
+    part = [f"regexp_extract_all({text}, '{pattern}', {k + shift})" for k in (1, 2, 3)]
+    return f"list_transform(list_filter(list_zip({', '.join(part)}), lambda x: lower(x[1] || '/' || x[2]) = 'acme/tools'), lambda x: x[3])"
 
-@query("SELECT 'ord:' || o_orderkey AS doc, array_to_string(CASE WHEN o_orderkey = o_custkey THEN [o_orderkey] ELSE [o_orderkey, o_custkey] END, ',') AS numbers FROM orders")
+
+@query(rf"""
+    WITH t AS (SELECT 'conv:' || conv_id || ':' || turn AS doc, {_LINKED} AS content FROM conversations),
+    l AS (SELECT doc, content, list_transform(list_filter(list_zip(regexp_extract_all(content, '{_ANCHOR}', 1), regexp_extract_all(content, '{_ANCHOR}', 2)),
+        lambda x: lower(regexp_extract(x[1], '{_URL}', 1) || '/' || regexp_extract(x[1], '{_URL}', 2)) = 'acme/tools'), lambda x: x[2]) AS n1, regexp_replace(content, '{_ANCHOR}', ' ', 'g') AS left1 FROM t),
+    u AS (SELECT *, {_own_sql("left1", _URL)} AS n2, regexp_replace(left1, '{_URL}', ' ', 'g') AS left2 FROM l),
+    q AS (SELECT *, {_own_sql("left2", r"(^|[^\w./-])([\w.-]+)/([\w.-]+)#(\d+)\b", 1)} AS n3, regexp_replace(left2, '(^|[^\w./-])([\w.-]+)/([\w.-]+)#(\d+)\b', ' ', 'g') AS left3 FROM u),
+    f AS (SELECT doc, list_concat(list_concat(n1, n2), list_concat(n3, regexp_extract_all(left3, '(^|[^\w/#&])#(\d+)\b', 2))) AS n FROM q)
+    SELECT doc, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), ',') AS numbers FROM f
+""")
 def repo_references(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _mixed(spark, folder).select("doc", F.regexp_replace("content", r"^PR #\d+ fixes issue #\d+", "Change").alias("content"))
-    return named.references(rows, "Acme/Tools").select("doc", F.array_join("numbers", ",").alias("numbers"))
+    return named.references(_turns(spark, folder, _LINKED), "Acme/Tools").select("doc", F.array_join("numbers", ",").alias("numbers"))
 
 
 @query("SELECT item_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:120]) AS digest, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:120]) AS size FROM benchmark")

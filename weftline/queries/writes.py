@@ -171,7 +171,7 @@ def debounce_stream(spark: SparkSession, folder: str) -> DataFrame:
         both = batch if last is None else last.unionByName(batch)
         return both.groupBy("key", "first").agg(F.max("last").alias("last"), F.max("deadline").alias("deadline"), F.max("n").alias("n"))
 
-    return ingest.run_to_end(debounce.burst_stream(rows, 6 * _HOUR, 24 * _HOUR), ingest.new_folder(spark, "debounce"), latest, "update")
+    return ingest.run_to_end(debounce.burst_stream(rows, 6 * _HOUR, 24 * _HOUR), ingest.new_folder(spark, "debounce"), ["key", "first"], latest, "update")
 
 
 @query("SELECT 'user:' || user_id AS id, arg_min(event_type, event_id) AS label, 'Person' AS type, max(ts)::TIMESTAMP AS ts FROM events GROUP BY user_id")
@@ -182,4 +182,4 @@ def incremental_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
         both = batch if last is None else last.withColumn("seq", F.lit(-1).cast("long")).unionByName(batch)
         return folds.upsert_entities(both)
 
-    return ingest.run_to_end(rows, ingest.new_folder(spark, "ingest"), fold)
+    return ingest.run_to_end(rows, ingest.new_folder(spark, "ingest"), ["id"], fold)
