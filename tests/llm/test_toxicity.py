@@ -53,7 +53,7 @@ def test_nearest_is_brute_force_over_whole_texts(monkeypatch, dense, postings):
     frequencies = np.bincount(toxicity.known_counts(encoded, table).terms, minlength=len(vocabulary))
     numbered = toxicity.Counts(hashed.offsets, np.searchsorted(vocabulary, hashed.terms), hashed.times)
     index = toxicity.build_index(np.arange(len(examples)), np.array(labels), numbered, vocabulary, frequencies, len(corpus), (600, 60))
-    for query, (at, cosines) in zip(queries, index.nearest(toxicity.known_counts(encoded[len(examples) :], table), toxicity.NEIGHBOURS), strict=True):
+    for query, (at, cosines) in zip(queries, index.ready().nearest(toxicity.known_counts(encoded[len(examples) :], table), toxicity.NEIGHBOURS), strict=True):
         expected = plain_search(examples, labels, corpus, query)
         assert np.allclose(cosines, [c for _, c in expected], atol=1e-6)
         clear = [k for (k, c), (_, n) in zip(expected, expected[1:], strict=False) if c - n > 1e-6]

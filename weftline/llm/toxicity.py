@@ -97,7 +97,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.flatnonzero(np.diff(offsets))
         least[full] = value[offsets[full]]  # each text's shingles are sorted
         counts = hashed_counts(texts)
-        packed = [[x[a:b].tobytes() for a, b in zip(counts.offsets[:-1], counts.offsets[1:], strict=True)] for x in (counts.terms, counts.times.astype(np.int64))]
+        packed = [[x[a:b].tobytes() for a, b in zip(counts.offsets[:-1], counts.offsets[1:], strict=True)] for x in (counts.terms, counts.times.astype(np.int32))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least.view(np.int64)), *[pa.array(x, pa.binary()) for x in packed]], names=["doc_id", "label", "least", "terms", "times"])
 
 
@@ -291,12 +291,13 @@ def build_index(ids: np.ndarray, labels: np.ndarray, counts: Counts, vocabulary:
 
     index.ready()
     votes = []
-    for at in range(0, len(order), 512):
-        docs = order[at : at + 512]
+    for at in range(0, len(order), 128):
+        docs = order[at : at + 128]
         own = joined([Counts(np.array([0, counts.offsets[k + 1] - counts.offsets[k]]), counts.terms[counts.offsets[k] : counts.offsets[k + 1]], counts.times[counts.offsets[k] : counts.offsets[k + 1]]) for k in docs])
         for k, (near, cosines) in enumerate(index.nearest(own, NEIGHBOURS + 1), at):
             others = near != k
             votes.append(index.vote(near[others][:NEIGHBOURS], cosines[others][:NEIGHBOURS]))
+    del index._dense, index._most
     if votes:
         w = each[order]
         index.steps = isotonic(np.array(votes), index.labels, w * len(w) / max(w.sum(), 1e-12))
@@ -308,12 +309,16 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column) -> Index | No
     rows = examples(documents, labels, usable)
     if not len(rows):
         return None
+    ids, kinds = rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(rows["terms"].map(len).to_numpy() // 8)])
+    hashes = np.frombuffer(b"".join(rows.pop("terms")), np.uint64)
+    times = np.frombuffer(b"".join(rows.pop("times")), np.int32)
+    vocabulary = np.unique(hashes)
+    numbered = Counts(offsets, np.searchsorted(vocabulary, hashes).astype(np.int32), times)
+    del rows, hashes
     sizes = {r["label"]: r["count"] for r in rated(labels, "toxic", usable).groupBy("label").count().collect()}
-    parts = [Counts(np.array([0, len(t) // 8]), np.frombuffer(t, np.uint64), np.frombuffer(c, np.int64)) for t, c in zip(rows["terms"], rows["times"], strict=True)]
-    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *[p.terms for p in parts]]))
-    numbered = joined([Counts(p.offsets, np.searchsorted(vocabulary, p.terms), p.times) for p in parts])
     frequencies, total = document_frequencies(documents, vocabulary)
-    return build_index(rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(), numbered, vocabulary, frequencies, total, (sizes.get(0, 0), sizes.get(1, 0)))
+    return build_index(ids, kinds, numbered, vocabulary, frequencies, total, (sizes.get(0, 0), sizes.get(1, 0)))
 
 
 def score_texts(documents: DataFrame, index: Index | None) -> DataFrame:
