@@ -52,6 +52,17 @@ def delta(rows: DataFrame, cursor: Column) -> DataFrame:
     return rows.where(F.col("updated_at").isNull() | cursor.isNull() | (F.col("updated_at") > cursor))
 
 
+def next_cursors(rows: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+    """Of each key the latest known change, else its previous cursor (key, cursor)."""
+    latest = rows.groupBy(key).agg(F.max("updated_at").alias("latest"))
+    return latest.join(previous, key, "full_outer").select(key, F.coalesce("latest", "cursor").alias("cursor"))
+
+
+def late(rows: DataFrame, cursor: Column) -> DataFrame:
+    """Rows changed at the cursor or before it, which a scan from the cursor does not see again."""
+    return rows.where(F.col("updated_at") <= cursor)
+
+
 def ingest_order(rows: DataFrame, partition: str) -> DataFrame:
     """``seq`` within each partition: newest first, unknown times last, ties by number and sha, all descending."""
     order = Window.partitionBy(partition).orderBy(F.desc_nulls_last("updated_at"), F.desc("number"), F.desc("sha"))

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from weftline.queries import control, graph, history, retrieval, scans, text, writes  # noqa: F401
+    from weftline.queries import control, graph, history, records, retrieval, scans, text, writes  # noqa: F401
 
     return QUERIES, ORACLE_SQL

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "key long, first long, last long, deadline long, n long"
@@ -44,6 +44,11 @@ def bursts(events: DataFrame, window: int, wait: int) -> DataFrame:
     return short.unionByName(runs.where(F.col("hi") - F.col("lo") >= wait).groupBy("key", "run").applyInPandas(one, SCHEMA))
 
 
+def pending(found: DataFrame, now: Column) -> DataFrame:
+    """How many bursts still wait for their deadline."""
+    return found.where(F.col("deadline") > now).agg(F.count(F.lit(1)).alias("n"))
+
+
 def burst_stream(events: DataFrame, window: int, wait: int) -> DataFrame:
     """The same for a stream: each batch emits the bursts it touched, so a sink keeps the latest row of each (key, first)."""
 
