@@ -64,6 +64,11 @@ def test_ask(spark, tables):
     assert order.index("person:bob") < order.index("file:src/login.py") < order.index("pr:7")
     assert {r.id for r in engine.route("ann").collect()} >= {"person:ann", "pr:7"}
     assert engine.impact("ann").first().id == "pr:7"
+    assert {r.id: [c.doc for c in r.citations] for r in engine.impact_report("ann").collect()}["pr:7"] == ["doc:pr:7:0"]
+    assert engine.lexical("where is login.py").first().id == "file:src/login.py"
+    vectors = spark.createDataFrame([("pr:8", [1.0, 0.0]), ("pr:7", [0.0, 1.0])], "id string, embedding array<double>")
+    far = Engine(spark, tables | {"vectors": vectors})
+    assert far.route("nothing of it", vector=[0.9, 0.1]).first().id == "pr:8" and far.route("nothing of it", vector=[-1.0, -1.0]).count() == 0
     nodes, edges = engine.subgraph(tables["entity"].where("id = 'pr:7'").select("id"))
     assert {r.id for r in nodes.where("requested").collect()} == {"pr:7"} and edges.count() >= 4
     assert engine.suggestions(2).count() == 2

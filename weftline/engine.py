@@ -66,15 +66,25 @@ class Engine:
         usable = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
         return self.tables["entity"].where(F.array_contains(usable, F.lower("label"))).select("id", "label")
 
-    def route(self, question: str, seeds: DataFrame | None = None) -> DataFrame:
-        """The router's ranking: seeds stay at 1, each node expands once."""
-        return retrieval.router_walk(self.tables["relates_to"], self.tables["entity"], (seeds or self.named(question)).select("id").distinct(), self.options).orderBy(F.desc("score"), "id")
+    def route(self, question: str, seeds: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+        """The router's ranking: seeds stay at 1, each node expands once. With nothing named, the nearest vectors of at least ``find_at`` are the seeds."""
+        start = (self.named(question) if seeds is None else seeds).select("id").distinct()
+        if vector is not None and not start.limit(1).count():
+            start = retrieval.vector_search(self.tables["vectors"], vector, self.options.seed_top, self.options.find_at).select("id")
+        return retrieval.router_walk(self.tables["relates_to"], self.tables["entity"], start, self.options).orderBy(F.desc("score"), "id")
 
     def impact(self, name: str, hops: int = 3) -> DataFrame:
         return retrieval.impact(self.tables["relates_to"], self.tables["entity"], self.find_entity(name, limit=1).select("id"), hops, self.options)
 
+    def impact_report(self, name: str, hops: int = 3) -> DataFrame:
+        """The same with the documents that support each."""
+        return retrieval.impact_report(self.impact(name, hops), self.tables["mentions"], self.tables["document"])
+
     def lexical(self, question: str, top: int = 10) -> DataFrame:
-        return lexical.lexical_trace(self.tables["entity"].withColumnRenamed("label", "text"), self.tables["relates_to"], question, top)
+        """Nodes by the words of their label and documents."""
+        chunks = self.tables["mentions"].join(self.tables["document"].select(F.col("id").alias("doc"), "content"), "doc").select(F.col("entity").alias("origin"), "content")
+        path = F.when(F.col("type") == "File", F.col("label"))
+        return lexical.lexical_trace(self.tables["entity"].select("id", F.col("label").alias("text"), "ts", path.alias("path")), self.tables["relates_to"], question, top, chunks)
 
     def subgraph(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = graph.subgraph_nodes(self.tables["relates_to"], self.tables["entity"], ids)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import question_tokens, tokens
-from weftline.operators.graph import both_ways
+from weftline.operators.graph import at_origins
 
 
 def lexical_scores(nodes: DataFrame, question: str) -> DataFrame:
@@ -16,14 +16,27 @@ def lexical_scores(nodes: DataFrame, question: str) -> DataFrame:
     return nodes.withColumn("lexical", F.coalesce(share, F.lit(0.0)))
 
 
-def lexical_trace(nodes: DataFrame, edges: DataFrame, question: str, top: int = 10) -> DataFrame:
-    """id, lexical, spread and score of the best nodes: the better half of the places seed one step along edges at 0.7 of its price."""
-    scored = lexical_scores(nodes, question).select("id", "lexical", "ts")
-    seeds = scored.orderBy(F.desc("lexical"), F.desc_nulls_last("ts"), F.desc("id")).limit(max(1, top // 2))
-    near = both_ways(edges).join(seeds.select(F.col("id").alias("origin"), F.col("lexical").alias("from")), "origin")
+def lexical_trace(nodes: DataFrame, edges: DataFrame, question: str, top: int = 10, chunks: DataFrame | None = None, repository: str = "") -> DataFrame:
+    """id, lexical, spread and score of the best nodes (id, text, ts and, if known, path): the better half of the places seed one step along edges at 0.7 of its price.
+
+    With chunks (origin, content) a node's words are also those of its documents. Of equal shares the one goes first whose
+    file name holds more of the question's words (but the repository's own), then the newest.
+    """
+    asked = question_tokens(F.lit(question))
+    words = nodes.select("id", "ts", tokens(F.coalesce("text", F.lit(""))).alias("own"), *(["path"] if "path" in nodes.columns else [F.lit(None).cast("string").alias("path")]))
+    if chunks is not None:
+        held = chunks.groupBy(F.col("origin").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect(asked, tokens(F.col("content")))))).alias("held"))
+        words = words.join(held, "id", "left").withColumn("own", F.concat("own", F.coalesce("held", F.array().cast("array<string>"))))
+    stem = F.regexp_replace(F.regexp_extract("path", r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    names = F.array_except(asked, tokens(F.lit(repository.replace("/", " "))))
+    share = F.size(F.array_intersect(asked, "own")) / F.greatest(F.size(asked), F.lit(1))
+    hits = F.coalesce(F.size(F.array_intersect(names, tokens(F.regexp_replace(stem, "[_-]", " ")))), F.lit(0))
+    scored = words.select("id", "ts", share.alias("lexical"), F.when(F.col("path").isNull(), 0).otherwise(hits).alias("hits"))
+    seeds = scored.orderBy(F.desc("lexical"), F.desc("hits"), F.desc_nulls_last("ts"), F.desc("id")).limit(max(1, top // 2))
+    near = at_origins(edges, F.broadcast(seeds.select(F.col("id").alias("origin"), F.col("lexical").alias("from"))))
     spread = near.groupBy("id").agg(F.max(F.least(F.lit(1.0), F.col("from") * F.col("confidence") * 0.7)).alias("spread"))
     both = scored.join(spread, "id", "left").withColumn("spread", F.coalesce("spread", F.lit(0.0))).withColumn("score", F.greatest("lexical", "spread"))
-    return both.orderBy(F.desc("score"), F.desc("lexical"), F.desc("id")).limit(top).select("id", "lexical", "spread", "score")
+    return both.orderBy(F.desc("score"), F.desc("lexical"), F.desc("hits"), F.desc("id")).limit(top).select("id", "lexical", "spread", "score")
 
 
 def share_retriever(corpus: DataFrame, links: DataFrame, question: str, k: int = 10) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scoring, vectors
-from weftline.operators.graph import small_frontier
+from weftline.operators.graph import documents_for, small_frontier
+from weftline.operators.records import hit_payload
 from weftline.options import DEFAULTS, Options
 from weftline.sources.shared import written
 
@@ -129,6 +130,17 @@ def impact(edges: DataFrame, entity: DataFrame, seed: DataFrame, hops: int = 3,
     return strongest.orderBy(F.desc("confidence"), "hops", "id").limit(options.impact_rows)
 
 
+def impact_report(hits: DataFrame, mentions: DataFrame, documents: DataFrame, per_entity: int = 2) -> DataFrame:
+    """Impacted nodes (id, hops, confidence) with the first documents that support each: (doc, path) of documents (id, path)."""
+    found = documents_for(hits.select("id"), mentions, documents)
+    return hits.join(found, "id").select("id", "hops", "confidence", F.slice("documents", 1, per_entity).alias("citations"))
+
+
+def routed_response(fused: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Fused hits with all parts of their score, whether both arms found them, and their documents (doc, path)."""
+    return hit_payload(fused).join(documents_for(fused.select("id"), mentions, documents), "id")
+
+
 def fuse(vector_hits: DataFrame, graph_hits: DataFrame, attributes: DataFrame, intent: str, now: Column, options: Options = DEFAULTS) -> DataFrame:
     """Both arms by id, scored (a * vector + b * graph) * decay. The vector arm may fill what the graph arm leaves of ``total_k``, and two at least."""
     one = Window.partitionBy(F.lit(0))  # both arms are limited to a few rows

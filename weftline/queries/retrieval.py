@@ -28,7 +28,7 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").where("s_suppkey <= 3").select(F.concat(F.lit("supp:"), "s_suppkey").alias("id"))
 
 
-@query(f"""
+_HYBRID = f"""
     WITH {sql.GRAPH}, seeds AS {_SEEDS}, {sql.walk("seeds")},
     near AS ({_NEAR} ORDER BY similarity DESC, id LIMIT 10),
     budget AS (SELECT id, similarity FROM near QUALIFY row_number() OVER (ORDER BY similarity DESC, id) <= greatest(2, 10 - (SELECT count(*) FROM hits))),
@@ -36,7 +36,10 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
     SELECT f.id, e.label, e.type, round(vector, 6) AS vector_score, round(graph, 6) AS graph_score, round({sql.decay("e.ts", "e.type", NOW)}, 6) AS recency,
         round((0.15 * vector + 0.85 * graph) * {sql.decay("e.ts", "e.type", NOW)}, 6) AS score
     FROM fused f LEFT JOIN entity e USING (id) ORDER BY score DESC, id LIMIT 10
-""")
+"""
+
+
+@query(_HYBRID)
 def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     entity = entities(spark, folder)
     hits = retrieval.best_path_walk(relations(spark, folder), entity, _seeds(spark, folder))
@@ -45,6 +48,37 @@ def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return fused.select("id", "label", "type", *[F.round(c, 6).alias(c) for c in ("vector_score", "graph_score", "recency", "score")])
 
 
+_DOCS = "SELECT 'doc:' || doc_id AS doc, source AS path, 'part:' || (doc_id % 500) AS entity FROM documents"
+
+
+def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions (doc, entity) and documents (id, path): each document belongs to a part."""
+    docs = table(spark, folder, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.col("source").alias("path"), F.concat(F.lit("part:"), F.col("doc_id") % 500).alias("entity"))
+    return docs.select(F.col("id").alias("doc"), "entity"), docs.select("id", "path")
+
+
+@query(f"""
+    SELECT h.id, h.label, h.score, h.vector_score > 0 AND h.graph_score > 0 AS found_by_both, coalesce(string_agg(d.doc || '@' || d.path, ',' ORDER BY d.doc), '') AS documents
+    FROM ({_HYBRID}) h LEFT JOIN ({_DOCS}) d ON d.entity = h.id GROUP BY ALL
+""")
+def routed_response(spark: SparkSession, folder: str) -> DataFrame:
+    found = retrieval.routed_response(hybrid_retrieval(spark, folder), *_documents(spark, folder))
+    return found.select("id", "label", "score", "found_by_both", F.array_join(F.transform("documents", lambda d: F.concat(d["doc"], F.lit("@"), d["path"])), ",").alias("documents"))
+
+
+@query(f"""
+    WITH {sql.GRAPH}, seed AS (SELECT min(e.id) AS id FROM entity e JOIN supplier ON lower(e.label) = lower(s_name) AND s_suppkey = 2), {sql.impact('seed')},
+    d AS (SELECT entity, doc || '@' || path AS line, row_number() OVER (PARTITION BY entity ORDER BY doc) AS n FROM ({_DOCS}))
+    SELECT i.id, i.hops, i.confidence, coalesce(string_agg(d.line, ',' ORDER BY d.n), '') AS citations FROM impacted i LEFT JOIN d ON d.entity = i.id AND d.n <= 2 GROUP BY ALL
+""")
+def impact_report(spark: SparkSession, folder: str) -> DataFrame:
+    entity = entities(spark, folder)
+    asked = table(spark, folder, "supplier").where("s_suppkey = 2").select(F.lower("s_name").alias("asked"))
+    seed = entity.withColumn("asked", F.lower("label")).join(asked, "asked", "left_semi").agg(F.min("id").alias("id"))
+    report = retrieval.impact_report(retrieval.impact(relations(spark, folder), entity, seed), *_documents(spark, folder))
+    return report.select("id", "hops", "confidence", F.array_join(F.transform("citations", lambda d: F.concat(d["doc"], F.lit("@"), d["path"])), ",").alias("citations"))
+
+
 @query(f"WITH {sql.GRAPH}, seeds AS {_SEEDS}, {sql.walk('seeds')} SELECT id, round(score, 6) AS score, hops FROM hits")
 def best_path_walk(spark: SparkSession, folder: str) -> DataFrame:
     hits = retrieval.best_path_walk(relations(spark, folder), entities(spark, folder), _seeds(spark, folder))
@@ -151,6 +185,26 @@ def local_lexical_trace(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", *[F.round(c, 6).alias(c) for c in ("lexical", "spread", "score")])
 
 
+_ASKED_WORDS = f"{sql.tokens(chr(39) + _QUESTION + chr(39), '[' + chr(39) + (chr(39) + ',' + chr(39)).join(['who', 'what', 'when', 'where', 'which', 'how', 'why', 'repo', 'repository']) + chr(39) + ']')}"
+
+
+@query(f"""
+    WITH {sql.GRAPH}, q AS (SELECT {_ASKED_WORDS} AS asked), c AS (SELECT 'part:' || (doc_id % 500) AS id, flatten(list(list_intersect(asked, {sql.tokens("text")}))) AS held FROM documents, q GROUP BY ALL),
+    scored AS (SELECT e.id, e.ts, len(list_intersect(asked, list_concat({sql.tokens("e.label")}, coalesce(c.held, []))))::DOUBLE / greatest(len(asked), 1) AS lexical,
+        CASE WHEN e.type = 'File' THEN len(list_intersect(list_filter(asked, lambda w: w <> 'erand'), {sql.tokens("regexp_replace(e.label, '[_-]', ' ', 'g')")})) ELSE 0 END AS hits FROM entity e LEFT JOIN c USING (id), q),
+    seeds AS (SELECT id AS origin, lexical FROM scored ORDER BY lexical DESC, hits DESC, ts DESC NULLS LAST, id DESC LIMIT 5),
+    spread AS (SELECT b.id, max(least(1.0, s.lexical * b.confidence * 0.7)) AS spread FROM both_ways b JOIN seeds s USING (origin) GROUP BY b.id)
+    SELECT id, round(lexical, 6) AS lexical, round(coalesce(spread, 0), 6) AS spread, round(greatest(lexical, coalesce(spread, 0)), 6) AS score
+    FROM scored LEFT JOIN spread USING (id) ORDER BY greatest(lexical, coalesce(spread, 0)) DESC, lexical DESC, hits DESC, id DESC LIMIT 10
+""")
+def lexical_documents(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.when(F.col("type") == "File", F.concat(F.lit("src/"), "label", F.lit(".py")))
+    nodes = entities(spark, folder).select("id", F.col("label").alias("text"), "ts", path.alias("path"))
+    chunks = table(spark, folder, "documents").select(F.concat(F.lit("part:"), F.col("doc_id") % 500).alias("origin"), F.col("text").alias("content"))
+    found = lexical.lexical_trace(nodes, relations(spark, folder), _QUESTION, 10, chunks, "acme/erand")
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("lexical", "spread", "score")])
+
+
 @query(f"""
     WITH {_LEXICAL}, degree AS (SELECT origin AS id, count(DISTINCT id) AS degree FROM both_ways WHERE origin <> id GROUP BY origin),
     r AS MATERIALIZED (SELECT id, degree, round(lexical, 3) AS share FROM scored JOIN degree USING (id)),
