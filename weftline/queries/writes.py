@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scoring import edge_price
 from weftline.operators import control, folds
+from weftline.plans.build import build
 from weftline.queries import query, sql
+from weftline.sources import landing
 from weftline.sources.graph import entities, relations, table
+from weftline.sources.payloads import payloads
 from weftline.streaming import debounce, ingest
 
 
@@ -183,3 +186,52 @@ def incremental_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
         return folds.upsert_entities(both)
 
     return ingest.run_to_end(rows, ingest.new_folder(spark, "ingest"), ["id"], fold)
+
+
+_BUILT = """
+    p AS (SELECT *, 'pr:' || doc_id AS id, 'person:u' || (doc_id % 50) AS who FROM documents WHERE doc_id % 3 = 0), i AS (SELECT *, 'ticket:' || doc_id AS id, 'person:u' || (doc_id % 50) AS who FROM documents WHERE doc_id % 3 = 1),
+    c AS (SELECT *, 'commit:c' || doc_id AS id FROM documents WHERE doc_id % 3 = 2), r AS (SELECT doc_id - doc_id % 3 AS pr, 'person:u' || (doc_id % 50) AS who FROM documents WHERE doc_id % 3 < 2),
+    f AS (SELECT doc_id - doc_id % 3 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS pr, 'file:' || source || '/f' || (doc_id % 20) || '.py' AS file FROM documents WHERE doc_id % 3 <> 1),
+    said AS (SELECT id AS src, doc_id + 1 AS n FROM p UNION ALL SELECT id, doc_id + 300000000 FROM p UNION ALL SELECT id, doc_id - 1 FROM c UNION ALL SELECT id, doc_id - 2 FROM c),
+    named AS (SELECT doc_id AS n, id AS dst FROM i UNION ALL SELECT doc_id, id FROM p)
+"""
+
+
+@query(f"""
+    WITH {_BUILT} SELECT DISTINCT * FROM (
+        SELECT who AS src, id AS dst, 'AUTHORED' AS relation, 0.95::DOUBLE AS confidence FROM p UNION ALL SELECT who, id, 'REPORTED', 0.75 FROM i
+        UNION ALL SELECT 'person:u' || (doc_id % 50), id, 'AUTHORED', 0.95 FROM c WHERE doc_id % 2 = 0 UNION ALL SELECT id, 'repo:acme/tools', 'PART_OF', 0.80 FROM (SELECT id FROM p UNION ALL SELECT id FROM i UNION ALL SELECT id FROM c)
+        UNION ALL SELECT r.who, p.id, 'REVIEWED', 0.85 FROM r JOIN p ON p.doc_id = r.pr WHERE r.who <> p.who UNION ALL SELECT p.id, f.file, 'TOUCHES', 0.80 FROM f JOIN p ON p.doc_id = f.pr
+        UNION ALL SELECT src, dst, 'RESOLVES', 0.92 FROM said JOIN named USING (n) WHERE src <> dst)
+""")
+def graph_build(spark: SparkSession, folder: str) -> DataFrame:
+    made = payloads(spark, folder)
+    return build(*[made[k] for k in ("repository", "pull_requests", "issues", "commits", "reviews", "files")])["relates_to"].select("src", "dst", "relation", "confidence")
+
+
+@query(f"""
+    WITH {_BUILT} SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM (
+        SELECT 'Repo' AS type, 'repo:acme/tools' AS id UNION ALL SELECT 'PR', id FROM p UNION ALL SELECT 'Ticket', id FROM i UNION ALL SELECT 'Commit', id FROM c
+        UNION ALL SELECT DISTINCT 'Person', who FROM (SELECT who FROM p UNION ALL SELECT who FROM i UNION ALL SELECT who FROM r UNION ALL SELECT 'person:u' || (doc_id % 50) FROM c WHERE doc_id % 2 = 0)
+        UNION ALL SELECT DISTINCT 'File', file FROM f) GROUP BY type
+""")
+def graph_build_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    made = payloads(spark, folder)
+    nodes = build(*[made[k] for k in ("repository", "pull_requests", "issues", "commits", "reviews", "files")])["entity"]
+    return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query(f"WITH {_BUILT} SELECT src, n FROM said WHERE n NOT IN (SELECT n FROM named)")
+def unresolved_references(spark: SparkSession, folder: str) -> DataFrame:
+    made = payloads(spark, folder)
+    return build(*[made[k] for k in ("repository", "pull_requests", "issues", "commits", "reviews", "files")])["unresolved"].select("src", "n")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'PullRequest' ELSE 'Issue' END AS kind, doc_id % 3 = 0 AS merged FROM documents WHERE doc_id % 3 < 2)
+    SELECT kind, doc_id::INTEGER AS number, 'u' || (doc_id % 50) AS author, merged, make_timestamp((1704067200 + 2 * doc_id) * 1000000) AS updated_at FROM d
+""")
+def delta_items(spark: SparkSession, folder: str) -> DataFrame:
+    made = payloads(spark, folder)
+    changes = made["pull_requests"].withColumns({"merged_at": F.col("updated_at"), "merge_commit_sha": F.lit(None).cast("string")})
+    return landing.delta_items(changes, made["issues"]).select("kind", "number", "author", "merged", "updated_at")
