@@ -47,3 +47,24 @@ def test_best_fit_prefers_the_fullest_bin():
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_best_fit(lengths, capacity):
+    """Longest first, into the fullest bin that has room, found by looking at all."""
+    fill = []
+    for size in sorted(lengths, reverse=True):
+        fits = [k for k, f in enumerate(fill) if f + size <= capacity]
+        if fits:
+            fill[max(fits, key=lambda k: fill[k])] += size
+        else:
+            fill.append(size)
+    return sorted(fill)
+
+
+def test_best_fit_is_the_plain_one():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 200, 400):
+        lengths = np.minimum(rng.geometric(0.05, n), 100)
+        bins, offsets, fill = packing.best_fit(lengths, 100)
+        assert sorted(fill.tolist()) == plain_best_fit(lengths.tolist(), 100)
+        assert all(fill[k] == lengths[bins == k].sum() <= 100 for k in range(len(fill)))

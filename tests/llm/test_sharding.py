@@ -1,6 +1,8 @@
 """Balanced label propagation: balance, slots, and groups kept together."""
 
+import random
 import zlib
+from collections import Counter
 
 from weftline.llm import sharding
 
@@ -50,3 +52,46 @@ def test_every_row_has_a_copy(spark):
         check(got, rows, shards)
         cut = (got.groupby(got.doc_id // size).shard.nunique() > 1).mean()
         assert cut < few, (size, shards, cut)
+
+
+def cut_edges(groups, shard_of):
+    """Pairs of a group's rows that lie in different shards."""
+    total = 0
+    for rows in groups.values():
+        sizes = Counter(shard_of[i] for i in rows)
+        total += (len(rows) ** 2 - sum(n * n for n in sizes.values())) // 2
+    return total
+
+
+def plain_propagation(groups, start, shards):
+    """Row by row: each moves to the shard of most of its neighbours as long as that has room, until none moves."""
+    quota = -(-len(start) // shards)
+    shard_of, load = dict(start), Counter(start.values())
+    moved = True
+    while moved:
+        moved = False
+        for rows in groups.values():
+            for i in rows:
+                near = Counter(shard_of[j] for j in rows if j != i)
+                best = max(near, key=lambda s: (near[s], -s), default=shard_of[i])
+                if near[best] > near[shard_of[i]] and load[best] < quota:
+                    load[shard_of[i]] -= 1
+                    load[best] += 1
+                    shard_of[i], moved = best, True
+    return shard_of
+
+
+def test_cuts_no_more_than_plain_propagation(spark):
+    rng = random.Random(9)
+    rows, groups = [], {}
+    while len(rows) < 900:
+        size = rng.choice([1, 1, 2, 3, 5, 9, 40])
+        own = range(len(rows), len(rows) + size)
+        groups[len(groups)] = list(own)
+        rows += [(i, f"text {len(groups)}", "x", 1) for i in own]
+    got = shard(spark, rows, 6)
+    check(got, rows, 6)
+    found = dict(zip(got.doc_id.astype(int), got.shard, strict=True))
+    start = {i: rng.randrange(6) for i, *_ in rows}
+    plain = cut_edges(groups, plain_propagation(groups, start, 6))
+    assert cut_edges(groups, found) <= plain and plain < cut_edges(groups, start)

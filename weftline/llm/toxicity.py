@@ -277,6 +277,7 @@ def build_index(ids: np.ndarray, labels: np.ndarray, counts: Counts, vocabulary:
 
     unit = index.vectors(counts)
     weightiest = [tuple(counts.terms[a:b][np.argsort(-unit[a:b], kind="stable")[:8]].tolist()) for a, b in zip(counts.offsets[:-1], counts.offsets[1:], strict=True)]
+    unit = unit.astype(np.float32)
     order = np.array(sorted(np.flatnonzero(~bare), key=lambda k: (weightiest[k], ids[k])), np.int64)
     place_of = np.full(len(ids), -1, np.int64)
     place_of[order] = np.arange(len(order))
@@ -289,6 +290,7 @@ def build_index(ids: np.ndarray, labels: np.ndarray, counts: Counts, vocabulary:
     index.start = np.searchsorted(counts.terms[rare], np.arange(len(vocabulary) + 1)).astype(np.int32)
     index.place, index.value = place[rare].astype(np.int32), unit[rare].astype(np.float32)
 
+    del unit, place, rows, rare, owner, toxic, clean
     index.ready()
     votes = []
     for at in range(0, len(order), 128):
