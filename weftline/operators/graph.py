@@ -21,7 +21,7 @@ def at_origins(edges: DataFrame, origins: DataFrame) -> DataFrame:
     Each end is a semi join of its own, which Spark moves below unions and distincts into the scans: with a small set of
     origins no edge is shuffled that is not at one of them.
     """
-    names = origins.select("origin").distinct()
+    names = origins.select("origin")
     ends = lambda a, b: edges.select(F.col(a).alias("origin"), F.col(b).alias("id"), "relation", "confidence").join(names, "origin", "left_semi")
     return ends("src", "dst").unionAll(ends("dst", "src").where("origin <> id")).join(origins, "origin")
 
