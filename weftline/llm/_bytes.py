@@ -103,7 +103,7 @@ def groups(texts: Sequence[bytes | None], size: int = 2 << 20) -> Iterator[tuple
         yield at, len(texts)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], *columns: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], *columns: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batches whose texts (the given columns) have about ``size`` bytes together, so that few become Python objects at a time."""
     for batch in batches:
         lengths = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
