@@ -19,7 +19,8 @@ def small(seed=0):
 
 def test_gradients_are_the_derivatives():
     w, rng = small()
-    given, target = rng.integers(0, 400, (5, 4)), rng.integers(0, 400, (5, 4))
+    given, target = rng.integers(lm.END, 400, (5, 4)), rng.integers(lm.END, 400, (5, 4))
+    target[0, 1] = target[2, 0] = given[3, 1] = lm.UNKNOWN
     fresh, active = rng.random((5, 4)) < 0.3, np.array([4, 4, 3, 2, 1])
 
     def loss(w):
@@ -28,7 +29,7 @@ def test_gradients_are_the_derivatives():
         return -float(lm.window(w, given, target, fresh, active, h, False)[0][real].astype(np.float64).mean())
 
     grads = lm.window(w, given, target, fresh, active, np.full((4, lm.HIDDEN), 0.3), True)[2]
-    for name, at in [("gates", (3, 5)), ("new", (2, 7)), ("input", (1, 30)), ("bias", (20,)), ("class", (4, 2)), ("class", (lm.HIDDEN, 1)), ("word", (0, lm.HIDDEN, int(target[1, 1]) % 64)), ("word", (0, 3, int(target[0, 0]) % 64)), ("embed", (int(given[1, 0]), 2))]:
+    for name, at in [("gates", (3, 5)), ("new", (2, 7)), ("input", (1, 30)), ("bias", (20,)), ("class", (4, 2)), ("class", (lm.HIDDEN, 1)), ("word", (int(target[1, 1]) // 64, lm.HIDDEN, int(target[1, 1]) % 64)), ("word", (int(target[0, 0]) // 64, 3, int(target[0, 0]) % 64)), ("embed", (int(given[1, 0]), 2))]:
         step, probe = 1e-2, {k: v.copy() for k, v in w.items()}
         probe[name][at] += step
         up = loss(probe)
@@ -38,7 +39,7 @@ def test_gradients_are_the_derivatives():
 
 def test_a_document_scores_alike_in_any_company():
     w, rng = small(1)
-    docs = [rng.integers(0, 3000, n) for n in (1, 7, 200, 64, 65, 3)]
+    docs = [rng.integers(lm.END, 3000, n) for n in (1, 7, 200, 64, 65, 3)]
     ids, offsets = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     together = lm.run(w, ids, offsets)
     alone = [lm.run(w, d, np.array([0, len(d)]))[0] for d in docs]
@@ -56,14 +57,16 @@ def plain_score(w, ids):
         z, r = logistic(x[:n] + h @ w["gates"][:, :n]), logistic(x[n : 2 * n] + h @ w["gates"][:, n:])
         h = (1 - z) * h + z * np.tanh(x[2 * n :] + (r * h) @ w["new"])
         state, (cls, word) = np.append(h, 1), divmod(int(token), lm.CLASS)
-        total += np.log(softmax(state @ w["class"])[cls]) + np.log(softmax(state @ w["word"][cls])[word])
+        total += np.log(softmax(state @ w["class"])[cls])
+        if token != lm.UNKNOWN:
+            total += np.log(softmax(state @ w["word"][cls])[word])
         before = int(token)
     return total
 
 
 def test_documents_score_as_by_a_plain_loop(monkeypatch):
     w, rng = small(3)
-    docs = [np.append(np.where(rng.random(n) < 0.7, rng.integers(0, 60, n), rng.integers(0, 3000, n)), lm.END) for n in (0, 3, 700, 150, 64)]
+    docs = [np.append(np.where(rng.random(n) < 0.3, lm.UNKNOWN, np.where(rng.random(n) < 0.7, rng.integers(lm.END, 120, n), rng.integers(lm.END, 3000, n))), lm.END) for n in (0, 3, 700, 150, 64)]
     ids, offsets = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     for together, part in ((128, 512), (0, 7)):
         monkeypatch.setattr(lm, "TOGETHER", together)
@@ -81,8 +84,9 @@ def test_commonest_breaks_a_range(spark):
 
 def test_probabilities_sum_to_one():
     w, _ = small(2)
-    n = lm.VOCABULARY
-    log_p = lm.window(w, np.zeros((1, n), int), np.arange(n)[None, :], np.ones((1, n), bool), np.array([n]), np.zeros((n, lm.HIDDEN), np.float32), False)[0]
+    ids = np.append(lm.UNKNOWN, np.arange(lm.END, lm.VOCABULARY))
+    n = len(ids)
+    log_p = lm.window(w, np.zeros((1, n), int), ids[None, :], np.ones((1, n), bool), np.array([n]), np.zeros((n, lm.HIDDEN), np.float32), False)[0]
     assert math.isclose(np.exp(log_p.astype(float)).sum(), 1, rel_tol=1e-3)
 
 

@@ -48,7 +48,8 @@ TOGETHER = 128
 GROUP_BYTES, GROUP_TOKENS = 2 << 20, 3 << 20
 #: Parts by hash of a range of counts that is too large to be taken whole.
 SHARES = 1024
-END, UNKNOWN = 0, 1
+#: The unknown token is a class of its own, so that it needs no choice within the class; the end and the words follow in the next ones.
+UNKNOWN, END, FIRST = 0, CLASS, CLASS + 1
 #: Workers' results that are averaged together, so that no task gathers all of them.
 AVERAGE = 64
 
@@ -57,12 +58,11 @@ Weights = dict[str, np.ndarray]
 
 
 def begin(counts: np.ndarray, unknown: float, ends: float) -> Weights:
-    """Small random weights, with output biases (the last rows of class and word) that give the unigram shares. counts: of the vocabulary's words, from id 2 on."""
+    """Small random weights, with output biases (the last rows of class and word) that give the unigram shares. counts: of the vocabulary's words, from id FIRST on."""
     rng = np.random.Generator(np.random.PCG64(7))
     share = np.zeros(VOCABULARY)
-    share[END], share[UNKNOWN] = ends, unknown
-    share[2 : 2 + len(counts)] = counts
-    share[: 2 + len(counts)] += 0.5
+    share[END], share[UNKNOWN] = ends + 0.5, unknown + 0.5
+    share[FIRST : FIRST + len(counts)] = counts + 0.5
     by_class = share.reshape(-1, CLASS)
     total = by_class.sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -134,8 +134,10 @@ def _output(w: Weights, state: np.ndarray, ids: np.ndarray, grads: Weights | Non
     log_p, d_state, d_word = np.zeros(len(ids), state.dtype), None, None
     if grads is not None:
         d_state, d_word = np.empty_like(states), np.empty_like(states)
+        d_word[: edges[1]] = 0
     _softmax(w["class"], states, cls, log_p, None if grads is None else (grads["class"], d_state), scale, loud)
     many = np.diff(edges)
+    many[0] = 0  # the unknown token is alone in its class
     for k in np.flatnonzero(many > TOGETHER).tolist():
         at = slice(int(edges[k]), int(edges[k + 1]))
         _softmax(w["word"][k], states[at], word[at], log_p[at], None if grads is None else (grads["word"][k], d_word[at]), scale, loud)
@@ -286,11 +288,16 @@ def run(w: Weights, ids: np.ndarray, offsets: np.ndarray, memory: Weights | None
         some = doc[cut] >= 0
         total += np.bincount(doc[cut][some], log_p[some], len(lengths))
         if grads is not None:
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
             for k, g in grads.items():
                 g *= min(1.0, 1.0 / max(norm, 1e-12))
-                memory[k] += g * g
-                w[k] -= LEARNING_RATE * g / (np.sqrt(memory[k]) + 1e-6)
+                step = g * g
+                memory[k] += step
+                np.sqrt(memory[k], out=step)
+                step += 1e-6
+                np.divide(g, step, out=step)
+                step *= LEARNING_RATE
+                w[k] -= step
     return total
 
 
@@ -300,7 +307,7 @@ def _token_ids(texts: list[bytes | None], vocabulary: _bytes.Places) -> tuple[np
     place = vocabulary.of(h)
     starts = offsets + np.arange(len(offsets))
     ids = np.full(len(h) + len(texts), END, np.int32)
-    ids[np.arange(len(h)) + which] = np.where(place >= 0, place + 2, UNKNOWN)
+    ids[np.arange(len(h)) + which] = np.where(place >= 0, place + FIRST, UNKNOWN)
     return ids, starts, h, which
 
 
@@ -447,7 +454,7 @@ def score_documents(documents: DataFrame, learned_from: Column) -> DataFrame:
     n, distinct = n + ends, distinct + (ends > 0)
     top = commonest(counts).toPandas().sort_values(["n", "word"], ascending=[False, True])
     common, common_n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    own = min(len(common), VOCABULARY - 2)
+    own = min(len(common), VOCABULARY - FIRST)
     unknown = n - ends - int(common_n[:own].sum())
     rare_base = float(np.log10(unknown + (distinct - (ends > 0) - own) + 1))
     base = float(np.log10(n + distinct + 1))
