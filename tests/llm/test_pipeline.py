@@ -74,5 +74,5 @@ def test_registry():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] and "pipeline" in names
-    assert len([n for n in names if n.startswith("op")]) == 10 and set(__spark_entry__.oracle_sql()) <= set(names)
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and set(__spark_entry__.oracle_sql()) <= set(names)

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,12 +101,16 @@ class Transducer:
         return np.where(alive, self.weights[at] if len(self.weights) else -1, -1)[back.ravel()]
 
     def pack(self) -> bytes:
-        return pickle.dumps((b" ".join(self.words), self.labels, self.begin, self.weights), protocol=5)
+        """Compressed, every array in the narrowest type that holds it; of ``begin`` only how many transitions a state has."""
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        arrays = [narrow(x) for x in (*self.labels, *map(np.diff, self.begin), self.weights)]
+        return zstandard.compress(pickle.dumps((b" ".join(self.words), len(self.labels), arrays), protocol=5), 1)
 
     @staticmethod
     def unpack(data: bytes) -> Transducer:
-        words, labels, begin, weights = pickle.loads(data)
-        return Transducer(words.split(b" "), labels, begin, weights)
+        words, depth, arrays = pickle.loads(zstandard.decompress(data))
+        begin = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in arrays[depth:-1]]
+        return Transducer(words.split(b" "), [x.astype(np.int64) for x in arrays[:depth]], begin, arrays[-1].astype(np.int64))
 
 
 class Numbers(dict):
@@ -116,18 +121,28 @@ class Numbers(dict):
         return n
 
 
-def summed(grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal n-grams as one, in order."""
-    if not len(grams):
-        return grams, weights
+def _keys(grams: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """N-grams as few integers that sort alike, and the bits of a word in them."""
     bits = max(int(grams.max()).bit_length(), 1)
-    each = max(1, 62 // bits)
-    keys = []
+    each, keys = max(1, 62 // bits), []
     for d in range(0, grams.shape[1], each):
         key = np.zeros(len(grams), np.int64)
         for column in grams[:, d : d + each].T:
             key = (key << bits) | column
         keys.append(key)
+    return keys, bits
+
+
+def summed(grams: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal n-grams as one, in order. Without weights each counts once."""
+    if not len(grams):
+        return grams, np.zeros(0, np.int64)
+    keys, bits = _keys(grams)
+    if weights is None and len(keys) == 1:
+        found, counts = np.unique(keys[0], return_counts=True)
+        columns = [found >> (bits * d) & ((1 << bits) - 1) for d in range(grams.shape[1] - 1, -1, -1)]
+        return np.stack(columns, axis=1), counts.astype(np.int64)
+    weights = np.ones(len(grams), np.int64) if weights is None else weights
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(grams), bool)
     new[:1] = True
@@ -160,10 +175,20 @@ def _seed(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode())
 
 
+def tokens(texts: list[bytes]) -> list[bytes]:
+    """The words of several texts, a dot for every break."""
+    return b".".join(texts).translate(_LOWER).replace(b".", b" . ").split()
+
+
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - (BITMAP_BITS.bit_length() - 1))
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
 class Shard:
     """A task's n-grams of one language and length, summed as texts come in."""
 
-    def __init__(self, lang: str, size: int, bitmap: np.ndarray | None) -> None:
+    def __init__(self, lang: str, size: int, bitmap: np.ndarray | None = None) -> None:
         self.lang, self.size, self.bitmap, self.seed = lang, size, bitmap, _seed(lang)
         self.clear()
 
@@ -173,35 +198,41 @@ class Shard:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.rows = self.words = 0
 
-    def add(self, texts: list[bytes]) -> None:
-        tokens = b".".join(texts).translate(_LOWER).replace(b".", b" . ").split()  # a dot stands for every break
-        ids = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+    def _known(self) -> np.ndarray:
+        """The hashes of all words seen so far."""
         new = list(self.numbers)[len(self.hashes) :]
         if new:
             self.hashes = np.concatenate([self.hashes, word_hashes(new, self.seed)])
-        self.words += int((ids > 0).sum())
+        return self.hashes
+
+    def add_texts(self, texts: list[bytes]) -> None:
+        """Single words."""
+        said = tokens(texts)
+        counts = np.bincount(np.fromiter(map(self.numbers.__getitem__, said), np.int64, len(said)), minlength=1)
+        counts[0] = 0
+        self.words += int(counts.sum())
+        at = np.flatnonzero(counts)
+        self._hold(at[:, None], counts[at])
+
+    def add_sequence(self, words: list[bytes], ids: np.ndarray) -> None:
+        """N-grams of a sequence of numbers of ``words``, 0 for a break, whose parts are marked."""
         n = self.size
         if len(ids) < n:
             return
-        if n == 1:
-            at = np.flatnonzero(ids > 0)
-        else:
-            breaks = np.concatenate([[0], np.cumsum(ids == 0)])
-            h = self.hashes[ids]
-            parts = chained(np.stack([h[d : len(h) - n + 2 + d] for d in range(n - 1)], axis=1))
-            marked = self._marked(parts)
-            at = np.flatnonzero(marked[:-1] & marked[1:] & (breaks[n:] == breaks[: len(breaks) - n]))
-        grams = np.stack([ids[at + d] for d in range(n)], axis=1)
-        self.held.append(summed(grams, np.ones(len(grams), np.int64)))
-        self.rows += len(self.held[-1][0])
+        ids = np.fromiter((self.numbers[w] for w in words), np.int64, len(words))[ids]
+        breaks = np.concatenate([[0], np.cumsum(ids == 0)])
+        h = self._known()[ids]
+        fine = marked(self.bitmap, chained(np.stack([h[d : len(h) - n + 2 + d] for d in range(n - 1)], axis=1)))
+        at = np.flatnonzero(fine[:-1] & fine[1:] & (breaks[n:] == breaks[: len(breaks) - n]))
+        self._hold(*summed(np.stack([ids[at + d] for d in range(n)], axis=1)))
+
+    def _hold(self, grams: np.ndarray, weights: np.ndarray) -> None:
+        self.held.append((grams, weights))
+        self.rows += len(grams)
         if self.rows > HELD:
             self.held = [summed(np.concatenate([g for g, _ in self.held]), np.concatenate([w for _, w in self.held]))]
             self.rows = len(self.held[0][0])
 
-    def _marked(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes >> np.uint64(64 - (BITMAP_BITS.bit_length() - 1))
-        return (self.bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-
     def full(self) -> bool:
         return len(self.numbers) > HELD or len(self.held) == 1 and self.rows > HELD // 2
 
@@ -209,7 +240,7 @@ class Shard:
         """The transducers of the prefix ranges, from the sorted n-grams."""
         if self.held:
             grams, weights = np.concatenate([g for g, _ in self.held]), np.concatenate([w for _, w in self.held])
-            yield from cut(self.lang, list(self.numbers), self.hashes, grams, weights, ranges, self.words)
+            yield from cut(self.lang, list(self.numbers), self._known(), grams, weights, ranges, self.words)
         self.clear()
 
 
@@ -233,25 +264,56 @@ def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _shards(documents: DataFrame, size: int, ranges: int, bitmap: np.ndarray | None) -> DataFrame:
-    """Rows of transducers, cut by prefix range, from all texts."""
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """The texts of some rows at a time, by language."""
+    for batch in pieces(batches, 1, size=2 << 20):
+        langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+        for lang in sorted(set(langs.tolist())):
+            yield lang, [texts[i] for i in np.flatnonzero(langs == lang)]
+
+
+def sequences(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The texts once more, as numbers of those words whose bits are set: what the longer lengths are counted on. Other words are breaks."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, some in _by_language(batches):
+            said, numbers = tokens(some), Numbers({b".": 0})
+            ids = np.fromiter(map(numbers.__getitem__, said), np.int64, len(said))
+            fine = marked(bitmap, word_hashes(list(numbers), _seed(lang)))
+            fine[0] = False
+            to = np.cumsum(fine) * fine
+            ids = to[ids]
+            ids = ids[(ids > 0) | np.concatenate([[True], ids[:-1] > 0])]  # one break for several
+            words = [b".", *(w for w, f in zip(numbers, fine.tolist(), strict=True) if f)]
+            body = zstandard.compress(ids.astype(np.min_scalar_type(len(words))).tobytes(), 1)
+            yield _record([(lang, b" ".join(words), body, len(words))], ["lang", "words", "body", "n"], [pa.string(), pa.binary(), pa.binary(), pa.int64()])
+
+    return texts.mapInArrow(number, "lang string, words binary, body binary, n long")
+
+
+def _shards(given: DataFrame, size: int, ranges: int, bitmap: np.ndarray | None) -> DataFrame:
+    """Rows of transducers, cut by prefix range: of single words from the texts, of more from their sequences."""
     names, kinds = ["lang", "size", "part", "body", "words"], [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
 
+    def grown(held: dict[str, Shard], batches: Iterator[pa.RecordBatch]) -> Iterator[None]:
+        if size == 1:
+            for lang, some in _by_language(batches):
+                yield held.setdefault(lang, Shard(lang, 1)).add_texts(some)
+            return
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            ids = np.frombuffer(zstandard.decompress(row["body"]), np.min_scalar_type(row["n"]))
+            yield held.setdefault(row["lang"], Shard(row["lang"], size, bitmap)).add_sequence(row["words"].split(b" "), ids)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shard] = {}
-        for batch in pieces(batches, 1, size=2 << 20):
-            langs = np.array(batch.column(0).to_pylist(), object)
-            texts = batch.column(1).to_pylist()
-            for lang in sorted(set(langs.tolist())):
-                shard = held.setdefault(lang, Shard(lang, size, bitmap))
-                shard.add([texts[i] for i in np.flatnonzero(langs == lang)])
+        for _ in grown(held, batches):
             if sum(s.rows for s in held.values()) > 2 * HELD or any(s.full() for s in held.values()):
                 for shard in held.values():
                     yield _record(list(shard.sent(ranges)), names, kinds)
         for shard in held.values():
             yield _record(list(shard.sent(ranges)), names, kinds)
 
-    return documents.mapInArrow(count, _SENT)
+    return given.mapInArrow(count, _SENT)
 
 
 def united(bodies: Iterator[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -345,8 +407,32 @@ def _answered(asked: DataFrame, automata: DataFrame) -> DataFrame:
         asked, automata = asked.join(hot, keys, "left").withColumn("copy", share), automata.join(hot, keys, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
     else:
         asked, automata = asked.withColumn("copy", F.lit(0)), automata.withColumn("copy", F.lit(0))
-    left = asked.select(*keys, "copy", "phrase", "a", "cut", "side", "piece").groupBy(*keys, "copy")
-    return left.cogroup(automata.select(*keys, "copy", "body").groupBy(*keys, "copy")).applyInArrow(answer, kinds)
+    # Both come from one table: its columns are named anew, so that Spark can tell the sides apart.
+    sides = [x.select(*[F.col(c).alias(c) for c in (*keys, "copy", *more)]) for x, more in ((asked, ("phrase", "a", "cut", "side", "piece")), (automata, ("body",)))]
+    return sides[0].groupBy(*keys, "copy").cogroup(sides[1].groupBy(*keys, "copy")).applyInArrow(answer, kinds)
+
+
+def ranked(counts: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
+    """The result from the counts of parts (lang, phrase, a, cut, side, count) and each language's words (lang, n)."""
+    if sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)
+    cuts = range(1, LONGEST)
+    pick = lambda side, k: F.max(F.when((F.col("side") == side) & (F.col("cut") == k), F.col("count"))).alias(f"{side}{k}")
+    phrases = counts.groupBy("lang", "phrase", "a").agg(*[pick(s, k) for s in "lr" for k in cuts])
+    phrases = materialize(phrases, "collocation-phrases").join(sizes, "lang")
+    score = lambda k: F.expr(f"cast(cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l{k} as decimal(38,0)) * cast(r{k} as decimal(38,0))) as bigint)")
+    best = F.least(*[F.when(F.col(f"l{k}").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in cuts], F.lit(None).cast("struct<score:bigint,k:int,l:bigint,r:bigint>"))
+    phrases = phrases.withColumns({"best": best, "parts": F.split("phrase", " ")}).withColumn("words", F.size("parts"))
+    # The phrases a word shorter that are as frequent: the longer one's first words (the last cut's l), and its last (the first cut's r).
+    last = F.coalesce(*[F.when(F.col("words") == k + 1, F.col(f"l{k}")) for k in cuts])
+    inside = F.array_compact(F.array(F.when(F.col("a") >= last, F.array_join(F.slice("parts", F.lit(1), F.col("words") - 1), " ")), F.when(F.col("a") >= F.col("r1"), F.array_join(F.slice("parts", F.lit(2), F.col("words") - 1), " "))))
+    covered = phrases.where("words > 2").select("lang", F.explode(inside).alias("phrase")).distinct()
+    left = phrases.join(covered, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
+    # Two steps, so that no task sees a whole language.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    some = left.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*order))).where(F.col("rank") <= top)
+    best_of = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    return best_of.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations(documents: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
@@ -356,40 +442,22 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, top: int = TO
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(4, -(-size // (6 * RANGE_WORDS)))
-    bitmap, found, words = None, [], None
+    bitmap, found, sizes = None, [], None
     for n in range(1, LONGEST + 1):
         sent = _shards(texts, n, ranges, bitmap)
         if n == 1:
             sent = materialize(sent, "collocation-words")
-            words = materialize(sent.groupBy("lang").agg(F.sum("words").alias("n")), "collocation-sizes")
+            sizes = materialize(sent.groupBy("lang").agg(F.sum("words").alias("n")), "collocation-sizes")
         found.append(materialize(_unions(sent, n, ranges, min_count), f"collocation-{n}"))
         if n < LONGEST:
             bitmap = _bitmap(found[-1])
             if not bitmap.any():
                 break
+        if n == 1:
+            texts = materialize(sequences(texts, bitmap), "collocation-sequences")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     automata = every.where(F.col("body").isNotNull() & (F.col("size") < LONGEST)).select("lang", "size", "part", "body")
     asked = every.where(F.col("piece").isNotNull()).select("lang", "size", "part", "phrase", "a", "cut", "side", "piece")
-    counts = materialize(_answered(asked, automata), "collocation-parts")
-
-    if words.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
-        words = F.broadcast(words)
-    cuts = range(1, LONGEST)
-    pick = lambda side, k: F.max(F.when((F.col("side") == side) & (F.col("cut") == k), F.col("count"))).alias(f"{side}{k}")
-    phrases = counts.groupBy("lang", "phrase", "a").agg(*[pick(s, k) for s in "lr" for k in cuts])
-    phrases = materialize(phrases, "collocation-phrases").join(words, "lang")
-    score = lambda k: F.expr(f"cast(cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0)) div (cast(l{k} as decimal(38,0)) * cast(r{k} as decimal(38,0))) as bigint)")
-    best = F.least(*[F.when(F.col(f"l{k}").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in cuts], F.lit(None).cast("struct<score:bigint,k:int,l:bigint,r:bigint>"))
-    phrases = phrases.withColumns({"best": best, "parts": F.split("phrase", " ")}).withColumn("words", F.size("parts"))
-    # The phrases a word shorter that are as frequent: the longer one's first words (the last cut's l), and its last (the first cut's r).
-    last = F.coalesce(*[F.when(F.col("words") == k + 1, F.col(f"l{k}")) for k in cuts])
-    inside = F.array_compact(F.array(F.when(F.col("a") >= last, F.array_join(F.slice("parts", F.lit(1), F.col("words") - 1), " ")), F.when(F.col("a") >= F.col("r1"), F.array_join(F.slice("parts", F.lit(2), F.col("words") - 1), " "))))
-    covered = phrases.where("words > 2").select("lang", F.explode(inside).alias("phrase")).distinct()
-    left = phrases.join(covered, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
-    # Two steps, so that no task sees a whole language.
-    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    some = left.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked(materialize(_answered(asked, automata), "collocation-parts"), sizes, top)
