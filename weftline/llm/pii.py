@@ -53,21 +53,29 @@ _NO_SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of a pattern's matches, in code points: what lies between matches says where they are."""
+    """Array of (start, end, value) of a pattern's matches, in code points: what lies between matches says where they are.
+
+    Lengths are summed in blocks, and blocks' sums between them, since an array that grows by one element is copied.
+    """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, value: F.struct(F.length(gap).cast("long").alias("gap"), value.alias("value")))
+    long = lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
 
     def put(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0)).cast("long")
-        new, full = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")), F.size(s["block"]) >= BLOCK
-        return F.struct(
-            end.alias("at"), F.when(full, F.array(new)).otherwise(F.array_append(s["block"], new)).alias("block"),
-            F.when(full, F.array_append(s["done"], s["block"])).otherwise(s["done"]).alias("done"),
-        )
+        start, end = s["at"] + x["gap"], s["at"] + long(x)
+        return F.struct(end.alias("at"), F.array_append(s["found"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("found"))
+
+    def inside(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_NO_SPANS).alias("found")), put, lambda s: s["found"])
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_NO_SPANS).alias("block"), F.array().cast(f"array<{_NO_SPANS}>").alias("done"))
-    every = F.aggregate(pairs, zero, put, lambda s: F.flatten(F.array_append(s["done"], s["block"])))
-    return F.filter(every, lambda x: x["value"].isNotNull())  # what follows the last match
+    def whole(every: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(every) / BLOCK)), lambda b: F.slice(every, b.cast("int") * BLOCK + 1, F.lit(BLOCK)))
+        sums = F.transform(blocks, lambda block: F.aggregate(block, none, lambda t, x: t + long(x)))
+        before = F.aggregate(sums, F.array(none), lambda t, x: F.array_append(t, F.element_at(t, -1) + x))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), inside))
+
+    every = F.transform(F.array(pairs), whole)[0]  # one evaluation of the pattern, whose result is named in ``whole``
+    return F.filter(every, lambda x: x["value"].isNotNull())  # the last gap has no match
 
 
 def _luhn(digits: Column) -> Column:
@@ -188,7 +196,12 @@ def _cuts(spans: list[tuple[str, Column]]) -> Column:
     ordered = F.transform(F.array_sort(every), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["by"].alias("by")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("kept"))
     put = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.array_append(s["kept"], x).alias("kept"))).otherwise(s)
-    return F.aggregate(ordered, zero, put, lambda s: s["kept"])
+
+    def apart(every: Column) -> Column:
+        clash = F.exists(F.zip_with(every, F.slice(every, 2, 1 << 30), lambda x, y: F.coalesce(y["start"] < x["end"], F.lit(False))), lambda x: x)
+        return F.when(clash, F.aggregate(every, zero, put, lambda s: s["kept"])).otherwise(every)
+
+    return F.transform(F.array(ordered), apart)[0]
 
 
 def _replaced(text: Column, cuts: Column) -> Column:
