@@ -129,3 +129,33 @@ def test_no_training_rows_and_no_rows(spark):
     got = lm.score_documents(frame, F.lit(False)).first()
     assert (got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (3, 0, 0, 0.0)
     assert lm.score_documents(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_a_very_long_document_needs_memory_in_proportion():
+    import tracemalloc
+
+    n = 2_000_000
+    ids = np.random.default_rng(1).integers(lm.FIRST, lm.VOCABULARY, n).astype(np.int32)
+    lane, first, ends = lm.lanes(np.array([n]))
+    assert len(ends) == 1 and ends[0] == n
+    many = np.array([0, n // 2, n // 2 + 3, n])  # the windows of a long lane and of a short one
+    w = lm.begin(np.ones(lm.VOCABULARY - lm.FIRST), 1.0, 1.0)
+    tracemalloc.start()
+    stop = {"steps": 0}
+    real = lm.window
+
+    def some(*given):
+        stop["steps"] += 1
+        if stop["steps"] > 300:
+            raise StopIteration
+        return real(*given)
+
+    lm.window = some
+    try:
+        lm.run(w, ids, many)
+    except StopIteration:
+        pass
+    finally:
+        lm.window = real
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()

@@ -4,11 +4,13 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftline.llm import mixing, neardup, packing
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, mix_slot int"
+CLASHING = ["__score", "__SCORE_", "__neardup_text", "__mix_position", "__mix_note", "__rank_n", "score", "label", "part", "file", "at"]
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +61,28 @@ def test_stages(spark, folder):
     assert (packed.groupby("sequence_id").length.sum() <= packing.CAPACITY).all()
 
 
+def test_stages_keep_columns_with_helpers_names(spark, folder):
+    docs = neardup.materialize(spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))) for c in CLASHING}), "test-clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = neardup.materialize(stage(spark, docs, folder), f"test-clash-{name}")
+        assert after.schema.simpleString() == docs.schema.simpleString()
+        assert after.where(" or ".join(f"`{c}` <> concat('{c}', coalesce(doc_id, -1))" for c in CLASHING)).count() == 0 and after.count() > 300
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()
+
+
+def test_packing_follows_the_mixture(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_ITEMS", 20)
+    rows = [(i, " ".join(["word"] * 300), "en", f"s{i % 3}", 1, 1) for i in range(200)]
+    spark.createDataFrame(rows, COLUMNS).repartitionByRange(5, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = corpus_pipeline.packing_stage(spark, docs, "").toPandas()
+    whole = got.groupby("sequence_id").doc_id.agg(["min", "max"])
+    assert len(got) == 200 and ((whole["max"] - whole["min"]) < 60).all()
+    first = whole[whole.index < 1 << 56].sort_index()
+    assert list(first["max"]) == sorted(first["max"], reverse=True) or (first["max"].diff().dropna() <= 20).all()
+
+
 def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 300

@@ -58,6 +58,14 @@ def materialize(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """A name that none of the frame's columns has (Spark compares names without case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(*columns: str | Column) -> Column:
     """Hash bucket of a row, 0 to RANK_BUCKETS - 1."""
     return F.pmod(F.xxhash64(*columns), F.lit(RANK_BUCKETS)).cast("int")

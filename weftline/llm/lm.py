@@ -79,6 +79,7 @@ def begin(counts: np.ndarray, unknown: float, ends: float) -> Weights:
 def lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents of given token counts (1 at least) in lanes: each one's lane and first step, and the lanes' lengths, longest lane first."""
     many = int(np.clip(lengths.sum() // max(lengths.max(initial=1), 1), MIN_LANES, LANES))
+    many = max(1, min(many, len(lengths)))
     order = np.argsort(-lengths, kind="stable")
     end = np.zeros(many, np.int64)
     lane, first = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -267,26 +268,25 @@ def run(w: Weights, ids: np.ndarray, offsets: np.ndarray, memory: Weights | None
     steps = int(ends[0]) if len(lengths) else 0
     total = np.zeros(len(lengths))
     size = WINDOW if memory is None else BPTT
-    place = np.repeat(first * len(ends) + lane, lengths) + (np.arange(len(ids)) - np.repeat(offsets[:-1], lengths)) * len(ends)
-    target, given, fresh, doc = np.zeros(steps * len(ends), np.int32), np.zeros(steps * len(ends), np.int32), np.zeros(steps * len(ends), bool), np.full(steps * len(ends), -1, np.int32)
-    target[place], doc[place] = ids, np.repeat(np.arange(len(lengths)), lengths)
-    before = np.empty(len(ids), np.int32)
-    before[1:] = ids[:-1]
-    before[offsets[:-1]] = END
-    given[place] = before
-    fresh[place[offsets[:-1]]] = True
-    shape = (steps, len(ends))
-    target, given, fresh, doc = target.reshape(shape), given.reshape(shape), fresh.reshape(shape), doc.reshape(shape)
-    active = np.searchsorted(-ends, -np.arange(steps), side="left")  # lanes that are longer than the step
+    # Lanes are runs of documents: their tokens lie one lane after another, and each window takes its own from there.
+    order = np.lexsort((first, lane))
+    moved = np.repeat(offsets[:-1][order], lengths[order]) + (np.arange(len(ids)) - np.repeat(np.cumsum(lengths[order]) - lengths[order], lengths[order]))
+    said, owner = ids[moved].astype(np.int32), np.repeat(order.astype(np.int32), lengths[order])
+    del moved
+    begin_at = np.cumsum(ends) - ends
     h = np.zeros((len(ends), HIDDEN), np.float32)
     for at in range(0, steps, size):
         to = min(at + size, steps)
-        n = int(active[at])
-        cut = (slice(at, to), slice(0, n))
-        log_p, after, grads = window(w, given[cut], target[cut], fresh[cut], active[at:to], h[:n].copy(), memory is not None)
+        active = np.searchsorted(-ends, -np.arange(at, to), side="left")  # lanes that are longer than the step
+        n = int(active[0])
+        some = np.arange(at, to)[:, None] < ends[:n]
+        place = np.where(some, begin_at[:n] + np.arange(at, to)[:, None], 0)
+        target, doc, last = np.where(some, said[place], 0), owner[place], np.maximum(place - 1, 0)
+        fresh = some & ((place == begin_at[:n]) | (owner[last] != doc))
+        given = np.where(fresh, END, np.where(some, said[last], 0))
+        log_p, after, grads = window(w, given, target, fresh, active, h[:n].copy(), memory is not None)
         h[:n] = after
-        some = doc[cut] >= 0
-        total += np.bincount(doc[cut][some], log_p[some], len(lengths))
+        total += np.bincount(doc[some], log_p[some], len(lengths))
         if grads is not None:
             norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
             for k, g in grads.items():

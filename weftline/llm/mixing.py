@@ -93,11 +93,13 @@ def _slot(block: Column, weight: Column, spans: str = "spans") -> Column:
 def mix_sources(documents: DataFrame, weights: Mapping[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT, block_rows: int = BLOCK_ROWS, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """The given rows and three columns: the block within its source, its slot, and the row's position (gapless from 0).
 
-    Given columns of these names, or that begin with ``__mix_`` or ``__rank_``, are replaced.
+    Given columns of these names are replaced.
     """
     block, slot, position = names
-    kept = [c for c in documents.columns if c not in names and not c.startswith(("__mix_", "__rank_"))]
-    rows = documents.select(*kept).withColumns({"__mix_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "__mix_bucket": spread("doc_id")})
+    kept = [c for c in documents.columns if c not in names]
+    # The given columns travel in a struct, so that none of them can have a helper's name.
+    given = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__mix_given")
+    rows = documents.select(given, "doc_id", "source").withColumns({"__mix_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "__mix_bucket": spread("doc_id")})
     rows = number_rows(rows, ["__mix_source"], "__mix_bucket", [F.xxhash64("doc_id"), F.col("doc_id")], "__mix_row")
     name = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
     sizes = documents.groupBy(F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -114,4 +116,4 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, int] = WEIGHTS, defa
     rows = rows.withColumn(slot, _slot(F.col(block), F.col("__mix_weight"), "__mix_spans"))
     missing = F.aggregate("__mix_shorts", F.lit(0).cast("long"), lambda t, x: F.when(x["at"] < F.col(slot), t + x["by"]).otherwise(t))
     rows = rows.withColumn(position, F.col(slot) * block_rows + F.col("__mix_row") % block_rows - missing)
-    return rows.select(*kept, *names)
+    return rows.select("__mix_given.*", *names)

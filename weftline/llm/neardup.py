@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes
-from weftline.llm._spark import map_texts, materialize, small_batches
+from weftline.llm._spark import fresh, map_texts, materialize, small_batches
 
 WORDS = 5
 #: Similarity in percent from which two sets are linked, unless the caller asks for another.
@@ -372,7 +372,7 @@ def without_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFram
     best = named.groupBy("comp").agg(F.min(F.struct("doc_id", "t")).alias("best"))
     named = named.join(best, "comp").select("f1", "f2", "n", F.col("best.doc_id").alias("best_id"), F.col("best.t").alias("best_t"))
     told = materialize(_told(rows.where("n > 0 and doc_id is not null"), named).where("best_id is not null").select("doc_id", "t", ((F.col("doc_id") == F.col("best_id")) & (F.col("t") == F.col("best_t"))).alias("best")), "neardup-told")
-    key = ["doc_id", "__neardup_text"]
+    key = ["doc_id", fresh(documents, "__neardup_text")]
     dropped = told.where("not best").select("doc_id", F.col("t").alias(key[1])).distinct()
     if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)

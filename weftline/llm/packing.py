@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import _bytes
@@ -117,24 +117,25 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
+def token_pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, position: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and the document's position (0, if none is given) of every document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path or default_path())
         for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
-            names, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for name, ids in zip(names, own.ids(texts), strict=True):
+            names, texts, places = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()], batch.column(2).to_pylist()
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for name, ids, place in zip(names, own.ids(texts), places, strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    for column, value in zip(rows, (name, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    for column, value in zip(rows, (name, k, start, len(part), zlib.crc32(part.tobytes()), place), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "position"])
 
-    return map_texts(documents, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    place = F.lit(0).cast("long") if position is None else position.cast("long")
+    return map_texts(documents, cut, "doc_id long, piece int, start long, length long, ids_crc32 long, position long", place)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,12 +175,17 @@ def _level(items: DataFrame, level: int, capacity: int, columns: str) -> DataFra
     return items.groupBy("part").applyInPandas(pack, f"{columns}, part int, bin long, offset long, fill long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (a written table) with sequence_id and offset."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, in_order: bool = False) -> DataFrame:
+    """The pieces (a written table) with sequence_id and offset.
+
+    ``in_order``: partitions are runs of positions, and neighbours are merged, so that the sequences of a run (their ids
+    rise with the runs) hold documents of one stretch of the given order. Otherwise pieces are dealt by hash.
+    """
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    n = pieces.count()
+    n, last = pieces.agg(F.count(F.lit(1)), F.max("position") if in_order else F.lit(0)).first()
     parts = max(1, -(-n // PARTITION_ITEMS))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    part = F.floor(F.col("position") * parts / ((last or 0) + 1)) if in_order else F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
+    dealt = pieces.withColumn("part", part.cast("int")).drop("position")
     placed = materialize(_level(dealt, 0, capacity, columns), "pack-0")
     under = placed.where(F.col("fill") < capacity - SLACK).groupBy("bin", "part").agg(F.first("fill").alias("length"))
     moves = None
@@ -190,9 +196,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         open_bins = under.where(F.col("length") + F.lit(least or 0) <= capacity)
         if not many or parts == 1 or many == before:
             break
-        before = many
+        before, wide = many, parts
         parts = max(1, parts // FAN_IN, -(-many // PARTITION_ITEMS))
-        items = open_bins.select(F.col("bin").alias("item"), "length", F.pmod(F.col("part"), F.lit(parts)).cast("int").alias("part"))
+        near = F.floor(F.col("part") * parts / wide) if in_order else F.pmod(F.col("part"), F.lit(parts))
+        items = open_bins.select(F.col("bin").alias("item"), "length", near.cast("int").alias("part"))
         merged = materialize(_level(items, level, capacity, "item long, length long"), f"pack-{level}")
         step = merged.select(F.col("item"), F.col("bin").alias("to"), F.col("offset").alias("shift"))
         if moves is None:
@@ -209,6 +216,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces with their sequence and place in it."""
-    return pack_pieces(materialize(token_pieces(documents, path, capacity), "pack-pieces"), capacity)
+def pack_documents(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, position: Column | None = None) -> DataFrame:
+    """Every document's pieces with their sequence and place in it. ``position``: the documents' order, gapless from 0, that sequences are to follow."""
+    return pack_pieces(materialize(token_pieces(documents, path, capacity, position), "pack-pieces"), capacity, position is not None)

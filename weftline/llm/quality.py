@@ -208,8 +208,8 @@ def classify(documents: DataFrame, trees: Trees) -> DataFrame:
     return map_texts(documents, score, "doc_id long, score double")
 
 
-def classify_texts(documents: DataFrame, trees: Trees) -> DataFrame:
-    """The input's own columns and ``__score``."""
+def classify_texts(documents: DataFrame, trees: Trees, name: str = "__score") -> DataFrame:
+    """The input's own columns and the score, in a column of a name that they don't have."""
     small_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(trees)
 
@@ -219,4 +219,4 @@ def classify_texts(documents: DataFrame, trees: Trees) -> DataFrame:
         parts = [model.value.probability(text_statistics(values[a:b])) for a, b in _bytes.groups(values, GROUP_BYTES)]
         return pd.Series(np.concatenate([np.empty(0), *parts]))
 
-    return documents.withColumn("__score", score(F.col("text").cast("binary")))
+    return documents.withColumn(name, score(F.col("text").cast("binary")))

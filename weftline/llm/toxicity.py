@@ -323,8 +323,8 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column) -> Index | No
     return build_index(ids, kinds, numbered, vocabulary, frequencies, total, (sizes.get(0, 0), sizes.get(1, 0)))
 
 
-def score_texts(documents: DataFrame, index: Index | None) -> DataFrame:
-    """The input's own columns and ``__score``."""
+def score_texts(documents: DataFrame, index: Index | None, name: str = "__score") -> DataFrame:
+    """The input's own columns and the score, in a column of a name that they don't have."""
     small_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(index)
 
@@ -337,7 +337,7 @@ def score_texts(documents: DataFrame, index: Index | None) -> DataFrame:
             parts = [index.scores(index.nearest(known_counts(values[a:b], table))) if index else np.full(b - a, 0.5) for a, b in _bytes.groups(values, GROUP_BYTES)]
             yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
-    return documents.withColumn("__score", score(F.col("text").cast("binary")))
+    return documents.withColumn(name, score(F.col("text").cast("binary")))
 
 
 def toxic_scores(documents: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
