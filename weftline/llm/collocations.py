@@ -38,8 +38,8 @@ TOP = 2000
 BITMAP_BITS = 1 << 24
 #: Words of input for each prefix range of a language.
 RANGE_WORDS = 2_000_000
-#: A task's sums are sent on when it holds so many distinct n-grams or words.
-HELD = 1_000_000
+#: A task's sums are sent on when it holds so many distinct n-grams (60 MB of pairs), or words.
+HELD, HELD_WORDS = 2_500_000, 1_000_000
 #: Requests that meet a transducer in one task; a range with more gets copies of it, each for a share of them.
 REQUESTS = 250_000
 #: Up to so many languages, their word counts (a row each) go to every executor.
@@ -101,16 +101,26 @@ class Transducer:
         return np.where(alive, self.weights[at] if len(self.weights) else -1, -1)[back.ravel()]
 
     def pack(self) -> bytes:
-        """Compressed, every array in the narrowest type that holds it; of ``begin`` only how many transitions a state has."""
+        """Compressed, every array in the narrowest type that holds it: how many transitions a state has, and the steps between their labels."""
         narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-        arrays = [narrow(x) for x in (*self.labels, *map(np.diff, self.begin), self.weights)]
+        steps = []
+        for labels, begin in zip(self.labels, self.begin, strict=True):
+            step = np.diff(labels.astype(np.int64), prepend=0)
+            first = begin[:-1][np.diff(begin) > 0]
+            step[first] = labels[first]
+            steps.append(step)
+        arrays = [narrow(x) for x in (*steps, *map(np.diff, self.begin), self.weights)]
         return zstandard.compress(pickle.dumps((b" ".join(self.words), len(self.labels), arrays), protocol=5), 1)
 
     @staticmethod
     def unpack(data: bytes) -> Transducer:
         words, depth, arrays = pickle.loads(zstandard.decompress(data))
         begin = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in arrays[depth:-1]]
-        return Transducer(words.split(b" "), [x.astype(np.int64) for x in arrays[:depth]], begin, arrays[-1].astype(np.int64))
+        labels = []
+        for steps, edges in zip(arrays[:depth], begin, strict=True):
+            upto = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+            labels.append(upto[1:] - np.repeat(upto[edges[:-1]], np.diff(edges)))
+        return Transducer(words.split(b" "), labels, begin, arrays[-1].astype(np.int64))
 
 
 class Numbers(dict):
@@ -234,7 +244,7 @@ class Shard:
             self.rows = len(self.held[0][0])
 
     def full(self) -> bool:
-        return len(self.numbers) > HELD or len(self.held) == 1 and self.rows > HELD // 2
+        return len(self.numbers) > HELD_WORDS or len(self.held) == 1 and self.rows > HELD * 3 // 4
 
     def sent(self, ranges: int) -> Iterator[tuple]:
         """The transducers of the prefix ranges, from the sorted n-grams."""
@@ -307,7 +317,7 @@ def _shards(given: DataFrame, size: int, ranges: int, bitmap: np.ndarray | None)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shard] = {}
         for _ in grown(held, batches):
-            if sum(s.rows for s in held.values()) > 2 * HELD or any(s.full() for s in held.values()):
+            if sum(s.rows for s in held.values()) > HELD * 3 // 2 or any(s.full() for s in held.values()):
                 for shard in held.values():
                     yield _record(list(shard.sent(ranges)), names, kinds)
         for shard in held.values():
@@ -331,13 +341,14 @@ def united(bodies: Iterator[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray
     return list(numbers), grams, weights
 
 
-_FOUND = "lang string, size int, part int, body binary, phrase string, a long, cut int, side string, piece string, bit long"
+_FOUND = "lang string, size int, part int, body binary, phrase string, a long, cut int, side string, piece string, bit long, words long"
 
 
 def _unions(sent: DataFrame, size: int, ranges: int, least: int) -> DataFrame:
-    """For each language and prefix range: its transducer (a row with ``body``), what its candidates ask (``piece``) and the bitmap's bits (``bit``)."""
+    """For each language and prefix range: its transducer (a row with ``body``), what its candidates ask (``piece``), the bitmap's bits (``bit``) and the words counted (``words``)."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    none = (None,) * (len(names) - 3)
 
     def finish(lang: str, part: int, bodies: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         words, grams, weights = united(bodies)
@@ -346,31 +357,34 @@ def _unions(sent: DataFrame, size: int, ranges: int, least: int) -> DataFrame:
             return
         hashes = word_hashes(words, _seed(lang))
         bits = np.unique(chained(hashes[grams]) >> np.uint64(64 - (BITMAP_BITS.bit_length() - 1))).tolist() if size < LONGEST else []
-        rows: list[tuple] = [(lang, size, None, None, None, None, None, None, None, b) for b in bits]
-        rows += [(lang, size, part, body, None, None, None, None, None, None) for _, _, part, body, _ in cut(lang, words, hashes, grams, weights, ranges, 0)]
+        rows: list[tuple] = [(lang, size, *none[:-1], b, None) for b in bits]
+        rows += [(lang, size, part, body, *none[2:], None) for _, _, part, body, _ in cut(lang, words, hashes, grams, weights, ranges, 0)]
         texts = [[words[i].decode() for i in g] for g in grams.tolist()] if size > 1 else []
         for k in range(1, size):
             for side, piece, at in (("l", slice(0, k), k), ("r", slice(k, size), size - k)):
                 where = _range_of(hashes[grams[:, piece]], ranges).tolist()
-                rows += [(lang, at, p, None, " ".join(t), w, k, side, " ".join(t[piece]), None) for t, w, p in zip(texts, weights.tolist(), where, strict=True)]
+                rows += [(lang, at, p, None, " ".join(t), w, k, side, " ".join(t[piece]), None, None) for t, w, p in zip(texts, weights.tolist(), where, strict=True)]
         for a in range(0, len(rows), 50_000):
             yield _record(rows[a : a + 50_000], names, kinds)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((r["lang"], r["part"], r["body"]) for batch in batches for r in batch.to_pylist())
+        rows = ((r["lang"], r["part"], r["body"], r["words"]) for batch in batches for r in batch.to_pylist())
         row = next(rows, None)
         while row is not None:
-            key, ahead = row[:2], [row]
+            key, ahead, words = row[:2], [row], [0]
 
-            def bodies(key: tuple = key, ahead: list = ahead) -> Iterator[bytes]:
+            def bodies(key: tuple = key, ahead: list = ahead, words: list = words) -> Iterator[bytes]:
                 while ahead[0] is not None and ahead[0][:2] == key:
+                    words[0] += ahead[0][3]
                     yield ahead[0][2]
                     ahead[0] = next(rows, None)
 
             yield from finish(*key, bodies())
+            if words[0]:
+                yield _record([(key[0], size, *none, words[0])], names, kinds)
             row = ahead[0]
 
-    dealt = sent.select("lang", "part", "body").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    dealt = sent.select("lang", "part", "body", "words").repartition("lang", "part").sortWithinPartitions("lang", "part")
     return dealt.mapInArrow(unite, _FOUND)
 
 
@@ -444,11 +458,9 @@ def collocations(documents: DataFrame, min_count: int = MIN_COUNT, top: int = TO
     ranges = max(4, -(-size // (6 * RANGE_WORDS)))
     bitmap, found, sizes = None, [], None
     for n in range(1, LONGEST + 1):
-        sent = _shards(texts, n, ranges, bitmap)
+        found.append(materialize(_unions(_shards(texts, n, ranges, bitmap), n, ranges, min_count), f"collocation-{n}"))
         if n == 1:
-            sent = materialize(sent, "collocation-words")
-            sizes = materialize(sent.groupBy("lang").agg(F.sum("words").alias("n")), "collocation-sizes")
-        found.append(materialize(_unions(sent, n, ranges, min_count), f"collocation-{n}"))
+            sizes = materialize(found[0].where("words is not null").groupBy("lang").agg(F.sum("words").alias("n")), "collocation-sizes")
         if n < LONGEST:
             bitmap = _bitmap(found[-1])
             if not bitmap.any():
