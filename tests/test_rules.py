@@ -52,6 +52,10 @@ def test_rule_entities_and_references(spark):
     assert got == [("0", 0, 6, "PR #12", "PR"), ("0", 11, 21, "issue #412", "Ticket"), ("0", 32, 47, "payment_service", "Service"), ("3", 2, 6, "#410", "Ticket"), ("3", 12, 15, "pr9", "PR"), ("4", 0, 7, "a_b-svc", "Service")]
     model = spark.createDataFrame([("0", "PR", "Org", 0, 2), ("0", "and", "Org", 7, 10)], "doc string, text string, type string, start int, end int")
     assert [(r.text, r.score) for r in entities.extract_entities(rows, model).where("type = 'Org'").collect()] == [("and", 0.5)]
+    rows = spark.createDataFrame([("d", "pay_service here, and then pay_service; see (pay_service).")], "doc string, content string")
+    model = spark.createDataFrame([("d", "(pay_service).", "Service", 43, 57), ("d", " here,", "Place", 11, 17), ("d", "then", "Place", 22, 26), ("d", "here", "Place", 12, 16), ("d", "(a)", "Place", 0, 3)], "doc string, text string, type string, start int, end int")
+    got = sorted(((r.text, r.type, r.start, r.end, r.score) for r in entities.extract_entities(rows, model).collect()), key=repr)
+    assert got == [("here", "Place", 12, 16, 0.5), ("pay_service", "Service", 0, 11, 1.0), ("then", "Place", 22, 26, 0.5)]
     said = [
         '<a href="https://github.com/acme/tools/issues/5">#5</a> <a href="https://x.y/1">#6</a> github.com/Acme/Tools/pull/9 other/repo#3 acme/tools#4 #8 a#1',
         '<a href="https://github.com/acme/tools/pull/5">#480</a> #480', None, "",
@@ -96,13 +100,6 @@ def test_streamed_state_survives_a_restart(spark, tmp_path):
     assert len({*newest.values()}) == 2 and sum(n == max(newest.values()) for n in newest.values()) <= 2
 
 
-def test_resolution_is_in_order():
-    rows = [(0, "a", [1.0, 0.0], 0), (1, "b", [0.93, 0.3675], 1), (2, "c", [0.86, 0.5103], 2), (3, "a", [1.0, 0.0], 3)]
-    assert [r[2:] for r in entities.resolve_group(rows, None, 0.92, 0.85)] == [("a", "created"), ("a", "merged"), ("c", "created"), ("a", "repeat")]
-    assert entities.resolve_group(rows, lambda a, b: True, 0.92, 0.85)[2][2:] == ("a", "judged")
-    assert entities.resolve_group(rows, lambda a, b: 1 / 0, 0.92, 0.85)[2][3] == "created"
-
-
 def test_windows(spark):
     rows = spark.createDataFrame([("a", "w " * 5), ("b", " "), ("c", "x" * 30), ("d", " " * 30)], "base string, content string")
     got = documents.word_windows(rows, 3, 1).collect()

@@ -14,6 +14,7 @@ from weftline.operators.documents import context_lines
 from weftline.options import DEFAULTS, Options
 from weftline.plans import lexical, retrieval
 from weftline.sources import landing
+from weftline.sources.edges import EdgeStore
 
 
 class Engine:
@@ -21,6 +22,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], options: Options = DEFAULTS) -> None:
         self.spark, self.tables, self.options = spark, dict(tables), options
+        self._store: EdgeStore | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, version: int | None = None, options: Options = DEFAULTS) -> Engine:
@@ -39,6 +41,13 @@ class Engine:
         tables = {"entity": entity, "relates_to": folds.upsert_relations(stacked("relates_to"), entity), "document": document, "mentions": folds.add_mentions(mentions, document, entity)}
         return Engine(self.spark, old | tables, self.options)
 
+    @property
+    def edges(self) -> EdgeStore:
+        """The edges by hashed origin, written before the first walk."""
+        if self._store is None:
+            self._store = EdgeStore.write(self.tables["relates_to"], self.tables["entity"])
+        return self._store
+
     def _intent(self, question: str, named: bool = False) -> str:
         """One row on the driver: a question is a value, not data."""
         return self.spark.range(1).select(classified(F.lit(question), F.lit(named)).alias("i")).first()["i"]["intent"]
@@ -57,7 +66,7 @@ class Engine:
         empty = self.spark.createDataFrame([], "id string, similarity double")
         near = retrieval.vector_search(self.tables["vectors"], vector, self.options.total_k) if vector is not None and question.strip() else empty
         seeds = retrieval.select_seeds(self.named(question), near, self.options)
-        hits = retrieval.best_path_walk(self.tables["relates_to"], entity, seeds, self.options)
+        hits = retrieval.best_path_walk(self.edges, entity, seeds, self.options)
         return retrieval.fuse(near, hits, entity, self._intent(question), F.to_timestamp(F.lit(now)), self.options)
 
     def named(self, question: str) -> DataFrame:
@@ -71,10 +80,10 @@ class Engine:
         start = (self.named(question) if seeds is None else seeds).select("id").distinct()
         if vector is not None and not start.limit(1).count():
             start = retrieval.vector_search(self.tables["vectors"], vector, self.options.seed_top, self.options.find_at).select("id")
-        return retrieval.router_walk(self.tables["relates_to"], self.tables["entity"], start, self.options).orderBy(F.desc("score"), "id")
+        return retrieval.router_walk(self.edges, self.tables["entity"], start, self.options).orderBy(F.desc("score"), "id")
 
     def impact(self, name: str, hops: int = 3) -> DataFrame:
-        return retrieval.impact(self.tables["relates_to"], self.tables["entity"], self.find_entity(name, limit=1).select("id"), hops, self.options)
+        return retrieval.impact(self.edges, self.tables["entity"], self.find_entity(name, limit=1).select("id"), hops, self.options)
 
     def impact_report(self, name: str, hops: int = 3) -> DataFrame:
         """The same with the documents that support each."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.edges import EdgeStore
 from weftline.sources.shared import sent_if_small, written
 
 
@@ -49,8 +50,10 @@ def frontier(edges: DataFrame, entity: DataFrame, origins: DataFrame, k: int, ma
     return capped(at_origins(edges, origins).join(entity.select("id", "ts"), "id"), k, max_degree)
 
 
-def small_frontier(edges: DataFrame, entity: DataFrame, origins: DataFrame, k: int, max_degree: int | None) -> DataFrame:
-    """The same for a few origins, as a walk has them: they, and then their neighbours' ids, are sent to the scans as long as they are few."""
+def small_frontier(edges: DataFrame | EdgeStore, entity: DataFrame, origins: DataFrame, k: int, max_degree: int | None) -> DataFrame:
+    """The same for a few origins (a written table, if the edges are stored), as a walk has them: they, and then their neighbours' ids, are sent to the scans as long as they are few."""
+    if isinstance(edges, EdgeStore):  # it has the times, and reads the origins' buckets alone
+        return written(capped(edges.at(origins), k, max_degree), "frontier")
     origins = sent_if_small(written(origins, "origins"))
     near = written(at_origins(edges, origins), "near")
     times = entity.select("id", "ts").join(sent_if_small(near.select("id").distinct(), near.count()), "id", "left_semi")

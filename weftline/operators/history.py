@@ -34,9 +34,13 @@ def recent(queries: DataFrame, keep: int = 6) -> DataFrame:
 
 
 def derived_confidence(hops: DataFrame, key: str) -> DataFrame:
-    """hops: key, confidence. The mean of a run's hops, with half their range, within 0.02 and 0.2, as the band."""
+    """hops: key, confidence. The mean of a run's hops, with half their range, within 0.02 and 0.2, as the band.
+
+    Summed as decimals of 9 places, so that the mean does not depend on the order of rows.
+    """
     band = F.greatest(F.lit(0.02), F.least(F.lit(0.2), (F.max("confidence") - F.min("confidence")) / 2))
-    return hops.groupBy(key).agg(F.avg("confidence").alias("confidence"), band.alias("band"))
+    total = F.sum(F.col("confidence").cast("decimal(18,9)"))
+    return hops.groupBy(key).agg((total.cast("double") / F.count("confidence")).alias("confidence"), band.alias("band"))
 
 
 def connections(edges: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,13 @@ from weftline.functions import scoring, vectors
 from weftline.operators.graph import documents_for, small_frontier
 from weftline.operators.records import hit_payload
 from weftline.options import DEFAULTS, Options
-from weftline.sources.shared import written
+from weftline.plans.index import VectorIndex, best, units
+from weftline.sources.edges import EdgeStore
+from weftline.sources.shared import new_folder, written
+
+
+#: Questions (2 MB for 64 numbers) that are sent to every task.
+BROADCAST_QUESTIONS = 4096
 
 
 def literal_vector(values: Sequence[float]) -> Column:
@@ -29,44 +34,35 @@ def vector_search(table: DataFrame, query: Sequence[float], k: int, floor: float
     return scored.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def vector_search_all(table: DataFrame, queries: DataFrame, k: int, floor: float | None = None, at_once: int = 4096) -> DataFrame:
+def vector_search_all(table: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """query, id, similarity and rank: of each query (id, embedding) the k rows most like it but itself, ties by id.
 
-    Queries are taken ``at_once`` (1 MB for 64 numbers), sent to every task, and compared with whole batches of rows; a
-    task sends out k rows for each query at most, so that the shuffle does not grow with the pairs.
+    Up to BROADCAST_QUESTIONS are sent to one scan, whose tasks send out k rows for each at most. More are answered from an
+    index of the rows: questions and rows meet as blocks, a cell at a time, where bounds allow it.
     """
-    spark = table.sparkSession
-    named = written(queries.where("id is not null and embedding is not null").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), "questions")
-    named = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-max(named.count(), 1) // at_once))))
+    spark, kind = table.sparkSession, dict(table.dtypes)["id"]
+    asked = queries.where("id is not null and embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    few = asked.limit(BROADCAST_QUESTIONS + 1).toPandas()
+    if len(few) > BROADCAST_QUESTIONS:
+        return VectorIndex.build(table, new_folder(spark, "search")).search(queries, k, floor)
+    sent = spark.sparkContext.broadcast((few["id"].to_numpy(object), units(few["embedding"]) if len(few) else None))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named, matrix = sent.value
+        least = np.full(len(named), -np.inf if floor is None else floor)
+        held = pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": object, "id": object, "similarity": "float64"})
+        for frame in frames if matrix is not None else ():
+            for at in range(0, len(frame), 4096):
+                part = frame.iloc[at : at + 4096]
+                q, found, near = best(named, matrix, part["id"].to_numpy(object), units(part["embedding"]), k, least)
+                new = pd.DataFrame({"query": named[q], "id": found, "similarity": near})
+                held = pd.concat([held, new]).sort_values(["similarity", "id"], ascending=[False, True]).groupby("query").head(k)
+        yield held
+
     rows = table.where("id is not null and embedding is not null").select("id", "embedding")
-    found = []
-    for block in sorted(r["block"] for r in named.select("block").distinct().collect()):
-        own = named.where(F.col("block") == block).toPandas()
-        sent = spark.sparkContext.broadcast((own["id"].tolist(), _units(own["embedding"])))
-
-        def compare(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            asked, matrix = sent.value
-            best = pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": "object", "id": "object", "similarity": "float64"})
-            for frame in frames:
-                for at in range(0, len(frame), 1024):
-                    part = frame.iloc[at : at + 1024]
-                    near = np.round(matrix @ _units(part["embedding"]).T, 9)  # equal vectors tie
-                    keep = near >= (np.partition(near, -k - 1, axis=1)[:, -k - 1][:, None] if near.shape[1] > k + 1 else -np.inf)
-                    q, r = np.nonzero(keep if floor is None else keep & (near >= floor))
-                    new = pd.DataFrame({"query": np.array(asked, object)[q], "id": part["id"].to_numpy()[r], "similarity": near[q, r]})
-                    best = pd.concat([best, new[new["query"] != new["id"]]]).sort_values(["similarity", "id"], ascending=[False, True]).groupby("query").head(k)
-            yield best
-
-        found.append(rows.mapInPandas(compare, f"query {dict(rows.dtypes)['id']}, id {dict(rows.dtypes)['id']}, similarity double"))
-    if not found:
-        return rows.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _units(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-    return matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), 1e-300)
+    found = rows.mapInPandas(compare, f"query {kind}, id {kind}, similarity double")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def select_seeds(exact: DataFrame, vector_hits: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -78,11 +74,12 @@ def select_seeds(exact: DataFrame, vector_hits: DataFrame, options: Options = DE
     return tiers.withColumn("first", first).where("tier = first").select("id").distinct()
 
 
-def best_path_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def best_path_walk(edges: DataFrame | EdgeStore, entity: DataFrame, seeds: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """id, score and hops of what the seeds reach: the greatest product of confidences over paths of at most ``max_hops`` edges.
 
     Level by level: only nodes whose score a level improved expand in the next. Seeds are left out.
     """
+    seeds = written(seeds.select("id"), "seeds")
     best = seeds.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("hops"))
     front = best.select(F.col("id").alias("origin"), F.col("score").alias("carried"))
     for hop in range(1, options.max_hops + 1):
@@ -97,7 +94,7 @@ def best_path_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, option
     return hits.orderBy(F.desc("score"), "id").limit(options.k_graph)
 
 
-def router_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def router_walk(edges: DataFrame | EdgeStore, entity: DataFrame, seeds: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """id and score: the best sighting of each node, where a node expands once and carries its first sighting. Seeds stay, at 1.
 
     First is by the origin's place in its frontier, then by the neighbour's rank at the origin.
@@ -114,7 +111,7 @@ def router_walk(edges: DataFrame, entity: DataFrame, seeds: DataFrame, options:
     return score
 
 
-def impact(edges: DataFrame, entity: DataFrame, seed: DataFrame, hops: int = 3, options: Options = DEFAULTS) -> DataFrame:
+def impact(edges: DataFrame | EdgeStore, entity: DataFrame, seed: DataFrame, hops: int = 3, options: Options = DEFAULTS) -> DataFrame:
     """id, hops and confidence of what a seed may affect: the first ring is wide, later ones narrow, each node expands once; its strongest sighting counts."""
     front = seed.select(F.col("id").alias("origin"), F.lit(1.0).alias("carried"))
     visited, sightings = seed.select("id"), None

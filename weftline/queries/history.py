@@ -40,7 +40,7 @@ def span_pairing(spark: SparkSession, folder: str) -> DataFrame:
     return history.paired_spans(events.where("event_type IN ('view', 'click') AND event_id % 2 = 0"), events.where("event_type IN ('view', 'click', 'error') AND event_id % 2 = 1"))
 
 
-@query(f"WITH {sql.EDGES} SELECT origin, round(avg(confidence), 6) AS confidence, round(greatest(0.02, least(0.2, (max(confidence) - min(confidence)) / 2)), 6) AS band FROM both_ways GROUP BY origin")
+@query(f"WITH {sql.EDGES} SELECT origin, round(sum(confidence::DECIMAL(18,9))::DOUBLE / count(*), 6) AS confidence, round(greatest(0.02, least(0.2, (max(confidence) - min(confidence)) / 2)), 6) AS band FROM both_ways GROUP BY origin")
 def derived_confidence(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.operators.graph import both_ways
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scoring, vectors
-from weftline.operators import entities as named
-from weftline.operators import graph
+from weftline.operators import graph, resolution
 from weftline.plans import lexical, retrieval
+from weftline.plans.index import VectorIndex
 from weftline.queries import query, sql
+from weftline.sources.edges import stored
 from weftline.sources.graph import entities, relations, table
 from weftline.sources.graph import vectors as embeddings
+from weftline.sources.shared import new_folder, written
 
 NOW = "TIMESTAMP '1998-12-31 00:00:00'"
 _SEEDS = "(SELECT 'supp:' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 3)"
@@ -42,7 +44,7 @@ _HYBRID = f"""
 @query(_HYBRID)
 def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     entity = entities(spark, folder)
-    hits = retrieval.best_path_walk(relations(spark, folder), entity, _seeds(spark, folder))
+    hits = retrieval.best_path_walk(stored(spark, folder), entity, _seeds(spark, folder))
     near = retrieval.vector_search(embeddings(spark, folder), _query_vector(spark, folder), 10)
     fused = retrieval.fuse(near, hits, entity, "relational", F.expr(NOW))
     return fused.select("id", "label", "type", *[F.round(c, 6).alias(c) for c in ("vector_score", "graph_score", "recency", "score")])
@@ -75,24 +77,24 @@ def impact_report(spark: SparkSession, folder: str) -> DataFrame:
     entity = entities(spark, folder)
     asked = table(spark, folder, "supplier").where("s_suppkey = 2").select(F.lower("s_name").alias("asked"))
     seed = entity.withColumn("asked", F.lower("label")).join(asked, "asked", "left_semi").agg(F.min("id").alias("id"))
-    report = retrieval.impact_report(retrieval.impact(relations(spark, folder), entity, seed), *_documents(spark, folder))
+    report = retrieval.impact_report(retrieval.impact(stored(spark, folder), entity, written(seed, "seed")), *_documents(spark, folder))
     return report.select("id", "hops", "confidence", F.array_join(F.transform("citations", lambda d: F.concat(d["doc"], F.lit("@"), d["path"])), ",").alias("citations"))
 
 
 @query(f"WITH {sql.GRAPH}, seeds AS {_SEEDS}, {sql.walk('seeds')} SELECT id, round(score, 6) AS score, hops FROM hits")
 def best_path_walk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = retrieval.best_path_walk(relations(spark, folder), entities(spark, folder), _seeds(spark, folder))
+    hits = retrieval.best_path_walk(stored(spark, folder), entities(spark, folder), _seeds(spark, folder))
     return hits.select("id", F.round("score", 6).alias("score"), "hops")
 
 
 @query(f"WITH {sql.GRAPH}, seeds AS {_SEEDS}, {sql.router('seeds')} SELECT id, round(score, 6) AS score FROM routed")
 def router_walk(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.router_walk(relations(spark, folder), entities(spark, folder), _seeds(spark, folder)).select("id", F.round("score", 6).alias("score"))
+    return retrieval.router_walk(stored(spark, folder), entities(spark, folder), _seeds(spark, folder)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {sql.GRAPH}, seed AS (SELECT min(id) AS id FROM {_SEEDS}), {sql.impact('seed')} SELECT id, hops, confidence FROM impacted")
 def impact_walk(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.impact(relations(spark, folder), entities(spark, folder), _seeds(spark, folder).agg(F.min("id").alias("id")))
+    return retrieval.impact(stored(spark, folder), entities(spark, folder), _seeds(spark, folder).agg(F.min("id").alias("id")))
 
 
 _ALL_NEAR = f"""
@@ -113,6 +115,17 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(f"""
+    SELECT query, id, round(similarity, 6) AS similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id))::INTEGER AS rank FROM ({_ALL_NEAR})) WHERE rank <= 7
+""")
+def vector_index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven nearest, from a stored index that is opened again after it was built."""
+    place = new_folder(spark, "index")
+    VectorIndex.build(embeddings(spark, folder), place)
+    near = VectorIndex.open(spark, place).search(_questions(spark, folder), 7)
+    return near.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query(f"""
     SELECT query, id, round(similarity, 6) AS similarity, rank
     FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id))::INTEGER AS rank FROM ({_ALL_NEAR}) WHERE similarity >= 0.2) WHERE rank <= 10
@@ -232,10 +245,36 @@ def suggestions(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.suggestions(hubs, 8)
 
 
-@query()
+_RESOLVED = """
+    WITH RECURSIVE m AS MATERIALIZED (
+        SELECT label % 3 AS block, 'kind ' || (label % 2) AS type, vec_id AS seq, 'name ' || (vec_id % 97) AS text, row_number() OVER (PARTITION BY label % 3, label % 2 ORDER BY vec_id) AS n,
+            list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v
+        FROM embeddings
+    ), f AS (
+        SELECT block, type, n, seq, text, text AS canonical, 'created' AS path, NULL::DOUBLE AS similarity, [text] AS labels, [v] AS known FROM m WHERE n = 1
+        UNION ALL
+        SELECT block, type, n, seq, text, CASE WHEN near THEN labels[pos] ELSE text END, CASE WHEN NOT near THEN 'created' WHEN labels[pos] = text THEN 'repeat' ELSE 'merged' END, best,
+            CASE WHEN near THEN labels ELSE list_append(labels, text) END, CASE WHEN near THEN known ELSE list_append(known, v) END
+        FROM (
+            SELECT *, best >= 0.35 AS near, list_position(scores, best) AS pos FROM (
+                SELECT *, list_max(scores) AS best FROM (
+                    SELECT m.*, f.labels, f.known, list_transform(f.known, lambda c: round(list_inner_product(c, m.v), 9)) AS scores FROM f JOIN m ON m.block = f.block AND m.type = f.type AND m.n = f.n + 1
+                )
+            )
+        )
+    )
+    SELECT block::INTEGER AS block, type, seq, text, canonical, path, round(similarity, 6) AS similarity FROM f
+"""
+
+
+@query(_RESOLVED)
 def resolve_entities(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "embeddings").select((F.col("label") % 10).cast("int").alias("block"), F.concat(F.lit("kind "), "label").alias("type"), F.col("vec_id").alias("seq"), F.concat(F.lit("name "), "vec_id").alias("text"), F.col("embedding").alias("vector"))
-    return named.resolve(rows, merge_at=0.5, ask_at=0.4)
+    """Every vector as the mention of a name, resolved in order within six kinds."""
+    rows = table(spark, folder, "embeddings").select(
+        (F.col("label") % 3).alias("block"), F.concat(F.lit("kind "), F.col("label") % 2).alias("type"), F.col("vec_id").alias("seq"), F.concat(F.lit("name "), F.col("vec_id") % 97).alias("text"),
+        F.col("embedding").alias("vector"),
+    )
+    return resolution.resolve(rows, merge_at=0.35, ask_at=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""
