@@ -12,7 +12,7 @@ from weftline.queries import query, sql
 from weftline.sources import landing
 from weftline.sources.graph import entities, relations, table
 from weftline.sources.payloads import payloads
-from weftline.streaming import debounce, ingest
+from weftline.streaming import claims, debounce, ingest
 
 
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +166,15 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parque[t]")
 
 
+@query(f"""
+    WITH b AS ({_BURSTS}) SELECT * FROM b WHERE deadline <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)
+""")
+def claimed_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    """The bursts whose deadline the watermark has passed, each given out once by its timer."""
+    rows = _stream(spark, folder, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return claims.claim_to_end(rows, ingest.new_folder(spark, "claims"), 6 * _HOUR, 24 * _HOUR)
+
+
 @query(_BURSTS)
 def debounce_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = _stream(spark, folder, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
