@@ -100,3 +100,19 @@ def test_malformed_rows_fail(spark, tmp_path):
     (tmp_path / "review" / "x.json").write_text('{"pr_number": "seven"')
     with pytest.raises(Exception, match="(?i)malformed"):
         landing.payload(spark, str(tmp_path), "review").select(F.col("id")).collect()
+
+
+def test_statistics_are_taken_while_writing(spark, tables, tmp_path_factory):
+    from weftline.plans import persist
+
+    folder = tmp_path_factory.mktemp("again")
+    for kind, rows in PAYLOADS.items():
+        (folder / kind).mkdir()
+        (folder / kind / "rows.json").write_text("\n".join(map(json.dumps, rows)))
+    read = lambda kind: landing.payload(spark, str(folder), kind)
+    given = {"repository": read("repository"), "pull_requests": read("pull_request"), "issues": landing.issues(spark, str(folder)), "commits": read("commit"), "reviews": read("review"), "files": read("changed_file")}
+    counted = persist.build_and_write(given, f"{folder}/graph")
+    assert counted["reviews"] == {"rows": 3, "orphans": 1, "self_reviews": 1} and counted["changed_files"] == {"rows": 2, "orphans": 1}
+    assert counted["commits"] == {"rows": 1, "without_author": 1} and counted["pull_requests"]["rows"] == 2
+    for name in persist.TABLES:
+        assert counted[f"written_{name}"]["rows"] == spark.read.parquet(f"{folder}/graph/{name}").count() == tables[name].count()

@@ -173,16 +173,6 @@ def graph_statistics(entity: DataFrame, edges: DataFrame, documents: DataFrame)
     return count(entity, "nodes", F.col("type")).unionAll(count(edges, "edges", F.col("relation"))).unionAll(documents.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents"), F.lit("all"), "n"))
 
 
-def resolution_statistics(resolved: DataFrame, asked: Column, compared: Column) -> DataFrame:
-    """Of resolved mentions (path): seen, created, merges of each kind, and the share of comparisons that asked a model."""
-    kind = lambda path: F.count_if(F.col("path") == path)
-    return resolved.agg(
-        F.count(F.lit(1)).alias("seen"), kind("created").alias("created"), kind("merged").alias("fast_merges"), kind("judged").alias("model_merges"), kind("repeat").alias("repeats"),
-        (kind("merged") + kind("judged")).alias("variant_merges"), F.count_if(F.col("path") != "created").alias("merges"),
-        F.coalesce(F.try_divide(F.sum(asked), F.sum(compared)), F.lit(0.0)).alias("band_fraction"),
-    )
-
-
 def inventory(items: DataFrame, key: str) -> DataFrame:
     """Of each run its kinds and their counts, as one text in order of kind."""
     counts = items.groupBy(key, "kind").agg(F.count(F.lit(1)).alias("n"))

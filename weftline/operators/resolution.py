@@ -66,7 +66,7 @@ def fold(rows: pd.DataFrame, judge: Judge | None, merge_at: float, ask_at: float
 
 
 def resolve(mentions: DataFrame, judge: Judge | None = None, merge_at: float = DEFAULTS.merge_at, ask_at: float = DEFAULTS.ask_at, fold_rows: int = FOLD_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """mentions: block, type, seq, text, vector. Gives block, type, seq, text, canonical, path (created, repeat, merged, judged) and similarity."""
+    """mentions: block, type, seq, text, vector. Gives block, type, seq, text, canonical, path (created, repeat, merged, judged), similarity, and whether a judge was to be asked."""
     if ask_at > merge_at:
         raise ValueError("ask_at cannot exceed merge_at")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
@@ -133,7 +133,8 @@ def resolve(mentions: DataFrame, judge: Judge | None = None, merge_at: float = D
     result = todo.select(*KEYS, "seq", "text", F.col("label").alias("canonical"), same.alias("path"), F.col("best").alias("similarity"))
     for more in found:
         result = result.unionByName(more)
-    return result
+    asked = F.col("path").isin("created", "judged") & F.coalesce(F.col("similarity") >= ask_at, F.lit(False))
+    return result.withColumn("asked", asked)
 
 
 def null_safe_on(a: DataFrame, b: DataFrame, *more: str):  # noqa: ANN201

@@ -189,19 +189,6 @@ def graph_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return records.graph_statistics(entities(spark, folder), relations(spark, folder), table(spark, folder, "documents"))
 
 
-_PATH = "CASE event_type WHEN 'view' THEN 'created' WHEN 'click' THEN 'merged' WHEN 'purchase' THEN 'judged' ELSE 'repeat' END"
-
-
-@query(f"""
-    SELECT count(*) AS seen, count(*) FILTER (path = 'created') AS created, count(*) FILTER (path = 'merged') AS fast_merges, count(*) FILTER (path = 'judged') AS model_merges, count(*) FILTER (path = 'repeat') AS repeats,
-        count(*) FILTER (path IN ('merged', 'judged')) AS variant_merges, count(*) FILTER (path <> 'created') AS merges, count(*) FILTER (path = 'judged')::DOUBLE / sum(user_id % 5 + 1) AS band_fraction
-    FROM (SELECT user_id, {_PATH} AS path FROM events)
-""")
-def resolution_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").select("user_id", F.expr(_PATH).alias("path"))
-    return records.resolution_statistics(rows, (F.col("path") == "judged").cast("long"), F.col("user_id") % 5 + 1)
-
-
 @query("SELECT conv_id, string_agg(role || ': ' || n, ', ' ORDER BY role) AS inventory FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def kind_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return records.inventory(table(spark, folder, "conversations").select("conv_id", F.col("role").alias("kind")), "conv_id")

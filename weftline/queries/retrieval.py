@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scoring, vectors
 from weftline.operators import graph, resolution
-from weftline.plans import lexical, retrieval
+from weftline.plans import lexical, persist, retrieval
 from weftline.plans.index import VectorIndex
 from weftline.queries import query, sql
 from weftline.sources.edges import stored
@@ -263,7 +263,7 @@ _RESOLVED = """
             )
         )
     )
-    SELECT block::INTEGER AS block, type, seq, text, canonical, path, round(similarity, 6) AS similarity FROM f
+    SELECT block::INTEGER AS block, type, seq, text, canonical, path, round(similarity, 6) AS similarity, path = 'created' AND coalesce(similarity >= 0.3, false) AS asked FROM f
 """
 
 
@@ -277,6 +277,18 @@ def resolve_entities(spark: SparkSession, folder: str) -> DataFrame:
     return resolution.resolve(rows, merge_at=0.35, ask_at=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""
+    WITH r AS ({_RESOLVED}), n AS (SELECT count(*) AS seen, count(*) FILTER (path = 'created') AS created, count(*) FILTER (path = 'merged') AS fast_merges, count(*) FILTER (path = 'repeat') AS repeats,
+        count(*) FILTER (path <> 'created') AS merges, count(*) FILTER (path = 'created' AND similarity >= 0.3) AS asked FROM r)
+    SELECT name, value::DOUBLE AS value FROM (UNPIVOT (SELECT seen::DOUBLE AS seen, created::DOUBLE AS created, fast_merges::DOUBLE AS fast_merges, 0::DOUBLE AS model_merges, repeats::DOUBLE AS repeats, fast_merges::DOUBLE AS variant_merges,
+        merges::DOUBLE AS merges, asked::DOUBLE AS asked, round(asked / seen, 4)::DOUBLE AS band_fraction FROM n) ON COLUMNS(*))
+""")
+def resolution_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """What was counted while the resolution's own result was written."""
+    counted = persist.write_resolved(resolve_entities(spark, folder), new_folder(spark, "resolved"))
+    return spark.createDataFrame([(k, float(v)) for k, v in counted.items()], "name string, value double")
+
+
 @query(f"""
     WITH s AS ({_NEAR.replace('SELECT ', 'SELECT e.label AS label, ', 1)}) SELECT label, max(similarity) >= 0.8 AS found, round(max(similarity), 6) AS best FROM s GROUP BY label
 """)

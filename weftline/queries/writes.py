@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scoring import edge_price
 from weftline.operators import control, folds
+from weftline.plans import persist
 from weftline.plans.build import build
 from weftline.queries import query, sql
 from weftline.sources import landing
@@ -230,6 +231,28 @@ def graph_build_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
 
+@query(f"""
+    WITH {_BUILT}, w AS (SELECT who FROM p UNION SELECT who FROM i UNION SELECT who FROM r UNION SELECT 'person:u' || (doc_id % 50) FROM c WHERE doc_id % 2 = 0),
+    e AS (
+        SELECT who AS src, id AS dst, 'AUTHORED' AS relation FROM p UNION ALL SELECT who, id, 'REPORTED' FROM i UNION ALL SELECT 'person:u' || (doc_id % 50), id, 'AUTHORED' FROM c WHERE doc_id % 2 = 0
+        UNION ALL SELECT id, 'repo:acme/tools', 'PART_OF' FROM (SELECT id FROM p UNION ALL SELECT id FROM i UNION ALL SELECT id FROM c) UNION ALL SELECT r.who, p.id, 'REVIEWED' FROM r JOIN p ON p.doc_id = r.pr WHERE r.who <> p.who
+        UNION ALL SELECT p.id, f.file, 'TOUCHES' FROM f JOIN p ON p.doc_id = f.pr UNION ALL SELECT src, dst, 'RESOLVES' FROM said JOIN named USING (n) WHERE src <> dst
+    )
+    SELECT 'pull_requests' AS stage, 'rows' AS counter, count(*) AS n FROM p UNION ALL SELECT 'issues', 'rows', count(*) FROM i UNION ALL SELECT 'commits', 'rows', count(*) FROM c
+    UNION ALL SELECT 'commits', 'without_author', count(*) FROM c WHERE doc_id % 2 <> 0 UNION ALL SELECT 'reviews', 'rows', count(*) FROM r
+    UNION ALL SELECT 'reviews', 'orphans', count(*) FROM r WHERE pr NOT IN (SELECT doc_id FROM p) UNION ALL SELECT 'reviews', 'self_reviews', count(*) FROM r JOIN p ON p.doc_id = r.pr WHERE r.who = p.who
+    UNION ALL SELECT 'changed_files', 'rows', count(*) FROM f UNION ALL SELECT 'changed_files', 'orphans', count(*) FROM f WHERE pr NOT IN (SELECT doc_id FROM p)
+    UNION ALL SELECT 'edge_rows', 'rows', count(*) FROM e UNION ALL SELECT 'edges', 'rows', count(*) FROM (SELECT DISTINCT * FROM e)
+    UNION ALL SELECT 'written_unresolved', 'rows', count(*) FROM said WHERE n NOT IN (SELECT n FROM named)
+    UNION ALL SELECT 'nodes', 'rows', 1 + (SELECT count(DISTINCT id) FROM (SELECT id FROM p UNION ALL SELECT id FROM i UNION ALL SELECT id FROM c)) + (SELECT count(*) FROM w) + (SELECT count(DISTINCT file) FROM f)
+""")
+def build_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """What was counted while a graph was built and written."""
+    counted = persist.build_and_write(payloads(spark, folder), ingest.new_folder(spark, "graph"))
+    shown = ("pull_requests", "issues", "commits", "reviews", "changed_files", "edge_rows", "edges", "nodes", "written_unresolved")
+    return spark.createDataFrame([(stage, k, int(v)) for stage in shown for k, v in counted[stage].items()], "stage string, counter string, n long")
+
+
 @query(f"WITH {_BUILT} SELECT src, n FROM said WHERE n NOT IN (SELECT n FROM named)")
 def unresolved_references(spark: SparkSession, folder: str) -> DataFrame:
     made = payloads(spark, folder)
