@@ -116,3 +116,20 @@ def test_statistics_are_taken_while_writing(spark, tables, tmp_path_factory):
     assert counted["commits"] == {"rows": 1, "without_author": 1} and counted["pull_requests"]["rows"] == 2
     for name in persist.TABLES:
         assert counted[f"written_{name}"]["rows"] == spark.read.parquet(f"{folder}/graph/{name}").count() == tables[name].count()
+
+
+def test_local_trace_and_linked_seeds(spark, tables):
+    engine = Engine(spark, tables)
+    rows = engine.local_trace("why does the login always fail?", "acme/tools").orderBy("place").collect()
+    first = rows[0]
+    assert first.id in ("ticket:12", "pr:7") and first.answer.startswith("In the acme/tools recent history") and f"({first.uri})" in first.answer
+    assert first.content.startswith(first.label) and 0 < first.overlap <= 1 and [r.place for r in rows] == list(range(1, len(rows) + 1))
+    none = engine.local_trace("zebra quagga", "acme/tools").collect()
+    assert {r.answer[:13] for r in none} == {"No text match"}
+    named = spark.createDataFrame([("pay_service", "pay_service", "Service", None)], "id string, label string, type string, ts timestamp")
+    vectors = spark.createDataFrame([("pay_service", [1.0, 0.0]), ("person:bob", [0.0, 1.0])], "id string, embedding array<double>")
+    engine = Engine(spark, tables | {"entity": tables["entity"].unionByName(named), "vectors": vectors})
+    assert [r.id for r in engine.linked("who owns PAY_SERVICE?").collect()] == ["pay_service"]
+    asked = spark.createDataFrame([("bill_service", [0.05, 1.0]), ("other_service", [1.0, -1.0])], "name string, embedding array<double>")
+    assert sorted(r.id for r in engine.linked("bob or ann on bill_service, other_service", asked).collect()) == ["person:ann", "person:bob"]
+    assert "person:bob" in {r.id for r in engine.route("bill_service", vectors=asked).collect()}

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import intent as classified
 from weftline.functions.text import one_line
 from weftline.operators import folds, graph
 from weftline.operators.documents import context_lines
+from weftline.operators.entities import extract_entities
+from weftline.operators.records import named_seeds
 from weftline.options import DEFAULTS, Options
 from weftline.plans import lexical, retrieval
 from weftline.sources import landing
 from weftline.sources.edges import EdgeStore
+from weftline.sources.shared import written
 
 
 class Engine:
@@ -75,9 +78,9 @@ class Engine:
         usable = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
         return self.tables["entity"].where(F.array_contains(usable, F.lower("label"))).select("id", "label")
 
-    def route(self, question: str, seeds: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
-        """The router's ranking: seeds stay at 1, each node expands once. With nothing named, the nearest vectors of at least ``find_at`` are the seeds."""
-        start = (self.named(question) if seeds is None else seeds).select("id").distinct()
+    def route(self, question: str, seeds: DataFrame | None = None, vector: Sequence[float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """The router's ranking: seeds stay at 1, each node expands once. With nothing named or linked, the nearest vectors of at least ``find_at`` are the seeds."""
+        start = (self.linked(question, vectors) if seeds is None else seeds).select("id").distinct()
         if vector is not None and not start.limit(1).count():
             start = retrieval.vector_search(self.tables["vectors"], vector, self.options.seed_top, self.options.find_at).select("id")
         return retrieval.router_walk(self.edges, self.tables["entity"], start, self.options).orderBy(F.desc("score"), "id")
@@ -95,6 +98,27 @@ class Engine:
         path = F.when(F.col("type") == "File", F.col("label"))
         return lexical.lexical_trace(self.tables["entity"].select("id", F.col("label").alias("text"), "ts", path.alias("path")), self.tables["relates_to"], question, top, chunks)
 
+    def local_trace(self, question: str, repository: str, top: int = 10) -> DataFrame:
+        """The items of a lexical trace with their text, an answer that cites the first of them, and how much of each it used."""
+        chunks = self.tables["mentions"].join(self.tables["document"].select(F.col("id").alias("doc"), "content"), "doc").select(F.col("entity").alias("origin"), F.col("doc").alias("seq"), "content")
+        chunks = chunks.withColumn("seq", F.row_number().over(Window.partitionBy("origin").orderBy("seq")))
+        path = F.when(F.col("type") == "File", F.col("label"))
+        nodes = self.tables["entity"].select("id", F.col("label").alias("text"), "ts", path.alias("path"), "label", F.lit(None).cast("string").alias("uri"))
+        found = lexical.lexical_trace(nodes.select("id", "text", "ts", "path"), self.tables["relates_to"], question, top, chunks.drop("seq"), repository)
+        return lexical.answered(written(found, "trace"), nodes, chunks, question, repository)
+
+    def linked(self, question: str, vectors: DataFrame | None = None) -> DataFrame:
+        """Seeds that a question names: entities that its words or its extracted names are the label of; a name that is nobody's label links to the
+        nearest entity of at least ``find_at``. ``vectors``: name and embedding of the question's names (an embedder's, if there is one)."""
+        asked = self.spark.createDataFrame([("q", question)], "doc string, content string")
+        names = extract_entities(asked).select(F.col("text").alias("name")).distinct()
+        near = self.spark.createDataFrame([], "name string, id string, similarity double")
+        if vectors is not None and "vectors" in self.tables:
+            found = retrieval.vector_search_all(self.tables["vectors"], vectors.select(F.col("name").alias("id"), "embedding"), 1)
+            near = found.select(F.col("query").alias("name"), "id", "similarity")
+        seeds = named_seeds(names, self.tables["entity"], near.join(names, "name", "left_semi"), self.options.find_at)
+        return self.named(question).select("id").unionByName(seeds.select("id")).distinct()
+
     def subgraph(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = graph.subgraph_nodes(self.tables["relates_to"], self.tables["entity"], ids)
         return nodes, graph.subgraph_edges(self.tables["relates_to"], nodes)
@@ -110,8 +134,6 @@ class Engine:
 
     def context(self, question: str, hits: DataFrame) -> DataFrame:
         """One text for a prompt from ranked hits (id, label, score): each document once."""
-        from pyspark.sql import Window
-
         ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")))  # at most total_k rows
         docs = ranked.join(self.tables["mentions"].withColumnRenamed("entity", "id"), "id").join(self.tables["document"].select(F.col("id").alias("doc"), "content"), "doc")
         return context_lines(docs.select(F.lit(question).alias("query"), "rank", "id", "label", "doc", "content"))

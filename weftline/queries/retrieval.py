@@ -218,6 +218,37 @@ def lexical_documents(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", *[F.round(c, 6).alias(c) for c in ("lexical", "spread", "score")])
 
 
+_TRACED = f"""
+    {sql.GRAPH}, q AS MATERIALIZED (SELECT {_ASKED_WORDS} AS asked), c AS (SELECT 'part:' || (doc_id % 500) AS id, flatten(list(list_intersect(asked, {sql.tokens("text")}))) AS held FROM documents, q GROUP BY ALL),
+    scored AS (SELECT e.id, e.ts, len(list_intersect(asked, list_concat({sql.tokens("e.label")}, coalesce(c.held, []))))::DOUBLE / greatest(len(asked), 1) AS lexical,
+        CASE WHEN e.type = 'File' THEN len(list_intersect(list_filter(asked, lambda w: w <> 'erand'), {sql.tokens("regexp_replace(e.label, '[_-]', ' ', 'g')")})) ELSE 0 END AS hits FROM entity e LEFT JOIN c USING (id), q),
+    seeds AS (SELECT id AS origin, lexical FROM scored ORDER BY lexical DESC, hits DESC, ts DESC NULLS LAST, id DESC LIMIT 5),
+    spread AS (SELECT b.id, max(least(1.0, s.lexical * b.confidence * 0.7)) AS spread FROM both_ways b JOIN seeds s USING (origin) GROUP BY b.id),
+    found AS MATERIALIZED (
+        SELECT id, lexical, coalesce(spread, 0) AS spread, greatest(lexical, coalesce(spread, 0)) AS score, row_number() OVER (ORDER BY greatest(lexical, coalesce(spread, 0)) DESC, lexical DESC, hits DESC, id DESC) AS place
+        FROM scored LEFT JOIN spread USING (id) QUALIFY place <= 10)"""
+
+
+@query(f"""
+    WITH {_TRACED},
+    best AS (SELECT id, arg_max(text, {{'h': h, 's': -doc_id}}) AS chunk FROM (SELECT 'part:' || (doc_id % 500) AS id, doc_id, text, len(list_intersect(asked, {sql.tokens("text")})) AS h FROM documents, q) WHERE id IN (SELECT id FROM found) GROUP BY id),
+    item AS (SELECT f.place, f.id, e.label, substr(trim(e.label || coalesce('. ' || b.chunk, '')), 1, 500) AS content, 'https://x.y/' || f.id AS uri, f.lexical, f.score, f.spread FROM found f JOIN entity e USING (id) LEFT JOIN best b USING (id)),
+    said AS (SELECT *, trim(regexp_replace(CASE WHEN starts_with(content, label) THEN substr(content, length(label) + 1) ELSE content END, '\\s+', ' ', 'g'), ' .#') AS body FROM item),
+    cited AS (SELECT label || CASE WHEN body <> '' THEN ': ' || rtrim(substr(body, 1, 120)) ELSE '' END || ' (' || uri || ')' AS line, place FROM said WHERE lexical > 0 ORDER BY place LIMIT 3),
+    a AS (SELECT CASE WHEN count(*) > 0 THEN 'In the acme/erand recent history fetched for this run, the closest matches are: ' || string_agg(line, '; ' ORDER BY place) || '. Open the trace for their source text and connections.'
+        ELSE 'No text match for this question appeared in the fetched acme/erand recent history. Inspect the retrieved graph and sources; this is not a claim about the entire repository.' END AS answer FROM cited)
+    SELECT place::INTEGER AS place, id, label, content, uri, round(score, 4) AS score, round(spread, 4) AS graph_score, round({sql.overlap("it", "at_")}, 4) AS overlap, answer
+    FROM (SELECT s.*, a.answer, {sql.tokens("s.content")} AS it, {sql.tokens("a.answer")} AS at_ FROM said s, a)
+""")
+def lexical_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """The same trace's items with their text, the answer that cites the first of them, and how much of each it used."""
+    path = F.when(F.col("type") == "File", F.concat(F.lit("src/"), "label", F.lit(".py")))
+    nodes = entities(spark, folder).select("id", F.col("label").alias("text"), "ts", path.alias("path"), "label", F.concat(F.lit("https://x.y/"), "id").alias("uri"))
+    chunks = table(spark, folder, "documents").select(F.concat(F.lit("part:"), F.col("doc_id") % 500).alias("origin"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    found = lexical.lexical_trace(nodes.select("id", "text", "ts", "path"), relations(spark, folder), _QUESTION, 10, chunks, "acme/erand")
+    return lexical.answered(written(found, "trace"), nodes, chunks, _QUESTION, "acme/erand")
+
+
 @query(f"""
     WITH {_LEXICAL}, degree AS (SELECT origin AS id, count(DISTINCT id) AS degree FROM both_ways WHERE origin <> id GROUP BY origin),
     r AS MATERIALIZED (SELECT id, degree, round(lexical, 3) AS share FROM scored JOIN degree USING (id)),
