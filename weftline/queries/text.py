@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as rules
 from weftline.operators import documents, traces
 from weftline.operators import entities as named
+from weftline.plans import mentions
 from weftline.queries import query, sql
 from weftline.sources.graph import table
 
@@ -167,6 +168,42 @@ def _found_sql(name: str, pattern: str, kind: str, turn: int, more: str = "true"
     {name} AS (SELECT doc, text, '{kind}' AS type, {turn} AS turn, "end" - length(text) AS start, "end" FROM {name}_at WHERE length(text) >= 3 AND {more})"""
 
 
+_PAIR = r"[A-Z][a-z]+ [a-z]+"
+
+
+def _pairs(windows: DataFrame) -> DataFrame:
+    """Stands for a model: a word that begins with a capital letter, and the word after it."""
+    return named.matches(windows.select("base", "idx", "content"), "content", _PAIR).select("base", "idx", F.col("found").alias("text"), F.lit("Name").alias("type"), "start", "end")
+
+
+_RULED = rf"""
+    {_found_sql("a", r"(?i)\b(?:PR|pull[ -]?requests?)\s*#?\d+\b", "PR", 0)},
+    {_found_sql("b", r"(?i)(?:\bissues?\s+)?#\d+\b", "Ticket", 1, r"(text[1] <> '#' OR NOT regexp_matches(substr(content, ('end' || '')::VARCHAR::INTEGER, 1), '[\w#]'))")},
+    {_found_sql("c", r"(?i)\b[a-z][a-z0-9]*(?:[_-][a-z0-9]+)*[_-](?:service|svc)\b", "Service", 2, "NOT regexp_matches(text, '(?i)^(self|customer|micro|full|in|out)[_-](service|svc)$')")},
+    b2 AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = b.doc AND a.start < b."end" AND b.start < a."end")),
+    ab AS (SELECT * FROM a UNION ALL SELECT * FROM b2),
+    c2 AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.doc = c.doc AND ab.start < c."end" AND c.start < ab."end")),
+    ruled AS (SELECT * FROM ab UNION ALL SELECT * FROM c2)
+""".replace("('end' || '')::VARCHAR::INTEGER", '("end" - length(text))::INTEGER')
+
+
+@query(rf"""
+    WITH t AS (SELECT 'doc:' || doc_id AS doc, text AS content FROM documents), {_RULED}, {_found_sql("m", _PAIR, "Name", 3)},
+    found AS (SELECT doc, text, type, start FROM ruled UNION ALL SELECT doc, text, type, start FROM m WHERE NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc = m.doc AND r.start < m."end" AND m.start < r."end")),
+    keyed AS (SELECT *, CASE WHEN type IN ('PR', 'Ticket') THEN text ELSE lower(text) END AS k FROM found),
+    names AS (SELECT type, k, min(struct_pack(doc := doc, start := start, text := text)) AS f FROM keyed GROUP BY type, k),
+    ids AS (SELECT type, k, f.text AS label, f, lower(type) || ':' || CASE WHEN type IN ('PR', 'Ticket') THEN regexp_extract(f.text, '(\d+)', 1) ELSE k END AS id FROM names),
+    counts AS (SELECT id, count(DISTINCT doc) AS documents FROM keyed JOIN ids USING (type, k) GROUP BY id)
+    SELECT id, arg_min(label, f) AS label, any_value(type) AS type, any_value(documents) AS documents FROM ids JOIN counts USING (id) GROUP BY id
+""")
+def document_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of all documents, found by rules in whole texts and by a model in windows, and in how many documents each is mentioned."""
+    rows = table(spark, folder, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("doc"), F.col("text").alias("content"))
+    made = mentions.document_mentions(rows, _pairs)
+    counts = made["mentions"].groupBy(F.col("entity").alias("id")).agg(F.count(F.lit(1)).alias("documents"))
+    return made["entity"].join(counts, "id").select("id", "label", "type", "documents")
+
+
 @query(rf"""
     WITH t AS (SELECT 'conv:' || conv_id || ':' || turn AS doc, {_MENTIONED} AS content FROM conversations),
     {_found_sql("a", r"(?i)\b(?:PR|pull[ -]?requests?)\s*#?\d+\b", "PR", 0)},
