@@ -14,6 +14,7 @@ HEADLINE = [
     "hybrid_retrieval", "routed_response", "best_path_walk", "router_walk", "impact_walk", "vector_topk", "frontier_hub_cap", "neighbors_topk", "node_degree", "top_hubs", "subgraph_edges",
     "docs_for_entities", "impact_report", "upsert_entities", "upsert_edges", "compile_snapshot", "tokenize_counts", "char_chunks", "rule_entities", "overlap_score", "used_summary",
     "local_lexical_trace", "lexical_documents", "word_windows", "graph_build", "span_depth", "trace_canvas", "reconcile_diff", "debounce_batch", "incremental_ingest_stream",
+    "vector_index_search", "resolve_entities", "claimed_bursts", "document_mentions", "lexical_answer", "build_statistics",
 ]
 
 
