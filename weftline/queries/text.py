@@ -171,7 +171,7 @@ def _found_sql(name: str, pattern: str, kind: str, turn: int, more: str = "true"
 _PAIR = r"[A-Z][a-z]+ [a-z]+"
 
 
-def _pairs(windows: DataFrame) -> DataFrame:
+def _capitalised(windows: DataFrame) -> DataFrame:
     """Stands for a model: a word that begins with a capital letter, and the word after it."""
     return named.matches(windows.select("base", "idx", "content"), "content", _PAIR).select("base", "idx", F.col("found").alias("text"), F.lit("Name").alias("type"), "start", "end")
 
@@ -199,7 +199,7 @@ _RULED = rf"""
 def document_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Entities of all documents, found by rules in whole texts and by a model in windows, and in how many documents each is mentioned."""
     rows = table(spark, folder, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("doc"), F.col("text").alias("content"))
-    made = mentions.document_mentions(rows, _pairs)
+    made = mentions.document_mentions(rows, _capitalised)
     counts = made["mentions"].groupBy(F.col("entity").alias("id")).agg(F.count(F.lit(1)).alias("documents"))
     return made["entity"].join(counts, "id").select("id", "label", "type", "documents")
 
