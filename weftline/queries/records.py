@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import control, records, traces
+from weftline.operators import control, records, runs, traces
 from weftline.queries import query, sql
 from weftline.queries.retrieval import _ALL_NEAR, _questions
 from weftline.queries.text import _MEASURED, _SPAN_SQL, _flat, _spans
@@ -54,6 +54,34 @@ def nearest_kept_ancestor(spark: SparkSession, folder: str) -> DataFrame:
     return records.kept_ancestors(spans)
 
 
+_RUN_SPANS = """
+    e AS (SELECT 'r' || conv_id AS run, 's' || turn AS id, CASE WHEN turn > 0 THEN 's' || (turn - 1 - turn % 2) END AS up, role = 'user' OR turn = 0 AS kept, role AS name, turn * 10 AS start,
+        CASE WHEN turn % 5 <> 4 THEN 1000 - turn * 3 END AS "end", CASE WHEN turn % 7 = 3 THEN 'error' ELSE 'ok' END AS status, substr(md5(text), 1, 2) AS item FROM conversations)"""
+
+
+@query(f"""
+    WITH RECURSIVE {_RUN_SPANS}, climb AS (
+        SELECT run, id, up AS at_ FROM e WHERE kept UNION ALL SELECT c.run, c.id, p.up FROM climb c JOIN e p ON p.run = c.run AND p.id = c.at_ WHERE NOT p.kept
+    ), parents AS (SELECT c.run, c.id, max(p.id) AS parent FROM climb c LEFT JOIN e p ON p.run = c.run AND p.id = c.at_ AND p.kept GROUP BY c.run, c.id),
+    deep AS (SELECT run, id, parent AS at_, 0 AS depth FROM parents UNION ALL SELECT d.run, d.id, p.parent, d.depth + 1 FROM deep d JOIN parents p ON p.run = d.run AND p.id = d.at_),
+    own AS (SELECT run, id, item FROM e WHERE kept AND "end" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run, item ORDER BY "end", id) = 1)
+    SELECT e.run, e.id, p.parent, d.depth::INTEGER AS depth, e.name, e.start::BIGINT AS start, e."end"::BIGINT AS "end", CASE WHEN e."end" IS NULL THEN 'open' ELSE e.status END AS status, coalesce(o.item, '') AS items
+    FROM e JOIN parents p USING (run, id) JOIN (SELECT run, id, max(depth) AS depth FROM deep GROUP BY ALL) d USING (run, id) LEFT JOIN own o USING (run, id) WHERE e.kept
+""")
+def nested_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as a run whose turns are spans: starts and closes in one table of events."""
+    turns = table(spark, folder, "conversations")
+    parent = F.when(F.col("turn") > 0, F.concat(F.lit("s"), F.col("turn") - 1 - F.col("turn") % 2))
+    base = [F.concat(F.lit("r"), "conv_id").alias("run"), F.concat(F.lit("s"), "turn").alias("id"), parent.alias("parent_id")]
+    none = F.lit(None).cast("array<string>")
+    starts = turns.select(*base, F.lit("start").alias("kind"), ((F.col("role") == "user") | (F.col("turn") == 0)).alias("kept"), F.col("role").alias("name"), (F.col("turn") * 10).cast("long").alias("at"), none.alias("items"))
+    closes = turns.where("turn % 5 <> 4").select(
+        *base, F.when(F.col("turn") % 7 == 3, "error").otherwise("end").alias("kind"), F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("string").alias("name"), (1000 - F.col("turn") * 3).cast("long").alias("at"),
+        F.array(F.substring(F.md5(F.col("text").cast("binary")), 1, 2)).alias("items"),
+    )
+    return runs.nested(starts.unionByName(closes)).withColumn("items", F.array_join("items", ","))
+
+
 _STARTED = "CASE WHEN turn % 7 = 0 THEN '__start__' ELSE role END AS name, CASE turn % 3 WHEN 0 THEN CASE WHEN turn % 7 = 0 THEN '__start__' ELSE role END WHEN 1 THEN role ELSE NULL END AS node"
 
 
