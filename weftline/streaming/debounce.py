@@ -50,7 +50,10 @@ def pending(found: DataFrame, now: Column) -> DataFrame:
 
 
 def burst_stream(events: DataFrame, window: int, wait: int) -> DataFrame:
-    """The same for a stream: each batch emits the bursts it touched, so a sink keeps the latest row of each (key, first)."""
+    """The same for a stream whose batches come in order of time: each emits the bursts it touched, so a sink keeps the latest row of each (key, first).
+
+    A row that comes after later ones counts in the open burst; ``claims`` puts such rows in order and drops the state of ended bursts.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         times = sorted(t for frame in frames for t in frame["t"].tolist())
