@@ -144,3 +144,28 @@ def test_a_frontier_reads_its_buckets_alone(spark, monkeypatch):
     assert rows(near) == rows(want)
     monkeypatch.setattr("weftline.sources.edges.SMALL_ROWS", 1)
     assert rows(store.at(origins)) == rows(want)
+
+
+def test_the_store_of_a_folder_is_that_of_its_relations(spark, tmp_path):
+    """Names are made after the shuffle; odd keys (unknown, null, twice, none) give the rows that named edges give."""
+    from weftline.sources import edges, graph
+
+    folder = tmp_path
+    for name, rows, kind in [
+        ("customer", [(1, "a", 3), (2, "b", None), (4, "d", 9)], "c_custkey long, c_name string, c_nationkey int"), ("supplier", [(1, "s", 3), (2, "t", 4)], "s_suppkey long, s_name string, s_nationkey int"),
+        ("part", [(5, "p"), (5, "p2"), (-6, "q")], "p_partkey long, p_name string"), ("nation", [(3, "n"), (4, "m")], "n_nationkey int, n_name string"),
+        ("orders", [(7, 1, "1996-01-02"), (8, 99, None), (9, None, "1997-01-02")], "o_orderkey long, o_custkey long, o_orderdate string"),
+        ("lineitem", [(7, 5, 1), (7, 5, 2), (7, 5, 1), (8, -6, 77), (50, 5, 1), (9, None, 2), (None, 5, 1)], "l_orderkey long, l_partkey long, l_suppkey long"),
+        ("events", [(1, "error", 1, "2024-01-02"), (2, "view", 1, "2024-01-02"), (3, "error", 55, None)], "event_id long, event_type string, user_id long, ts string"),
+    ]:
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{name}.parquet")
+    want = edges.EdgeStore.write(graph.relations(spark, str(folder)), graph.entities(spark, str(folder))).rows()
+    got = edges.stored(spark, str(folder)).rows()
+    assert got.count() > 20 and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_the_store_of_a_folder_shuffles_numbers_alone(spark):
+    from weftline.sources import graph
+
+    rows = graph.numbered_ends(spark, "/root/testdata/sf0.001")
+    assert {k for _, k in rows.dtypes} == {"int", "bigint", "timestamp"}
