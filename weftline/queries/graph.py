@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graph
 from weftline.queries import query, sql
-from weftline.sources.graph import entities, relations, table
+from weftline.sources.graph import entities, relation_rows, relations, table
 
 _NATIONS = "SELECT 'nation:' || n_nationkey AS id FROM nation"
 
 
 @query(f"WITH {sql.EDGES} SELECT origin AS id, count(DISTINCT id) AS degree FROM both_ways WHERE origin <> id GROUP BY origin")
 def node_degree(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.degrees(relations(spark, folder))
+    return graph.degrees(relations(spark, folder), relation_rows(spark, folder))
 
 
 @query(f"""
@@ -22,7 +22,7 @@ def node_degree(spark: SparkSession, folder: str) -> DataFrame:
     SELECT id, degree, label, type FROM d JOIN entity USING (id) ORDER BY degree DESC, label, id LIMIT 12
 """)
 def top_hubs(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.hubs(relations(spark, folder), entities(spark, folder), 12)
+    return graph.hubs(relations(spark, folder), entities(spark, folder), 12, relation_rows(spark, folder))
 
 
 @query(f"""

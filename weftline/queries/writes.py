@@ -11,8 +11,9 @@ from weftline.plans import persist
 from weftline.plans.build import build
 from weftline.queries import query, sql
 from weftline.sources import landing
-from weftline.sources.graph import entities, relations, table
+from weftline.sources.graph import entities, relation_rows, relations, table
 from weftline.sources.payloads import payloads
+from weftline.sources.shared import tasks_for
 from weftline.streaming import claims, debounce, ingest
 
 
@@ -121,6 +122,7 @@ def first_wins_nodes(spark: SparkSession, folder: str) -> DataFrame:
 def compile_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     weight = F.when(F.col("relation") == "TOUCHES", 0.5)
     priced = relations(spark, folder).select("src", "dst", "relation", edge_price(F.col("relation"), weight).alias("confidence"))
+    priced = priced.repartition(tasks_for(spark, relation_rows(spark, folder)), "src", "dst")  # sorted once, where pairs meet
     best = priced.groupBy("src", "dst").agg(F.max(F.struct("confidence", "relation")).alias("b"))
     return best.select("src", "dst", "b.relation", F.round("b.confidence", 6).alias("confidence"))
 
