@@ -29,3 +29,10 @@ def test_pairs_and_snapshots_are_dealt_by_number(spark, monkeypatch):
     assert "16), REPARTITION_BY_NUM" in plan(found) and sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.degrees(edges).collect()))
     n = shared.tasks_for(spark, view.relation_rows(spark, FOLDER))
     assert f"{n}), REPARTITION_BY_NUM" in plan(load()[0]["compile_snapshot"](spark, FOLDER))
+
+
+def test_suggestions_hold_no_type_in_a_task(spark):
+    rows = [("a", "PR", 5), ("a", "File", 5), (" b ", "PR", 5), ("c", None, 2), ("d", None, 2), ("e", "File", 9), ("e", "PR", 1), ("", "PR", 99), (None, "PR", 99), ("f", "Odd", None), ("f", "Odd", None), ("g", "PR", 4)]
+    found = lexical.suggestions(spark.createDataFrame(rows, "label string, type string, degree long"), 9)
+    assert "Window" not in plan(found)
+    assert [(r.entity, r.type) for r in found.collect()] == [("e", "File"), ("a", "PR"), ("c", None), ("f", "Odd"), ("b", "PR"), ("g", "PR"), ("d", None)]

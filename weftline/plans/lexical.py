@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import overlap, question_tokens, tokens, without_comments
 from weftline.operators.graph import at_origins
+from weftline.sources.shared import tasks_for, written
 
 
 def lexical_scores(nodes: DataFrame, question: str) -> DataFrame:
@@ -92,9 +93,13 @@ def share_retriever(corpus: DataFrame, links: DataFrame, question: str, k: int =
 
 def suggestions(hubs: DataFrame, limit: int) -> DataFrame:
     """hubs: label, type, degree. Questions about the busiest entity of each type, then about further ones; no question twice."""
-    rows = hubs.where(F.trim(F.coalesce("label", F.lit(""))) != "").withColumn("label", F.trim("label"))
     order = [F.desc("degree"), "label", "type"]
-    rows = rows.withColumn("query", F.concat(F.lit("What is related to "), "label", F.lit("?")))
-    rows = rows.withColumn("later", (F.row_number().over(Window.partitionBy("type").orderBy(*order)) > 1).cast("int"))
-    rows = rows.groupBy("query").agg(F.min(F.struct("later", -F.col("degree"), "label", "type")).alias("s")).select("query", "s.label", "s.type", F.col("s.later").alias("later"), (-F.col("s.col2")).alias("degree"))
+    rows = written(hubs.where(F.trim(F.coalesce("label", F.lit(""))) != "").select(F.trim("label").alias("label"), "type", "degree"), "hubs")
+    rows = rows.repartition(tasks_for(rows.sparkSession, rows.count()), "label")
+    # The first of each type by aggregates: a window would hold all of a type in one task. Equal rows ask one question.
+    place = F.struct(F.col("degree").isNull(), -F.col("degree"), "label")
+    firsts = rows.groupBy(F.col("type").alias("of")).agg(F.min(place).alias("first"))  # a row for each type
+    rows = rows.join(F.broadcast(firsts), F.col("type").eqNullSafe(F.col("of")))
+    rows = rows.withColumn("later", (~place.eqNullSafe(F.col("first"))).cast("int")).withColumn("query", F.concat(F.lit("What is related to "), "label", F.lit("?")))
+    rows = rows.groupBy("label", "query").agg(F.min(F.struct("later", -F.col("degree"), "type")).alias("s")).select("query", "label", "s.type", F.col("s.later").alias("later"), (-F.col("s.col2")).alias("degree"))
     return rows.orderBy("later", *order).limit(max(limit, 1)).select("query", F.col("label").alias("entity"), "type")
