@@ -36,3 +36,13 @@ def test_suggestions_hold_no_type_in_a_task(spark):
     found = lexical.suggestions(spark.createDataFrame(rows, "label string, type string, degree long"), 9)
     assert "Window" not in plan(found)
     assert [(r.entity, r.type) for r in found.collect()] == [("e", "File"), ("a", "PR"), ("c", None), ("f", "Odd"), ("b", "PR"), ("g", "PR"), ("d", None)]
+
+
+def test_counted_assignments_are_not_multiplied(spark):
+    pods = spark.createDataFrame([("p1", "ready", None), ("p2", "ready", None), ("p3", "ready", None)], "pod_id string, status string, last_heartbeat_at long")
+    one = spark.createDataFrame([("p1",)] * 5 + [("p2",)], "pod_id string")
+    counted = spark.createDataFrame([("p1", 3), ("p1", 2), ("p2", 1)], "pod_id string, n long")
+    want = [("p3", 0), ("p2", 1), ("p1", 5)]
+    for rows in (one, counted):
+        assert [tuple(r) for r in control.loads(pods, rows, F.lit(0)).collect()] == want
+    assert plan(load()[0]["pod_placement"](spark, FOLDER)).count("Aggregate") > plan(control.loads(pods, one, F.lit(0))).count("Aggregate")

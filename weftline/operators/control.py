@@ -13,8 +13,8 @@ def fresh(heartbeat: Column, now: Column, limit: int = DEFAULTS.heartbeat_s) ->
 
 
 def loads(pods: DataFrame, assignments: DataFrame, now: Column) -> DataFrame:
-    """Ready and fresh pods with the number of their assignments, the least loaded first."""
-    counts = assignments.groupBy("pod_id").agg(F.count(F.lit(1)).alias("n"))
+    """Ready and fresh pods with the number of their assignments (a row each, or ``n`` of them), the least loaded first."""
+    counts = assignments.groupBy("pod_id").agg(F.sum("n" if "n" in assignments.columns else F.lit(1)).alias("n"))
     healthy = pods.where((F.col("status") == "ready") & fresh(F.col("last_heartbeat_at"), now))
     return healthy.join(counts, "pod_id", "left").select("pod_id", F.coalesce("n", F.lit(0)).alias("n")).orderBy("n", "pod_id")
 

@@ -18,7 +18,7 @@ from weftline.sources.graph import table
 def pod_placement(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier")
     pods = suppliers.select(F.concat(F.lit("pod"), "s_suppkey").alias("pod_id"), F.when(F.col("s_suppkey") % 4 != 0, "ready").otherwise("lost").alias("status"), F.when(F.col("s_suppkey") % 3 != 0, 870 + F.col("s_suppkey") % 50).alias("last_heartbeat_at"))
-    held = table(spark, folder, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 7).alias("seven"))
+    held = table(spark, folder, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 7).alias("seven")).groupBy("nation", "seven").agg(F.count(F.lit(1)).alias("n"))
     owners = suppliers.select(F.concat(F.lit("pod"), "s_suppkey").alias("pod_id"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7).alias("seven"))
     return control.loads(pods, held.join(owners, ["nation", "seven"]), F.lit(1000))
 
