@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import overlap, tokens
-from weftline.operators.documents import char_chunks
+from weftline.operators.documents import char_chunks, word_windows
 from weftline.sources.shared import written
 
 # Keys of recorded metadata and inputs in order of preference, steps that are plumbing, words of each kind, fields of a node's text and path.
@@ -229,11 +229,5 @@ def source_bodies(pull_requests: DataFrame, issues: DataFrame, commits: DataFram
 
 def source_windows(files: DataFrame, words: int = 90, overlap_words: int = 15) -> DataFrame:
     """files (path, content) in windows of words with the lines they span in their path: path#L1-L9."""
-    from weftline.operators.documents import word_windows
-
-    windows = word_windows(files.select(F.col("path").alias("base"), "content"), words, overlap_words).join(files.select(F.col("path").alias("base"), F.col("content").alias("whole")), "base")
-    line = lambda upto: F.length(F.regexp_replace(F.substring(F.col("whole"), F.lit(1), upto), r"[^\n]", "")) + 1
-    first, last = line(F.col("begin")), line(F.col("finish"))
-    return windows.select(F.concat(F.col("base"), F.lit("#L"), first, F.lit("-L"), last).alias("path"), "idx", "content")
-
-
+    windows = word_windows(files.select(F.col("path").alias("base"), "content"), words, overlap_words, lines=True)
+    return windows.select(F.concat(F.col("base"), F.lit("#L"), "line", F.lit("-L"), "last_line").alias("path"), "idx", "content")
