@@ -28,8 +28,8 @@ def _strings(words: Sequence[str]) -> Column:
 
 def running(name: str) -> Column:
     """The sums of an array column of integers up to each place. The reach doubles, so that n places take n log n steps and no shuffle."""
-    rounds = F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.size(name) - 1, F.lit(1)))) - 1)
-    return F.aggregate(rounds, F.col(name), lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))))
+    reach = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.size(name) - 1, F.lit(1)))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(reach, F.col(name), lambda sums, d: F.transform(sums, lambda x, i: F.when(i < d, x).otherwise(x + F.get(sums, i - d))))
 
 
 def tokens(text: Column, more_stop_words: Sequence[str] = ()) -> Column:

@@ -13,7 +13,7 @@ from weftline.operators.resolution import resolve
 from weftline.options import DEFAULTS, Options
 from weftline.sources.shared import written
 
-#: From windows (base, idx, content) to spans (base, idx, text, type, start, end) with places in the window.
+#: From windows (base, idx, content) to spans (base, idx, text, type, start, end) with places in the window; base is to be passed on as it is.
 Model = Callable[[DataFrame], DataFrame]
 #: Kinds whose number is their identity; they are not resolved.
 NUMBERED = ("Ticket", "PR")
@@ -27,17 +27,15 @@ def placed(windows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def swept(spans: DataFrame) -> DataFrame:
     """Spans (doc, text, type, start, end) of one document and type that overlap, as windows that share words give them, become one that covers them."""
-    order = Window.partitionBy("doc", "type").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
-    islands = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = islands.groupBy("doc", "type", "island").agg(F.array_sort(F.collect_set(F.struct("start", "end", "text"))).alias("parts"))
-    # Each part adds what reaches beyond those before it.
-    grown = F.aggregate(
-        F.slice("parts", 2, 1 << 30), F.col("parts")[0],
-        lambda s, x: F.when(x["end"] > s["end"], F.struct(s["start"].alias("start"), x["end"].alias("end"), F.concat(s["text"], x["text"].substr(s["end"] - x["start"] + 1, F.length(x["text"]))).alias("text"))).otherwise(s),
-    )
-    return parts.withColumn("s", grown).select("doc", "s.text", "type", "s.start", "s.end")
+    order = Window.partitionBy("doc", "type").orderBy("start", F.desc("end"), "text")
+    spans = spans.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.coalesce(F.col("start") >= F.col("before"), F.lit(True))
+    # Each part adds what reaches beyond those before it; the others are left out at once.
+    parts = spans.where(new | (F.col("end") > F.col("before"))).withColumn("piece", F.when(new, F.col("text")).otherwise(F.substr("text", F.col("before") - F.col("start") + 1)))
+    islands = parts.withColumn("island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("doc", "type", "island").agg(F.collect_list(F.struct("end", "piece")).alias("parts"), F.min("start").alias("start"), F.max("end").alias("end"))
+    pieces = F.when(F.size("parts") == 1, F.col("parts")[0]["piece"]).otherwise(F.array_join(F.transform(F.array_sort("parts"), lambda x: x["piece"]), ""))
+    return whole.select("doc", pieces.alias("text"), "type", "start", "end")
 
 
 def extracted(documents: DataFrame, model: Model | None = None, options: Options = DEFAULTS) -> DataFrame:
@@ -45,7 +43,10 @@ def extracted(documents: DataFrame, model: Model | None = None, options: Options
     if model is None:
         return extract_entities(documents)
     windows = word_windows(documents.select(F.col("doc").alias("base"), "content"), options.window_words, options.window_overlap)
-    return extract_entities(documents, swept(placed(windows, model(windows))))
+    # A window's base tells where it begins, so that spans need not meet the windows again.
+    spans = model(windows.withColumn("base", F.struct(F.col("base").alias("doc"), "begin")))
+    place = lambda c: (F.col(c) + F.col("base.begin")).cast("int").alias(c)
+    return extract_entities(documents, swept(spans.select("base.doc", "text", "type", place("start"), place("end"))))
 
 
 def document_mentions(documents: DataFrame, model: Model | None = None, vectors: DataFrame | None = None, known: DataFrame | None = None, options: Options = DEFAULTS) -> dict[str, DataFrame]:
