@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import _bytes, quality, toxicity
@@ -104,3 +106,23 @@ def test_no_labels_and_no_rows(spark):
     assert set(run(spark, [(1, "a", "", 0.0)], []).score) == {0.5}
     assert len(run(spark, [], [])) == 0
     assert set(run(spark, [(1, "a", "", 0.0)], [(1, 0, "")]).score < 0.5) == {True}
+
+
+def test_a_worker_keeps_one_copy_of_the_index_and_searches_few_texts_at_a_time():
+    texts = [f"word{i} word{i + 1} common{i % 40}".encode() for i in range(1200)]
+    counts = toxicity.hashed_counts(texts)
+    vocabulary = np.unique(counts.terms)
+    counts = toxicity.Counts(counts.offsets, np.searchsorted(vocabulary, counts.terms).astype(np.int32), counts.times)
+    ids = np.arange(len(texts))
+    index = toxicity.build_index(ids, ids % 2, counts, vocabulary, np.bincount(counts.terms, minlength=len(vocabulary)), len(texts), (600, 600))
+    tracemalloc.start()
+    most = index.ready()._most
+    grown = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert grown < index.dense.nbytes / 2
+    assert index.ready()._most is most  # not worked out again in the worker's next task
+    assert max(b - a for a, b in _bytes.groups(texts, toxicity.GROUP_BYTES, toxicity.GROUP_TEXTS)) == toxicity.GROUP_TEXTS
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    parts = list(_bytes.pieces([batch], 1, size=toxicity.GROUP_BYTES, many=toxicity.GROUP_TEXTS))
+    assert pa.Table.from_batches(parts).column("doc_id").to_pylist() == ids.tolist()
+    assert max(p.num_rows for p in parts) == toxicity.GROUP_TEXTS

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word is still taken whole.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C55
 _powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
@@ -91,26 +91,27 @@ def words(data: bytes, apart: np.ndarray = SPACE, tail: np.ndarray | None = None
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-def groups(texts: Sequence[bytes | None], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes together."""
+def groups(texts: Sequence[bytes | None], size: int = 2 << 20, many: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes together, ``many`` texts at most."""
     at = total = 0
     for i, text in enumerate(texts):
         total += len(text or b"") + 1
-        if total >= size:
+        if total >= size or i + 1 - at >= many:
             yield at, i + 1
             at, total = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], *columns: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches whose texts (the given columns) have about ``size`` bytes together, so that few become Python objects at a time."""
+def pieces(batches: Iterable[pa.RecordBatch], *columns: int, size: int = 1 << 20, many: int = 1 << 62) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, ``many`` rows at most, whose texts (the given columns) have about ``size`` bytes together, so that few become Python objects at a time."""
     for batch in batches:
         lengths = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
         whole = np.cumsum(lengths + 1) // size
         edges = np.concatenate([[0], np.flatnonzero(whole[1:] != whole[:-1]) + 1, [batch.num_rows]]) if batch.num_rows else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield batch.slice(a, b - a)
+            for at in range(a, b, many):
+                yield batch.slice(at, min(many, b - at))
 
 
 def word_terms(texts: Sequence[bytes | None], prefixes: Sequence[int], apart: np.ndarray = NON_WORD) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Hash buckets that a global numbering is cut into; a bucket holds 1/4096 of a group's rows.
 RANK_BUCKETS = 4096
 #: Bytes of an Arrow batch, unless the session names a size of its own. A longer row is still one batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

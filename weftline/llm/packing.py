@@ -32,7 +32,7 @@ SLACK = 16
 PARTITION_ITEMS = 50_000
 FAN_IN = 8
 #: Words whose ids a worker remembers; it starts anew beyond that.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Bytes of text tokenised together.
 GROUP_BYTES = 1 << 20
 #: Bytes that may be split off a word's end without changing its ids: ASCII marks that are in no contraction or special token.

@@ -45,8 +45,8 @@ NEIGHBOURS = 25
 BLOCK = 64
 #: Weight of the examples' share in a vote, as so many of the nearest neighbour.
 PRIOR_WEIGHT = 0.5
-#: Bytes of text searched together, and postings read at a time.
-GROUP_BYTES, POSTINGS = 512 << 10, 1 << 18
+#: Bytes of text and texts searched together (a text has a cosine with every example), and postings read at a time.
+GROUP_BYTES, GROUP_TEXTS, POSTINGS = 512 << 10, 256, 1 << 18
 
 
 @dataclass
@@ -164,11 +164,10 @@ class Index:
         return v / np.sqrt(np.bincount(owner, v * v, len(counts.offsets) - 1))[owner]
 
     def ready(self) -> Index:
-        """With the common terms' weights in double precision, padded to whole blocks, and their block maxima."""
-        blocks = -(-len(self.ids) // BLOCK)
-        self._dense = np.zeros((len(self.dense), blocks * BLOCK))
-        self._dense[:, : len(self.ids)] = self.dense
-        self._most = self._dense.reshape(len(self.dense), blocks, BLOCK).max(axis=2) if blocks else np.zeros((len(self.dense), 0))
+        """With the common terms' block maxima, which the next task of a worker finds."""
+        if not hasattr(self, "_most"):
+            starts = np.arange(0, len(self.ids), BLOCK)
+            self._most = np.maximum.reduceat(self.dense, starts, axis=1).astype(np.float64) if len(starts) else np.zeros((len(self.dense), 0))
         return self
 
     def _rare(self, owner: np.ndarray, terms: np.ndarray, q: np.ndarray, n: int, wide: int) -> np.ndarray:
@@ -194,7 +193,7 @@ class Index:
 
     def nearest(self, counts: Counts, many: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and cosines of each text's nearest examples: greatest cosine first, ties by id; only cosines over 0."""
-        n, wide = len(counts.offsets) - 1, self._dense.shape[1]
+        n, wide = len(counts.offsets) - 1, self._most.shape[1] * BLOCK
         if not wide or not n:
             return [(np.empty(0, np.int64), np.empty(0))] * n
         owner, q = counts.owners(), self.vectors(counts)
@@ -209,8 +208,8 @@ class Index:
 
         def work_out(todo: np.ndarray) -> None:
             for b in np.flatnonzero(todo.any(axis=0)).tolist():
-                who, span = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                cosine[who, span] += common[who] @ self._dense[:, span]
+                who, span = np.flatnonzero(todo[:, b]), slice(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
+                cosine[who, span] += common[who] @ self.dense[:, span].astype(np.float64)
             done[todo] = True
 
         # Enough of the best blocks for ``many`` examples give a cosine that the result reaches.
@@ -222,7 +221,7 @@ class Index:
         some = np.take_along_axis(cosine.reshape(n, blocks, BLOCK), best[:, :, None], axis=1).reshape(n, -1)
         least = -np.sort(-some, axis=1)[:, min(many, some.shape[1]) - 1]
         work_out((bound >= least[:, None] - 1e-9) & ~done)
-        cosine = np.round(cosine, 12)
+        np.round(cosine, 12, out=cosine)
         cosine[~np.repeat(done, BLOCK, axis=1)] = 0
         cosine = cosine[:, : len(self.ids)]
         top = min(many, len(self.ids))
@@ -299,7 +298,7 @@ def build_index(ids: np.ndarray, labels: np.ndarray, counts: Counts, vocabulary:
         for k, (near, cosines) in enumerate(index.nearest(own, NEIGHBOURS + 1), at):
             others = near != k
             votes.append(index.vote(near[others][:NEIGHBOURS], cosines[others][:NEIGHBOURS]))
-    del index._dense, index._most
+    del index._most
     if votes:
         w = each[order]
         index.steps = isotonic(np.array(votes), index.labels, w * len(w) / max(w.sum(), 1e-12))
@@ -334,7 +333,7 @@ def score_texts(documents: DataFrame, index: Index | None, name: str = "__score"
         table = index and _bytes.Places(index.vocabulary)
         for texts in batches:
             values = texts.tolist()
-            parts = [index.scores(index.nearest(known_counts(values[a:b], table))) if index else np.full(b - a, 0.5) for a, b in _bytes.groups(values, GROUP_BYTES)]
+            parts = [index.scores(index.nearest(known_counts(values[a:b], table))) if index else np.full(b - a, 0.5) for a, b in _bytes.groups(values, GROUP_BYTES, GROUP_TEXTS)]
             yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return documents.withColumn(name, score(F.col("text").cast("binary")))
@@ -348,7 +347,7 @@ def toxic_scores(documents: DataFrame, labels: DataFrame, usable: Column) -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.value and model.value.ready()
         table = index and _bytes.Places(index.vocabulary)
-        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES):
+        for batch in _bytes.pieces(batches, 1, size=GROUP_BYTES, many=GROUP_TEXTS):
             found = index.nearest(known_counts(batch.column(1).to_pylist(), table)) if index else [(np.empty(0, np.int64), np.empty(0))] * batch.num_rows
             scores = index.scores(found) if index else np.full(batch.num_rows, 0.5)
             at = np.concatenate([np.empty(0, np.int64), *[x[0] for x in found]])
